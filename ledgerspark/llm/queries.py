@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from ledgerspark.llm.quality_classifier import op5_quality_classifier
 from ledgerspark.llm.quality_rules import OP2_SQL, op2_quality_rules
+from ledgerspark.llm.toxicity import op6_toxicity
 from ledgerspark.llm.url_filters import OP1_SQL, op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_rules": op2_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_toxicity": op6_toxicity,
 }
 
 ORACLES = {
