@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from ledgerspark.llm.packing import op7_best_fit_packing
 from ledgerspark.llm.quality_classifier import op5_quality_classifier
 from ledgerspark.llm.quality_rules import OP2_SQL, op2_quality_rules
+from ledgerspark.llm.sharding import op10_sharding
 from ledgerspark.llm.toxicity import op6_toxicity
 from ledgerspark.llm.url_filters import OP1_SQL, op1_url_filters
 
@@ -12,6 +14,8 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLES = {
