@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerspark.llm.license_scan import op8_license_scan
 from ledgerspark.llm.packing import op7_best_fit_packing
 from ledgerspark.llm.quality_classifier import op5_quality_classifier
 from ledgerspark.llm.quality_rules import OP2_SQL, op2_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_license_scan": op8_license_scan,
     "op10_sharding": op10_sharding,
 }
 
