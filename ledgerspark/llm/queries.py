@@ -7,6 +7,7 @@ from ledgerspark.llm.packing import op7_best_fit_packing
 from ledgerspark.llm.quality_classifier import op5_quality_classifier
 from ledgerspark.llm.quality_rules import OP2_SQL, op2_quality_rules
 from ledgerspark.llm.sharding import op10_sharding
+from ledgerspark.llm.topk_search import OP9_SQL, op9_topk_search
 from ledgerspark.llm.toxicity import op6_toxicity
 from ledgerspark.llm.url_filters import OP1_SQL, op1_url_filters
 
@@ -17,10 +18,12 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_license_scan": op8_license_scan,
+    "op9_topk_search": op9_topk_search,
     "op10_sharding": op10_sharding,
 }
 
 ORACLES = {
     "op1_url_filters": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
+    "op9_topk_search": OP9_SQL,
 }
