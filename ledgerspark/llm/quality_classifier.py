@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerspark.llm.common import crc_bucket
 from ledgerspark.llm.textscan import blocks
@@ -170,19 +171,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network |
 
 def score(docs: DataFrame, net: Network | None, columns: list[str]) -> DataFrame:
     """Append ``score`` to the named columns of every document."""
-    kept = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("__text"))
-    fields = [f for f in kept.schema.fields if f.name != "__text"]
+    extra = [] if "text" in columns else ["text"]
+    kept = docs.select(*[F.col(f"`{c}`") for c in [*columns, *extra]])
+    fields, at, n = kept.schema.fields[: len(columns)], [*columns, *extra].index("text"), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.num_columns - 1
             texts = batch.column(at).cast(pa.large_binary()).to_pylist()
             for first, some in blocks(texts):
                 s = net.scores(some) if net else np.full(len(some), 0.5)
                 head = batch.slice(first, len(some))
-                yield pa.RecordBatch.from_arrays([*head.columns[:at], pa.array(s)], names=[*columns, "score"])
-
-    from pyspark.sql import types as T
+                yield pa.RecordBatch.from_arrays([*head.columns[:n], pa.array(s)], names=[*columns, "score"])
 
     return kept.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerspark.llm.license_scan import op8_license_scan
+from ledgerspark.llm.mixing import op3_mixing
 from ledgerspark.llm.ngram_join import op4_ngram_join
 from ledgerspark.llm.packing import op7_best_fit_packing
 from ledgerspark.llm.quality_classifier import op5_quality_classifier
@@ -15,6 +16,7 @@ from ledgerspark.llm.url_filters import OP1_SQL, op1_url_filters
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_rules": op2_quality_rules,
+    "op3_mixing": op3_mixing,
     "op4_ngram_join": op4_ngram_join,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,

@@ -206,14 +206,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifie
 
 def score(docs: DataFrame, model: Classifier | None, columns: list[str]) -> DataFrame:
     """Append ``score`` to the named columns of every document."""
-    kept = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("__text"))
-    fields = [f for f in kept.schema.fields if f.name != "__text"]
+    extra = [] if "text" in columns else ["text"]
+    kept = docs.select(*[F.col(f"`{c}`") for c in [*columns, *extra]])
+    fields, at, n = kept.schema.fields[: len(columns)], [*columns, *extra].index("text"), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.num_columns - 1
             s = [model.score(t) if model else 0.0 for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(s, pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(s, pa.float64())], names=[*columns, "score"])
 
     return kept.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
 
