@@ -20,6 +20,7 @@ rows give no rows.
 from __future__ import annotations
 
 import base64
+import functools
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -96,8 +97,9 @@ def best_fit(histogram: dict[int, int], capacity: tuple[int, int, int], weights=
     return runs
 
 
+@functools.cache
 def _encoder():
-    """The public byte-level BPE of 50,257 ids; its ranks give the same ids as its tokenizers file, in less time."""
+    """Once for each Python worker, whatever its number of tasks. The public byte-level BPE of 50,257 ids; its ranks give the same ids as its tokenizers file, in less time."""
     import public_tokenizers
     import tiktoken
 
