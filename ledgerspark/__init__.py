@@ -1,0 +1 @@
+"""A Spark-native analytics engine for financial documents."""
