@@ -8,17 +8,24 @@ from pyspark.sql import functions as F
 from ledgerspark.functions.numbers import discount, percentage
 
 
-def column_aggregate(df: DataFrame, value: str, kind: str) -> DataFrame:
-    """A-09: (result, count); values that don't parse are skipped, no values give 0.00."""
-    kinds = {
-        "sum": F.sum, "total": F.sum, "avg": F.avg, "average": F.avg, "mean": F.avg, "min": F.min, "max": F.max,
-        "var": F.var_pop, "variance": F.var_pop,
-    }
-    if kind not in kinds:
-        raise ValueError(f"unknown aggregate {kind!r}")
+_KINDS = {
+    "sum": F.sum, "total": F.sum, "avg": F.avg, "average": F.avg, "mean": F.avg, "min": F.min, "max": F.max, "var": F.var_pop, "variance": F.var_pop,
+}
+
+
+def column_aggregates(df: DataFrame, value: str, kinds: dict[str, str]) -> DataFrame:
+    """A-09: {name: kind} -> one row of the named results and ``n``; values that don't parse are skipped, no values give 0.00."""
+    unknown = set(kinds.values()) - set(_KINDS)
+    if unknown:
+        raise ValueError(f"unknown aggregates {sorted(unknown)}")
     clean = F.regexp_replace(F.col(value).cast("string"), r"[^0-9.\-]", "").try_cast("decimal(18,4)")
-    result = F.round(kinds[kind](clean).cast("decimal(38,10)"), 2).cast("decimal(38,2)")
-    return df.agg(F.coalesce(result, F.lit(0).cast("decimal(38,2)")).alias("result"), F.count(clean).alias("count"))
+    result = lambda k: F.round(_KINDS[k](clean).cast("decimal(38,10)"), 2).cast("decimal(38,2)")
+    return df.agg(*[F.coalesce(result(k), F.lit(0).cast("decimal(38,2)")).alias(n) for n, k in kinds.items()], F.count(clean).alias("n"))
+
+
+def column_aggregate(df: DataFrame, value: str, kind: str) -> DataFrame:
+    """A-09: (result, count) of one kind."""
+    return column_aggregates(df, value, {"result": kind}).withColumnRenamed("n", "count")
 
 
 def discounted(df: DataFrame, gross: Column, percent: Column, base_date: Column | None = None, days: Column | int | None = None) -> DataFrame:

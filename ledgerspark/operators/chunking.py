@@ -23,13 +23,18 @@ HEADINGS = {
 }
 
 
+def _strip(c: Column) -> Column:
+    """White space of every kind off both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def pages(docs: DataFrame, text: str = "text") -> DataFrame:
     """C-01: (…, page_number, page_text); no marker means page 1, text before the first marker and blank pages go."""
     marked = F.col(text).rlike(r"=== PAGE \d+ ===")
     numbers = F.regexp_extract_all(text, F.lit(r"=== PAGE (\d+) ==="), F.lit(1))
     parts = F.split(text, r"=== PAGE \d+ ===")
-    zipped = F.transform(numbers, lambda n, i: F.struct(n.cast("int").alias("page_number"), F.trim(F.get(parts, i + 1)).alias("page_text")))
-    one = F.array(F.struct(F.lit(1).alias("page_number"), F.trim(F.col(text)).alias("page_text")))
+    zipped = F.transform(numbers, lambda n, i: F.struct(n.cast("int").alias("page_number"), _strip(F.get(parts, i + 1)).alias("page_text")))
+    one = F.array(F.struct(F.lit(1).alias("page_number"), _strip(F.col(text)).alias("page_text")))
     rows = docs.withColumn("_p", F.explode(F.when(marked, zipped).otherwise(one)))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "_p.*").where("page_text <> ''")
 
@@ -57,7 +62,7 @@ def markdown_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     table = F.regexp_extract(text, r"(?m)((?:^[ \t]*\|.*\|[ \t]*(?:\n|$)){3,})", 1)
     lines = F.filter(F.split(F.trim(table), r"\s*\n\s*"), lambda s: ~s.rlike(r"^[\s|:\-]+$"))
-    cells = lambda s: F.transform(F.split(F.regexp_replace(s, r"^\s*\||\|\s*$", ""), r"\|"), F.trim)
+    cells = lambda s: F.transform(F.split(F.regexp_replace(s, r"^\s*\||\|\s*$", ""), r"\|"), _strip)
     d = docs.withColumn("_l", F.when(table != "", lines)).where("size(_l) > 1").withColumn("_h", F.transform(cells(F.col("_l")[0]), heading))
     d = d.select(*[F.col(f"`{c}`") for c in docs.columns], "_h", F.posexplode(F.slice("_l", 2, F.size("_l") - 1)).alias("_i", "_r"))
     pairs = F.arrays_zip(F.col("_h").alias("k"), cells(F.col("_r")).alias("v"))

@@ -18,11 +18,19 @@ def _quote(label: str) -> str:
     return "".join(c if c.isalnum() or c == " " else "\\" + c for c in label)
 
 
+def marked(text: Column) -> Column:
+    """The text with a form feed before each known label that a separator follows: where a value must end.
+
+    One scan for all labels, instead of one look-ahead over all labels for each of them.
+    """
+    stop = "|".join(_quote(k) for k in known_labels())
+    return F.regexp_replace(text, rf"(?i)\b({stop})(?!\w)(?=\s*[:\-](?:\s|$))", "\f$1")
+
+
 def _pattern(label: str) -> str:
     """Label, an optional remark in brackets, a separator, and the value up to two spaces, a line end or the next label."""
-    stop = "|".join(rf"\b{_quote(k)}(?!\w)" for k in known_labels())
     edge = r"\b" if label[-1].isalnum() else ""
-    return rf"(?i)\b{_quote(label)}{edge}(?:\s*\([^)\n]{{0,30}}\))?[:\-=]?\s*([^\n]*?)(?=\s{{2,}}|\n|\s*(?:{stop})\s*[:\-](?:\s|$)|$)"
+    return rf"(?i)\b{_quote(label)}{edge}(?:\s*\([^)\n]{{0,30}}\))?[:\-=]?(?:(?!\f)\s)*([^\n\f]*?)(?=\s{{2,}}|\n|\f|$)"
 
 
 def field(value: Column, confidence: Column, matched: Column) -> Column:
@@ -35,7 +43,7 @@ def field(value: Column, confidence: Column, matched: Column) -> Column:
 
 
 def by_labels(text: Column, labels: list[str]) -> Column:
-    """F-02: the first label, in order of preference, that has a value; confidence falls with the order."""
+    """F-02 over a ``marked`` text: the first label, in order of preference, that has a value; confidence falls with the order."""
     options = []
     for i, label in enumerate(labels):
         raw = F.regexp_replace(F.trim(F.regexp_extract(text, _pattern(label), 1)), r"^[:\-\s]+|[:\-\s]+$", "")
@@ -63,10 +71,10 @@ def typed(found: Column, kind: str) -> Column:
 def extract(docs: DataFrame, document_type: str, text: str = "text") -> DataFrame:
     """E-01 to E-11: adds ``fields`` (map by key), ``found``, ``total`` and ``overall_confidence`` for one type's documents."""
     keys = {**COMMON, **FIELDS.get(document_type, {})}
-    t = F.coalesce(F.col(text), F.lit(""))
-    items = [F.struct(F.lit(k).alias("key"), typed(by_labels(t, labels), kind).alias("value")) for k, (kind, labels) in keys.items()]
-    out = docs.withColumn("fields", F.map_from_entries(F.array(*items)))
-    return with_confidence(out)
+    docs = docs.withColumn("_t", marked(F.coalesce(F.col(text), F.lit(""))))
+    raw = docs.withColumn("_raw", F.struct(*[by_labels(F.col("_t"), labels).alias(k) for k, (_, labels) in keys.items()]))
+    items = [F.struct(F.lit(k).alias("key"), typed(F.col(f"_raw.{k}"), kind).alias("value")) for k, (kind, labels) in keys.items()]
+    return with_confidence(raw.withColumn("fields", F.map_from_entries(F.array(*items))).drop("_t", "_raw"))
 
 
 def with_confidence(df: DataFrame) -> DataFrame:

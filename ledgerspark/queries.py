@@ -139,10 +139,10 @@ def overdue_ratio(spark, sf_dir):
     return read(spark, sf_dir, "orders").agg(F.count_if(late).alias("overdue"), F.count("*").alias("total"), F.round(100.0 * F.count_if(late) / F.count("*"), 6).alias("percent"))
 
 
-@query("SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DECIMAL(25,2)) AS spend FROM orders GROUP BY 1")
+@query("SELECT strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS quarter, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DECIMAL(25,2)) AS spend FROM orders GROUP BY 1")
 def quarter_counts(spark, sf_dir):
     """A-07, F-44."""
-    return read(spark, sf_dir, "orders").groupBy(F.trunc(F.col("o_orderdate").cast("date"), "quarter").alias("quarter")).agg(F.count("*").alias("orders"), F.sum(_money(F.col("o_totalprice"))).cast("decimal(25,2)").alias("spend"))
+    return read(spark, sf_dir, "orders").groupBy(F.date_format(F.trunc(F.col("o_orderdate").cast("date"), "quarter"), "yyyy-MM-dd").alias("quarter")).agg(F.count("*").alias("orders"), F.sum(_money(F.col("o_totalprice"))).cast("decimal(25,2)").alias("spend"))
 
 
 @query("SELECT o_orderpriority AS currency, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DECIMAL(25,2)) AS spend, count(*) AS orders FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1998-06-02' AND CAST(o_orderdate AS DATE) < DATE '1998-07-02' GROUP BY 1")
@@ -244,14 +244,10 @@ SELECT CAST(sum(v) AS DECIMAL(38,2)) AS total, CAST(min(v) AS DECIMAL(38,2)) AS
 FROM (SELECT CAST(l_quantity AS DECIMAL(18,4)) AS v FROM lineitem)
 """)
 def decimal_aggregates(spark, sf_dir):
-    """A-09: one pass for each kind, population variance."""
-    li = read(spark, sf_dir, "lineitem").select("l_quantity")
-    one = {k: calculator.column_aggregate(li, "l_quantity", k).select(F.col("result").alias(k)) for k in ("sum", "min", "max", "avg", "variance")}
-    n = calculator.column_aggregate(li, "l_quantity", "sum").select("count")
-    out = one["sum"]
-    for d in (one["min"], one["max"], one["avg"], one["variance"], n):
-        out = out.join(F.broadcast(d))  # single rows
-    return out.select(F.col("sum").alias("total"), F.col("min").alias("lowest"), F.col("max").alias("highest"), F.col("count").alias("n"), F.col("avg").cast("double").alias("mean"), F.col("variance").cast("double").alias("variance"))
+    """A-09: every kind in one pass, population variance."""
+    kinds = {"total": "sum", "lowest": "min", "highest": "max", "mean": "avg", "variance": "variance"}
+    out = calculator.column_aggregates(read(spark, sf_dir, "lineitem"), "l_quantity", kinds)
+    return out.withColumns({"mean": F.col("mean").cast("double"), "variance": F.col("variance").cast("double")})
 
 
 _NUMBERS = [("1 394,67", 1394.67), ("1.394,67", 1394.67), ("1,394.67", 1394.67), ("689,70", 689.70), ("$ 5 640,17", 5640.17), ("52.,083.00", 52083.0), (",70", 0.70), ("1,676,976", 1676976.0), ("1.676.976,00", 1676976.0), ("667.080.00", 667080.0), ("Rs. 15,000.00", 15000.0), ("1,394", 1.394), ("abc", None), ("", None), ("-12.5", -12.5)]
@@ -555,10 +551,10 @@ def _results(spark, sf_dir):
     return r.unionByName(older)
 
 
-@query("SELECT o_orderkey AS document_id, o_orderkey AS source_extraction_result_id, 'INV-' || o_orderkey AS invoice_number, CAST(o_orderdate AS DATE) AS invoice_date, CAST(o_totalprice AS DECIMAL(15,2)) AS grand_total_amount FROM orders")
+@query("SELECT o_orderkey AS document_id, o_orderkey AS source_extraction_result_id, 'INV-' || o_orderkey AS invoice_number, strftime(o_orderdate, '%Y-%m-%d') AS invoice_date, CAST(o_totalprice AS DECIMAL(15,2)) AS grand_total_amount FROM orders")
 def star_projection(spark, sf_dir):
     """X-01, X-05, F-22, F-42: invoices from the latest results."""
-    return star.invoices(_results(spark, sf_dir)).select("document_id", "source_extraction_result_id", "invoice_number", "invoice_date", "grand_total_amount")
+    return star.invoices(_results(spark, sf_dir)).select("document_id", "source_extraction_result_id", "invoice_number", F.date_format("invoice_date", "yyyy-MM-dd").alias("invoice_date"), "grand_total_amount")
 
 
 @query("SELECT 'V' || (o_custkey % 50) AS vendor_code, 'Seller ' || (o_custkey % 50) AS canonical_name, count(*) AS documents FROM orders GROUP BY 1, 2")
