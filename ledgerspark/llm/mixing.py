@@ -5,11 +5,14 @@ over the domains ``clean``, ``low`` and ``toxic``. Nonnegative document rates r
 
     sum over domains d of w_d * (sum_i tokens_i * p_id * r_i - target_d) ** 2
 
-by projected gradient steps: a step needs one number for each domain, summed over all documents, and
-moves every rate by its own posteriors times those numbers, cut off at 0 (and at ``max_rate``, where
-one is given). w_d = 1 / max(target_d, current_d) makes the errors relative and the steps few.
-
-A rate is a function of the posteriors and the sums of the steps so far, so rates are never shipped.
+by projected gradient steps: a step needs a few numbers for each domain, summed over all documents
+in one pass, and moves every rate by its own posteriors times those numbers, cut off at 0 (and at
+``max_rate``, where one is given). w_d = 1 / max(target_d, current_d) makes the errors relative; the
+gradient is scaled by the inverse of the (slightly enlarged) second moments of the posteriors inside
+the bounds, so that few passes do, and a step that raises the error is shortened.
+
+Posteriors take one value for each combination of binned features, so a pass joins the documents'
+(tokens, cell) with a table of ``N_CELLS`` posteriors and rates; rates are never shipped.
 The lexicon for the toxic domain is drawn from at most ``TRAIN_ROWS`` labelled rows (those with the
 smallest hashes of their ids), a documented bound; class counts use every labelled row. Defined cases: null and empty
 texts have no tokens, the features of an empty text and a rate like others; null or other labels are
@@ -21,7 +24,6 @@ rows.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -33,9 +35,7 @@ DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 TRAIN_ROWS = 4000
 MAX_LEXICON = 150
-STEPS, TOLERANCE = 60, 1e-7
-#: So many steps are written into one plan before their result is kept.
-CHAIN = 15
+PASSES, TOLERANCE, RIDGE = 80, 1e-6, 1e-8
 _SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -99,41 +99,34 @@ def features(docs: DataFrame, lexicon: list[str], keep: list[str]) -> DataFrame:
     )
 
 
-@dataclass
 class Mixture:
-    """A fitted classifier and the steps that turn posteriors into rates.
+    """A fitted classifier and the rates reached so far.
 
-    Features are binned, so posteriors and rates belong to cells, of which there are ``N_CELLS``.
+    Features are binned, so posteriors and rates belong to cells, of which there are ``N_CELLS``
+    whatever the corpus; a document finds both by the number of its cell.
     """
 
-    lexicon: list[str]
-    log_prior: np.ndarray
-    log_likelihood: list[np.ndarray]  # for each feature (domain, bin)
-    steps: list[list[float]] = field(default_factory=list)
-    max_rate: float | None = None
-    totals: list[float] = field(default_factory=list)
-
-    def cells(self, spark) -> DataFrame:
-        """(cell, p0, p1, p2, cell_rate) of every cell, a table of fixed size."""
+    def __init__(self, lexicon: list[str], log_prior: np.ndarray, log_likelihood: list[np.ndarray]):
+        self.lexicon, self.max_rate = lexicon, None
         at = np.arange(N_CELLS)
-        z = np.tile(self.log_prior, (N_CELLS, 1))
-        for bins, table in zip(BINS[::-1], self.log_likelihood[::-1]):
+        z = np.tile(log_prior, (N_CELLS, 1))
+        for bins, table in zip(BINS[::-1], log_likelihood[::-1]):  # for each feature (domain, bin)
             z += table.T[at % bins]
             at = at // bins
         p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        rate = np.ones(N_CELLS)
-        for s in self.steps:
-            rate = np.clip(rate - p @ np.array(s), 0.0, self.max_rate)
-        rows = [(c, *map(float, p[c]), float(rate[c])) for c in range(N_CELLS)]
+        self.p = p / p.sum(1, keepdims=True)
+        self.rate = np.ones(N_CELLS)
+        self.totals: list[float] = []
+        self.passes = 0
+
+    def cells(self, spark) -> DataFrame:
+        """(cell, p0, p1, p2, cell_rate) of every cell, a table of fixed size."""
+        rows = [(c, *map(float, self.p[c]), float(self.rate[c])) for c in range(N_CELLS)]
         return spark.createDataFrame(rows, "cell int, p0 double, p1 double, p2 double, cell_rate double")
 
-    def moved(self, rate: Column, steps: list[list[float]]) -> Column:
-        for s in steps:
-            rate = F.greatest(F.lit(0.0), rate - (F.lit(s[0]) * F.col("p0") + F.lit(s[1]) * F.col("p1") + F.lit(s[2]) * F.col("p2")))
-            if self.max_rate is not None:
-                rate = F.least(rate, F.lit(self.max_rate))
-        return rate
+    def moved(self, step: np.ndarray) -> np.ndarray:
+        """The rates after a step against ``step``, projected onto the bounds."""
+        return np.clip(self.rate - self.p @ step, 0.0, self.max_rate)
 
     def rated(self, docs: DataFrame, keep: list[str]) -> DataFrame:
         """The named columns and ``cell_rate``; ``cell`` finds it in the table of fixed size."""
@@ -153,8 +146,21 @@ def classify(labelled: DataFrame, lexicon: list[str]) -> Mixture:
     return Mixture(lexicon, np.log(size / size.sum()), [np.log(t / t.sum(1, keepdims=True)) for t in tables])
 
 
+def domain_sums(scored: DataFrame, mixture: Mixture) -> tuple[float, np.ndarray, np.ndarray]:
+    """(all tokens, expected tokens of each domain, tokens * p_d * p_e over documents inside the bounds): one pass over all documents."""
+    k = range(len(DOMAINS))
+    t, rate = F.col("tokens").cast("double"), F.col("cell_rate")
+    inside = (rate > 0) & (F.lit(True) if mixture.max_rate is None else rate < mixture.max_rate)
+    free = F.when(inside, t).otherwise(0.0)
+    r = scored.join(F.broadcast(mixture.cells(scored.sparkSession)), "cell").agg(
+        F.sum(t).alias("all"), *[F.sum(t * F.col(f"p{d}") * rate).alias(f"t{d}") for d in k],
+        *[F.sum(free * F.col(f"p{d}") * F.col(f"p{e}")).alias(f"m{d}{e}") for d in k for e in k],
+    ).first()
+    return r["all"] or 0.0, np.array([r[f"t{d}"] or 0.0 for d in k]), np.array([[r[f"m{d}{e}"] or 0.0 for e in k] for d in k])
+
+
 def fit(docs: DataFrame, labels: DataFrame, targets=None, budget: float | None = None, max_rate: float | None = None, train_rows: int = TRAIN_ROWS) -> tuple[Mixture, DataFrame]:
-    """-> (mixture, kept table of doc_id, tokens, posteriors and rate).
+    """-> (mixture, table of doc_id, tokens, posteriors and rate).
 
     ``targets``: weights by domain, of ``budget`` tokens (as many as there are, by default), or a
     function from the domains' current totals to their target totals.
@@ -164,17 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, targets=None, budget: float | None =
     lexicon = find_lexicon(docs, domains, train_rows)
     scored = scratch.keep(features(docs, lexicon, ["doc_id"]))
     mixture = classify(scored.join(domains, "doc_id"), lexicon)
+    whole, current, gram = domain_sums(scored, mixture)
     mixture.max_rate = max_rate
-    cells = F.broadcast(mixture.cells(docs.sparkSession))  # of fixed size
-    state = scratch.keep(scored.join(cells, "cell").select("doc_id", "tokens", "p0", "p1", "p2", F.lit(1.0).alias("rate")))
-    k = range(len(DOMAINS))
-    weigh = F.col("tokens").cast("double")
-    first = state.agg(
-        F.sum(weigh).alias("all"), *[F.sum(weigh * F.col(f"p{d}")).alias(f"t{d}") for d in k],
-        *[F.sum(weigh * F.col(f"p{d}") * F.col(f"p{e}")).alias(f"m{d}{e}") for d in k for e in k],
-    ).first()
-    whole = first["all"] or 0.0
-    current = np.array([first[f"t{d}"] or 0.0 for d in k])
     if callable(targets):
         target = np.array(targets(current), float)
     else:
@@ -182,28 +179,27 @@ def fit(docs: DataFrame, labels: DataFrame, targets=None, budget: float | None =
         target = weights / max(weights.sum(), 1e-12) * (whole if budget is None else budget)
     mixture.totals = target.tolist()
     if whole > 0:
-        scale = 1 / np.maximum(np.maximum(target, current), 1e-6 * whole)
-        gram = np.array([[first[f"m{d}{e}"] for e in k] for d in k])
-        top = float(np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale)[None, :]).max())
-        chain: list[list[float]] = []
-        error = current - target
-        for _ in range(STEPS):
-            step = (scale * error / top).tolist()
-            mixture.steps.append(step)
-            chain.append(step)
-            if len(chain) == CHAIN:
-                nxt = scratch.keep(state.withColumn("rate", mixture.moved(F.col("rate"), chain)))
-                scratch.drop(state)
-                state, chain = nxt, []
-            moved = state.withColumn("rate", mixture.moved(F.col("rate"), chain))
-            now = moved.agg(*[F.sum(weigh * F.col(f"p{d}") * F.col("rate")).alias(f"t{d}") for d in k]).first()
-            after = np.array([now[f"t{d}"] for d in k]) - target
-            done = np.abs(after - error).max() <= TOLERANCE * whole
-            error = after
-            if done or np.abs(error).max() <= TOLERANCE * whole:
+        root = 1 / np.sqrt(np.maximum(np.maximum(target, current), 1e-6 * whole))
+        ridge = RIDGE * np.trace(root[:, None] * gram * root[None, :])
+        error, size = current - target, 1.0
+        loss = float(((root * error) ** 2).sum())
+        for mixture.passes in range(1, PASSES + 1):
+            metric = root[:, None] * gram * root[None, :] + ridge * np.eye(len(DOMAINS))
+            before = mixture.rate
+            mixture.rate = mixture.moved(size * root * np.linalg.solve(metric, root * error))
+            _, reached, inside = domain_sums(scored, mixture)
+            after = float(((root * (reached - target)) ** 2).sum())
+            if after > loss:  # the bounds bent the step: a shorter one from the same place
+                mixture.rate, size = before, size / 4
+                if size < 1e-6:
+                    break
+                continue
+            settled = loss - after <= TOLERANCE * loss
+            error, gram, loss, size = reached - target, inside, after, min(1.0, 2 * size)
+            if settled or np.abs(error).max() <= TOLERANCE * whole:
                 break
-        state = state.withColumn("rate", mixture.moved(F.col("rate"), chain))
-    return mixture, state
+    rated = scored.join(F.broadcast(mixture.cells(docs.sparkSession)), "cell")
+    return mixture, rated.select("doc_id", "tokens", "p0", "p1", "p2", F.col("cell_rate").alias("rate"))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
