@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,18 +44,23 @@ def field(value: Column, confidence: Column, matched: Column) -> Column:
     )
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def by_labels(text: Column, labels: list[str]) -> Column:
     """F-02 over a ``marked`` text: the first label, in order of preference, that has a value; confidence falls with the order."""
-    options = []
-    for i, label in enumerate(labels):
-        raw = F.regexp_replace(F.trim(F.regexp_extract(text, _pattern(label), 1)), r"^[:\-\s]+|[:\-\s]+$", "")
-        long = F.length(raw) > MAX_VALUE
+
+    def option(i: int, label: str) -> Column:
         confidence = max(0.3, round(0.9 - 0.1 * i, 2))
-        options.append(F.when(raw != "", F.struct(
-            F.trim(F.substring(raw, 1, MAX_VALUE)).alias("value"),
-            F.when(long, round(max(0.0, confidence - 0.2), 2)).otherwise(confidence).alias("confidence"), F.lit(label).alias("label"))))
-    best = F.coalesce(*options)
-    return field(best["value"], best["confidence"], F.concat_ws(": ", best["label"], best["value"]))
+        raw = F.regexp_replace(F.trim(F.regexp_extract(text, _pattern(label), 1)), r"^[:\-\s]+|[:\-\s]+$", "")
+        return once(raw, lambda r: F.when(r != "", F.struct(
+            F.trim(F.substring(r, 1, MAX_VALUE)).alias("value"),
+            F.when(F.length(r) > MAX_VALUE, round(max(0.0, confidence - 0.2), 2)).otherwise(confidence).alias("confidence"), F.lit(label).alias("label"))))
+
+    best = F.coalesce(*[option(i, label) for i, label in enumerate(labels)])
+    return once(best, lambda b: field(b["value"], b["confidence"], F.concat_ws(": ", b["label"], b["value"])))
 
 
 def typed(found: Column, kind: str) -> Column:
@@ -72,9 +79,11 @@ def extract(docs: DataFrame, document_type: str, text: str = "text") -> DataFram
     """E-01 to E-11: adds ``fields`` (map by key), ``found``, ``total`` and ``overall_confidence`` for one type's documents."""
     keys = {**COMMON, **FIELDS.get(document_type, {})}
     docs = docs.withColumn("_t", marked(F.coalesce(F.col(text), F.lit(""))))
-    raw = docs.withColumn("_raw", F.struct(*[by_labels(F.col("_t"), labels).alias(k) for k, (_, labels) in keys.items()]))
-    items = [F.struct(F.lit(k).alias("key"), typed(F.col(f"_raw.{k}"), kind).alias("value")) for k, (kind, labels) in keys.items()]
-    return with_confidence(raw.withColumn("fields", F.map_from_entries(F.array(*items))).drop("_t", "_raw"))
+    items = [
+        F.struct(F.lit(k).alias("key"), once(by_labels(F.col("_t"), labels), lambda f: typed(f, kind)).alias("value"))
+        for k, (kind, labels) in keys.items()
+    ]
+    return with_confidence(docs.withColumn("fields", F.map_from_entries(F.array(*items))).drop("_t"))
 
 
 def with_confidence(df: DataFrame) -> DataFrame:
