@@ -5,8 +5,8 @@ url. Redirects and canonical links make urls aliases of each other: connected co
 those edges carry a block to the aliases that no rule names, and an explicit allow anywhere in a
 component takes precedence over a block that would reach it from an alias.
 
-Defined cases: a null url, or one without ``://``, has host and path '' and fits no rule unless an
-alias says otherwise; null html has no links; repeated rows are judged alike; the input's other
+Defined cases: a null url, or one without ``://``, has host and path '', fits no rule and is nobody's
+alias (pages that share such a string need not be the same page); null html has no links; repeated rows are judged alike; the input's other
 columns are ignored; no rows give no rows.
 """
 
@@ -76,7 +76,7 @@ def link_edges(pages: DataFrame) -> DataFrame:
     )
     some = html.rlike(r"(?i)canonical|refresh")
     found = pages.where(some).select(F.col("url").alias("src"), F.explode(F.concat(canonical, refresh)).alias("dst"))
-    return found.where("src IS NOT NULL AND dst LIKE '%://%'")
+    return found.where("src LIKE '%://%' AND dst LIKE '%://%'")
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
@@ -89,7 +89,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFr
     own = match_rules(pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules)
     edges = link_edges(pages)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"))
+        edges = edges.unionByName(redirects.select("src", "dst").where("src LIKE '%://%' AND dst LIKE '%://%'"))
     clean = lambda c: F.regexp_replace(F.trim(F.col(c)), r"(?s)#.*$", "")
     edges = scratch.keep(edges.select(clean("src").alias("src"), clean("dst").alias("dst")))
     nodes = connected_components(edges, scratch)
