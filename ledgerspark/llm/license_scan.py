@@ -1,10 +1,12 @@
 """Operator 8, licence scan with a positional rare-token index; DataFrame functions only.
 
-The words of licence notices (templates) are indexed with their positions. In each file the licence
-words with the highest inverse document frequency are looked up first; where two or more of them
-stand at the distances that a template gives them, the file and template meet at one relative
-position, and there all indexed words are compared: the words of the template's key phrases must all
-be in place, and the share of matched words, weighted by their frequencies, must be high enough.
+The words of licence notices (templates) are indexed with their positions. Of each template the
+words of its key phrase with the highest inverse document frequency are looked up first; where all of
+them stand in a file at the distances that the template gives them, the file and template meet at one
+relative position, and there all indexed words are compared: the words of the template's key phrase
+must all be in place, and the share of matched words, weighted by their frequencies, must be high
+enough. As the words looked up first are among those that must be in place, no match is missed,
+however many notices a file holds.
 
 Document frequencies are counted over all documents; only a number for each word of the templates
 comes to the driver. Defined cases: null texts count as empty and have no words, places or labels;
@@ -117,14 +119,16 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, rare_words: int = RARE_WO
         [(w, t, label, i, m, idf[w] / weight[t], must[t]) for w, t, label, i, m in index],
         "w string, template int, label string, place int, must boolean, part double, n_must int",
     ))
-    rank = F.broadcast(spark.createDataFrame([(w, v) for w, v in idf.items()], "w string, idf double"))
-    hits = scanned.where(F.size("hits") > 1).select("row", F.explode("hits").alias("x")).select("row", "x.w", F.col("x.at").alias("at"))
-    # the file's rarest licence words: collected as words, at most the vocabulary for a row
-    rare = hits.select("row", "w").distinct().join(rank, "w").groupBy("row").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("idf", "w")), asc=False), 1, rare_words).alias("top")
-    ).select("row", F.explode("top.w").alias("w"))
-    met = hits.join(rare, ["row", "w"]).join(postings, "w").groupBy("row", "template", (F.col("at") - F.col("place")).alias("shift")).agg(
-        F.count("*").alias("n")).where("n >= 2").select("row", "template", "shift")
+    # the rarest places that each template needs anyway: a file without them all cannot match it
+    needed: dict[int, list[tuple[float, str, int]]] = {}
+    for w, t, _, i, m in index:
+        if m:
+            needed.setdefault(t, []).append((-idf[w], w, i))
+    first = {t: sorted(places)[:max(rare_words, 1)] for t, places in needed.items()}
+    rare = F.broadcast(spark.createDataFrame([(w, t, i, len(places)) for t, places in first.items() for _, w, i in places], "w string, template int, place int, n_rare int"))
+    hits = scanned.where(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.w", F.col("x.at").alias("at"))
+    met = hits.join(rare, "w").groupBy("row", "template", (F.col("at") - F.col("place")).alias("shift")).agg(
+        F.count("*").alias("n"), F.first("n_rare").alias("n_rare")).where("n = n_rare").select("row", "template", "shift")
     full = hits.join(postings, "w").withColumn("shift", F.col("at") - F.col("place"))
     judged = full.join(met, ["row", "template", "shift"], "left_semi").groupBy("row", "template", "shift").agg(
         F.first("label").alias("label"), F.sum("part").alias("share"),

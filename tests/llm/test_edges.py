@@ -1,5 +1,7 @@
 """Every operator over nulls, empty and very long texts, ties, repeated rows, clashing columns, and empty tables."""
 
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -8,7 +10,7 @@ import pytest
 
 from ledgerspark.llm import license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, toxicity
 
-from .conftest import SCHEMA, corpus
+from .conftest import SCHEMA, corpus, prose
 
 ROWS = corpus()
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -149,6 +151,41 @@ def test_license_scan_matches_brute_force(docs):
     assert "cc-by-nc-4.0" in got[117]["labels"] and "mit" in got[118]["labels"].split(",")
 
 
+def brute_labels(texts):
+    index = license_scan.build_index(license_scan.TEMPLATES)
+    files = [license_scan.template_words(t) for t in texts]
+    idf = {w: math.log((len(files) + 1) / (sum(w in f for f in files) + 1)) + 1e-6 for w, *_ in index}
+    out = []
+    for f in files:
+        found = {l for p, l in license_scan.PHRASES for i in range(len(f)) if f[i : i + len(p.split())] == p.split()}
+        for t in range(len(license_scan.TEMPLATES)):
+            own = [r for r in index if r[1] == t]
+            for shift in range(-40, len(f)):
+                held = [r for r in own if 0 <= shift + r[3] < len(f) and f[shift + r[3]] == r[0]]
+                share = sum(idf[r[0]] for r in held) / sum(idf[r[0]] for r in own)
+                if sum(r[4] for r in held) == sum(r[4] for r in own) and share >= license_scan.MIN_SHARE:
+                    found.add(own[0][2])
+        out.append(",".join(sorted(found)))
+    return out
+
+
+def test_license_scan_finds_every_notice_of_a_file(spark):
+    rng = random.Random(4)
+    notices = [t for _, _, t in license_scan.TEMPLATES]
+    # notices of the other licences are rare, the words of Creative Commons' common
+    texts = ["Licensed under CC BY 4.0", "by 4 cc 0 licensed under", "cc 4 0 by"] * 8
+    texts += [f"{notices[4]}. {notices[11]}.", ". ".join(notices), ". ".join(reversed(notices)), " ".join(prose(rng, 3) + " " + n for n in notices)]
+    texts += [". ".join(rng.sample(notices, rng.randint(2, 6))) for _ in range(12)]
+    # every indexed word by chance, in no order
+    loose = [w for n in notices for w in license_scan.template_words(n)]
+    rng.shuffle(loose)
+    texts.append(" ".join(loose) + ". Licensed under CC BY 4.0")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_labels(texts)
+    assert {"mit", "cc-by-4.0"} <= set(got[24].split(","))
+
+
 def test_classifiers_learn_and_score_everything(docs, labels):
     for op, bad in ((quality_classifier.quality_scores, "###"), (toxicity.toxicity_scores, "idiot")):
         rows = op(docs, labels, ["doc_id", "text", "label"]).collect()
