@@ -11,7 +11,8 @@ which leaves less to the next:
 3. classes of larger groups get new signatures, made of shingles only that few of these classes
    have, so that no group is large;
 4. classes with too few rare shingles for that (families of near copies) are compared in blocks,
-   matrix by matrix, with whole sets, and only links between different components come back.
+   matrix by matrix, with whole sets, and only links between different components come back; those
+   of them that meet in groups of up to ``SMALL_GROUP`` alone are compared as in step 2.
 
 Candidates pass a parity sketch, which cannot lose a link, and then the exact test on whole sets.
 Components come from distributed contraction; nothing but counts reaches the driver.
@@ -95,10 +96,11 @@ class Join:
 
     def whole_sets(self, classes: DataFrame) -> DataFrame:
         """(cls) -> (cls, n, elements binary), from the text of one document of each class."""
-        wanted = self.scratch.keep(classes.distinct().join(self.classes, "cls").select(F.col("rep").alias("doc_id"), "cls").where("doc_id IS NOT NULL"))
-        ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        wanted = self.scratch.keep(classes.distinct().join(self.classes, "cls").select(F.col("rep").alias("doc_id"), "cls"))
+        size = wanted.agg(F.count("*").alias("n"), F.count("doc_id").alias("named")).first()
+        few = (lambda df: F.broadcast(df)) if size["n"] <= BROADCAST_ROWS else (lambda df: df)
         # an id may stand on several rows: the class decides which of them is meant
-        texts = self.docs.join(ids, "doc_id").select("cls", "text")
+        texts = self.docs.join(few(wanted.where("doc_id IS NOT NULL")), "doc_id").select("cls", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for head, sets in _sets(batches):
@@ -107,7 +109,19 @@ class Join:
                     [head.column(0).take(pa.array(good, pa.int64())), pa.array([len(sets[i]) for i in good], pa.int64()),
                      pa.array([sets[i].tobytes() for i in good], pa.binary())], names=["cls", "n", "elements"])
 
-        return texts.mapInArrow(run, "cls bigint, n bigint, elements binary").dropDuplicates(["cls"])
+        def nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, sets in _sets(batches):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "n", "elements"])
+
+        schema = "cls bigint, n bigint, elements binary"
+        found = texts.mapInArrow(run, schema)
+        if size["named"] < size["n"]:
+            # classes all of whose rows lack an id are found among such rows
+            rows = self.docs.where("doc_id IS NULL").select("text").mapInArrow(nameless, schema)
+            found = found.unionByName(rows.join(few(wanted.where("doc_id IS NULL").select("cls")), "cls", "left_semi"))
+        return found.dropDuplicates(["cls"])
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b) candidates -> (src, dst) links: sketches first, whole sets for those that remain."""
@@ -153,7 +167,7 @@ class Join:
 
         A linked pair has more than one signature in common (see ``signatures``), and all of them
         are in these groups unless both of its classes are in larger ones, too (``crowd``); such
-        pairs are left to the next step.
+        pairs are left to the next steps.
         """
         a, b = (groups.select("sig", *[F.col(c).alias(f"{k}_{c}") for c in ("cls", "comp", "n", "crowd")]) for k in "ab")
         met = a.join(b, "sig").where(
@@ -187,6 +201,12 @@ class Join:
         found.append(self.verified(self.within_groups(groups)))
         poor = signed.where("NOT enough").select("cls")
         found.append(self.blockwise(large.select("sig", "cls").join(poor, "cls"), sets, found))
+        # a linked pair of poor classes with no large group in common has all its signatures in small ones
+        left = sized.select("sig", "cls", "n").join(poor, "cls")
+        comps = self.components(found)
+        left = left.join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left").select(
+            "sig", "cls", F.coalesce("component", "cls").alias("comp"), "n", F.lit(False).alias("crowd"))
+        found.append(self.verified(self.within_groups(left)))
         return union_all(found)
 
     def rare_signed(self, sets: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 
 from ledgerspark.llm import license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, toxicity
+from ledgerspark.llm.textscan import Block, shingle_sets
 
 from .conftest import SCHEMA, corpus, prose
 
@@ -75,6 +76,37 @@ def test_ngram_join_matches_brute_force(docs, small_group):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(ROWS)
 
 
+def test_ngram_join_of_poor_classes_that_meet_in_small_groups_alone(spark):
+    rng = random.Random(3)
+    cls = lambda t: ngram_join.class_of(shingle_sets(Block([t.encode()], lower=True), 5)[0])
+    p, q = prose(rng, 30), prose(rng, 30)
+    a, b = f"{p} {q} one", f"{p} {q} two"
+    least = min((prose(rng, 60) for _ in range(40)), key=cls)
+    assert cls(least) < min(cls(a), cls(b))
+    # a's large group comes from p and b's from q; they meet beside a smaller class, so that step 1 misses them
+    sigs = {a: [1, 2, 3, 4, 100], b: [1, 2, 3, 4, 200], least: [1, 2, 3, 4]}
+    sigs |= {f"{p} {prose(rng, 31)}": [100] for _ in range(4)} | {f"{prose(rng, 31)} {q}": [200] for _ in range(4)}
+    # the shingles between p and q are common, too
+    middle = " ".join([*p.split()[-15:], *q.split()[:15]])
+    sigs |= {f"{prose(rng, 15)} {middle} {prose(rng, 15)}": [300] for _ in range(4)}
+    docs = spark.createDataFrame(list(enumerate(sigs)), "doc_id bigint, text string")
+    join = ngram_join.Join(docs, 3, 4)
+    planted = spark.createDataFrame([(cls(t), x) for t, x in sigs.items()], "cls bigint, sigs array<bigint>")
+    join.rows = join.scratch.keep(join.rows.drop("sigs").join(planted, "cls").select("doc_id", "n", "cls", "sketch", "sigs"))
+    assert {frozenset(r) for r in join.links().collect()} == {frozenset((cls(a), cls(b)))}
+
+
+def test_ngram_join_links_texts_without_ids(spark):
+    rng = random.Random(8)
+    w = prose(rng, 100).split()
+    near = [" ".join(w[:i] + [f"other{i}"] + w[i + 1 :]) for i in (0, 99)]
+    far = " ".join([f"other{i}" for i in range(20)] + w[20:])
+    rows = [(5, near[0]), (None, " ".join(w)), (None, near[1]), (None, far), (7, prose(rng, 50)), (None, prose(rng, 50))]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
+    assert [r["component_id"] for r in got].count(5) >= 3
+
+
 def test_deduplicated_keeps_one_of_each_group(docs):
     kept = ngram_join.deduplicated(docs)
     assert kept.columns == docs.columns
