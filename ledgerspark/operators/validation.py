@@ -145,7 +145,8 @@ def semantic_duplicates(rows: DataFrame, key: str = "id") -> DataFrame:
     """V-22, V-23: pairs of (document_type, seller, number) equals, strong with equal date and total, potential where one is missing.
 
     Rows are first reduced to one for each distinct content, so that equal rows never pair up by the
-    square; each later content is compared with the first of its group and with its own equals.
+    square; each row is paired with the first row of every other content that it may repeat, and with
+    the first of its own. Two first rows make one pair, under the later one's key.
     """
     norm = lambda c: F.lower(F.trim(c))
     d = rows.select(key, "document_type", norm(F.col("seller")).alias("seller"), norm(F.col("number")).alias("number"), F.col("date").cast("string").alias("date"), F.col("total").cast("string").alias("total"))
@@ -154,11 +155,23 @@ def semantic_duplicates(rows: DataFrame, key: str = "id") -> DataFrame:
     contents = d.groupBy(*group, "date", "total").agg(F.min(key).alias("least"), F.count("*").alias("n"))
     equal = contents.where("n > 1 AND date IS NOT NULL AND total IS NOT NULL").select(*group, "date", "total", F.col("least").alias("other_id"))
     strong = d.join(equal, [*group, "date", "total"]).where(F.col(key) != F.col("other_id")).select(key, "other_id", F.lit("strong").alias("kind"))
-    firsts = contents.groupBy(*group).agg(F.min_by(F.struct("least", "date", "total"), "least").alias("f"))
-    loose = d.join(firsts, group).select(key, F.col("f.least").alias("other_id"), "date", "total", F.col("f.date").alias("fd"), F.col("f.total").alias("ft"))
-    loose = loose.where(F.col(key) != F.col("other_id")).where(
-        "(date IS NULL OR fd IS NULL OR date = fd) AND (total IS NULL OR ft IS NULL OR total = ft) AND (date IS NULL OR fd IS NULL OR total IS NULL OR ft IS NULL)")
-    return strong.unionByName(loose.select(key, "other_id", F.lit("potential").alias("kind")))
+    # contents that lack nothing, the total, the date or both; each kind of link is joined by what it must have equal
+    has = lambda c: c.select(*group, "date", "total", "least")
+    full, dated = has(contents.where("date IS NOT NULL AND total IS NOT NULL")), has(contents.where("date IS NOT NULL AND total IS NULL"))
+    totalled, bare = has(contents.where("date IS NULL AND total IS NOT NULL")), has(contents.where("date IS NULL AND total IS NULL"))
+
+    def link(x: DataFrame, y: DataFrame, *same: str) -> DataFrame:
+        on = [*group, *same]
+        return x.select(*on, F.col("least").alias("x")).join(y.select(*on, F.col("least").alias("y")), on).select("x", "y")
+
+    links = link(dated, full, "date").unionByName(link(totalled, full, "total")).unionByName(link(dated, totalled))
+    links = links.unionByName(link(bare, full.unionByName(dated).unionByName(totalled)))
+    own = contents.where("n > 1 AND (date IS NULL OR total IS NULL)").select(F.col("least").alias("x"), F.col("least").alias("y"))
+    links = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(own)
+    c = contents.select(*[F.col(k).alias(f"c_{k}") for k in (*group, "date", "total")], F.col("least").alias("x"))
+    placed = d.join(c, [*[F.col(k) == F.col(f"c_{k}") for k in group], *[F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in ("date", "total")]]).select(key, "x")
+    loose = placed.join(links, "x").where((F.col(key) != F.col("y")) & ~((F.col(key) == F.col("x")) & (F.col("y") > F.col("x"))))
+    return strong.unionByName(loose.select(key, F.col("y").alias("other_id"), F.lit("potential").alias("kind")))
 
 
 def line_checks(items: DataFrame) -> DataFrame:

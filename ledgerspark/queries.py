@@ -226,6 +226,23 @@ def semantic_duplicates(spark, sf_dir):
     return validation.semantic_duplicates(rows).where("kind = 'strong'")
 
 
+@query("""
+WITH d AS (SELECT o_orderkey AS id, o_custkey AS seller, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS total FROM orders),
+c AS (SELECT *, min(id) OVER (PARTITION BY seller, date, total) AS own_id FROM d)
+SELECT a.id, b.id AS other_id, 'potential' AS kind FROM c a JOIN c b USING (seller)
+WHERE b.id = b.own_id AND a.id <> b.id AND NOT (a.id = a.own_id AND b.id > a.id)
+  AND (a.date IS NULL OR b.date IS NULL OR a.date = b.date) AND (a.total IS NULL OR b.total IS NULL OR a.total = b.total)
+  AND (a.date IS NULL OR b.date IS NULL OR a.total IS NULL OR b.total IS NULL)
+""")
+def potential_duplicates(spark, sf_dir):
+    """J-03, V-23: dates and totals that are missing in part, each row against every content of its group."""
+    o = read(spark, sf_dir, "orders")
+    date = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate").cast("date"))
+    total = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus"))
+    rows = o.select(F.col("o_orderkey").alias("id"), F.lit("NPO").alias("document_type"), F.col("o_custkey").cast("string").alias("seller"), F.lit("1").alias("number"), date.alias("date"), total.alias("total"))
+    return validation.semantic_duplicates(rows).where("kind = 'potential'")
+
+
 # ---- calculator and scalar functions ---------------------------------------------------------
 
 @query("""
