@@ -6,7 +6,9 @@ those edges carry a block to the aliases that no rule names, and an explicit all
 component takes precedence over a block that would reach it from an alias.
 
 Defined cases: a null url, or one without ``://``, has host and path '', fits no rule and is nobody's
-alias (pages that share such a string need not be the same page); null html has no links; repeated rows are judged alike; the input's other
+alias (pages that share such a string need not be the same page); canonical links and refresh targets
+that are relative, or lack a scheme alone, are resolved against the page's url (RFC 3986; a ``base``
+tag is not read); aliases agree but for fragments and the case of scheme and host; null html has no links; repeated rows are judged alike; the input's other
 columns are ignored; no rows give no rows.
 """
 
@@ -70,13 +72,55 @@ def link_edges(pages: DataFrame) -> DataFrame:
         F.filter(tag, lambda t: t.rlike(r"(?is)^<link\b[^>]*\brel\s*=\s*[\"']?canonical\b")),
         lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1),
     )
+    # inside the content the target may stand in quotes of the other kind
     refresh = F.transform(
         F.filter(tag, lambda t: t.rlike(r"(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b")),
-        lambda t: F.regexp_extract(t, r"(?is)\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*([^\"'\s>]+)", 1),
+        lambda t: F.regexp_extract(t, r"(?is)\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1),
     )
     some = html.rlike(r"(?i)canonical|refresh")
-    found = pages.where(some).select(F.col("url").alias("src"), F.explode(F.concat(canonical, refresh)).alias("dst"))
-    return found.where("src LIKE '%://%' AND dst LIKE '%://%'")
+    found = pages.where(some).select(F.trim("url").alias("src"), F.explode(F.concat(canonical, refresh)).alias("dst"))
+    found = found.where("src LIKE '%://%' AND dst <> ''")
+    return found.select("src", resolve(F.col("src"), F.col("dst")).alias("dst")).where("dst LIKE '%://%'")
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """A link's target as a whole url; one of another scheme (``mailto:``) stays as it is."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
+    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path, query = path_of(base), F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    tail = F.substring(target, F.length(own) + 1, F.length(target))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), target)
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target.startswith("#"), F.concat(site, path, query))
+        .when(target.startswith("?"), F.concat(site, path, target))
+        .when(target.startswith("/"), F.concat(site, without_dots(own), tail))
+        .otherwise(F.concat(site, without_dots(F.concat(folder, own)), tail))
+    )
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path without its ``.`` and ``..`` steps, the latter with the step before them."""
+    steps = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+
+    def step(done, s):
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(s == "..", up).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+
+    walked = F.aggregate(steps, F.array().cast("array<string>"), step)
+    # a last step of dots names a folder
+    folder = F.element_at(F.split(path, "/"), -1).isin(".", "..") & (F.size(walked) > 0)
+    whole = F.concat(F.lit("/"), F.array_join(walked, "/"), F.when(folder, "/").otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), whole).otherwise(path)
+
+
+def node_key(url: Column) -> Column:
+    """What aliases agree in: the url without its fragment, scheme and host in lower case."""
+    bare = F.regexp_replace(F.trim(url), r"(?s)#.*$", "")
+    site = F.regexp_extract(bare, r"(?s)^(.*?://[^/?#]*)", 1)
+    return F.concat(F.translate(site, _UP, _LOW), F.substring(bare, F.length(site) + 1, F.length(bare)))
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
@@ -90,8 +134,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFr
     edges = link_edges(pages)
     if redirects is not None:
         edges = edges.unionByName(redirects.select("src", "dst").where("src LIKE '%://%' AND dst LIKE '%://%'"))
-    clean = lambda c: F.regexp_replace(F.trim(F.col(c)), r"(?s)#.*$", "")
-    edges = scratch.keep(edges.select(clean("src").alias("src"), clean("dst").alias("dst")))
+    edges = scratch.keep(edges.select(node_key(F.col("src")).alias("src"), node_key(F.col("dst")).alias("dst")))
     nodes = connected_components(edges, scratch)
     judged = match_rules(nodes.select("node", "component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path")), rules)
     group = judged.groupBy("component").agg(
@@ -103,7 +146,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFr
         F.when(F.col("allows") == 1, "allow").when(F.col("blocks") == 1, "block").alias("passed"),
     )
     return (
-        own.withColumn("key", clean("url")).join(spread, "key", "left")
+        own.withColumn("key", node_key(F.col("url"))).join(spread, "key", "left")
         .select("page_id", "host", "path", "rule", F.coalesce("ruled", "passed", F.lit(default)).alias("verdict"), "alias_of")
     )
 

@@ -47,6 +47,27 @@ def test_url_filter_rules_and_aliases(spark):
     assert url_filters.url_filter(pages.limit(0), url_filters.RULES).count() == 0
 
 
+def test_a_block_reaches_aliases_named_in_every_form(spark):
+    canonical, refresh = "<link rel='canonical' href='{}'>", '<meta http-equiv="refresh" content="0; url={}">'
+    blocked = "http://h{}.org/es/x"
+    forms = [
+        canonical.format("/es/x"), canonical.format("../es/x"), canonical.format("./../a/../es/x"), refresh.format("'/es/x'"), refresh.format("/es/x"),
+        canonical.format("//h{}.org/es/x"), canonical.format("HTTP://H{}.ORG/es/x"), refresh.format("'http://h{}.org/es/x'"), refresh.format(" ../es/x#top"),
+        "<meta http-equiv=refresh content='0; URL=\"http://h{}.org/es/x\"'>",
+    ]
+    rows = []
+    for i, form in enumerate(forms):
+        rows += [(2 * i, f"http://H{i}.org/q/a?b#c", form.replace("{}", str(i))), (2 * i + 1, blocked.format(i), "")]
+    rows += [(100, "http://free.org", canonical.format("mailto:a@b.org")), (101, "http://free.org/a", canonical.format("")), (102, "http://free.org", canonical.format("es/1"))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: (r["verdict"], r["alias_of"]) for r in url_filters.url_filter(pages, [("block", "org/es/")]).collect()}
+    assert all(got[2 * i][0] == got[2 * i + 1][0] == "block" and got[2 * i][1] == blocked.format(i) for i in range(len(forms)))
+    # both pages of one url are its aliases
+    assert got[100][0] == got[102][0] == "block" and got[101] == ("allow", None)
+    allowed = {r["page_id"]: r["verdict"] for r in url_filters.url_filter(pages, [("block", "org/q/"), ("allow", "org/es/")]).collect()}
+    assert all(allowed[2 * i] == "block" and allowed[2 * i + 1] == "allow" for i in range(len(forms)))
+
+
 def test_many_rules_are_joined(spark, monkeypatch):
     rows = [(1, "http://a.b.com/p/1"), (2, "http://com/p"), (3, "http://x.net/")]
     df = spark.createDataFrame(rows, "page_id bigint, url string").select("page_id", url_filters.host_of("url").alias("host"), url_filters.path_of("url").alias("path"))
