@@ -8,14 +8,16 @@ which leaves less to the next:
 1. every class against the least class of each of its signature groups (as many pairs as members);
 2. in groups of up to ``SMALL_GROUP`` classes that still hold several components, the pairs of
    different components;
-3. classes of larger groups get new signatures, made of shingles only that few of these classes
-   have, so that no group is large;
+3. classes of larger groups get new signatures, made only of shingles that at most ``RARE_HELD`` of
+   these classes have, so that no group is large;
 4. classes with too few rare shingles for that (families of near copies) are compared in blocks,
    matrix by matrix, with whole sets, and only links between different components come back; those
    of them that meet in groups of up to ``SMALL_GROUP`` alone are compared as in step 2.
 
 Candidates pass a parity sketch, which cannot lose a link, and then the exact test on whole sets.
-Components come from distributed contraction; nothing but counts reaches the driver.
+Components come from distributed contraction; nothing but counts reaches the driver. Signatures that
+very many classes share are told apart beforehand (see ``members``), so that their groups are reduced
+where they are read and never meet in one task.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with
 nothing; a text of fewer than five words has one shingle; null ids take part and a component's id is
@@ -38,7 +40,13 @@ from ledgerspark.llm.signatures import SPARE_SHARE, parity_sketch, rare_signatur
 from ledgerspark.llm.textscan import Block, blocks, mix, shingle_sets
 
 WORDS = 5
-SMALL_GROUP = 64
+SMALL_GROUP = 8
+#: Step 3 builds signatures of shingles that so many classes hold at most.
+RARE_HELD = 64
+#: A signature counts as hot if one of HOT_SHARE classes has it; so a set's signatures times HOT_SHARE bound their number.
+HOT_SHARE, HOT_LEAST = 2000, 32
+#: Hot signatures are looked for in one of so many classes; that decides where a group is reduced, never what is in it.
+HOT_LOOK = 32
 #: Rows of a block in step 4.
 BLOCK_ROWS = 256
 #: Ids up to this count (16 bytes each) are broadcast to find their texts; more are joined.
@@ -87,12 +95,17 @@ def scan(docs: DataFrame) -> DataFrame:
 class Join:
     """One run: the documents, the table of classes and the links found so far."""
 
-    def __init__(self, docs: DataFrame, small_group: int, block_rows: int):
-        self.docs, self.small, self.block_rows = docs.select("doc_id", "text"), small_group, block_rows
+    def __init__(self, docs: DataFrame, small_group: int, block_rows: int, rare_held: int = RARE_HELD):
+        self.docs, self.small, self.block_rows, self.rare_held = docs.select("doc_id", "text"), small_group, block_rows, rare_held
         self.scratch = Scratch(docs.sparkSession, "ngram-join")
-        self.rows = self.scratch.keep(scan(self.docs))
-        self.classes = self.scratch.keep(self.rows.where("n > 0").groupBy("cls").agg(
-            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+        self.rows = self.scratch.keep(scan(self.docs).withColumn("row", F.monotonically_increasing_id()))
+        sets = self.rows.where("n > 0")
+        self.classes = self.scratch.keep(sets.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("row").alias("first"), F.min("n").alias("n")))
+        # one row of each class: rows that repeat an earlier row's set are put aside before signatures are dealt out
+        again = self.scratch.keep(sets.select("row", "cls").join(self.classes.select("cls", "first"), "cls").where("row <> first").select("row"))
+        few = again.count() <= BROADCAST_ROWS
+        self.one = sets.join(F.broadcast(again) if few else again, "row", "left_anti")
+        self.stars: DataFrame | None = None
 
     def whole_sets(self, classes: DataFrame) -> DataFrame:
         """(cls) -> (cls, n, elements binary), from the text of one document of each class."""
@@ -124,11 +137,11 @@ class Join:
         return found.dropDuplicates(["cls"])
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) candidates -> (src, dst) links: sketches first, whole sets for those that remain."""
-        c = self.classes
-        sketched = pairs.join(c.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ask")), "a").join(
-            c.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bsk")), "b"
-        ).where("5 * least(an, bn) >= 4 * greatest(an, bn)").select("a", "b", "an", "bn", "ask", "bsk")
+        """(a, an, b, bn) candidates -> (src, dst) links: sizes and sketches first, whole sets for those that remain."""
+        c = self.one.select("cls", "sketch")
+        near = self.scratch.keep(pairs.where("5 * least(an, bn) >= 4 * greatest(an, bn)").select("a", "b", "an", "bn"))
+        sketched = near.join(c.select(F.col("cls").alias("a"), F.col("sketch").alias("ask")), "a").join(
+            c.select(F.col("cls").alias("b"), F.col("sketch").alias("bsk")), "b").select("a", "b", "an", "bn", "ask", "bsk")
 
         def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -152,13 +165,42 @@ class Join:
 
         return self.scratch.keep(both.mapInArrow(exact, "src bigint, dst bigint"))
 
-    def components(self, links: list[DataFrame]) -> DataFrame:
-        return self.scratch.keep(connected_components(union_all(links), self.scratch))
+    def components(self, links: DataFrame) -> DataFrame:
+        """(node, component) after some more links: only these are contracted anew, together with the stars found before."""
+        if self.stars is None or not links.isEmpty():
+            edges = links if self.stars is None else links.unionByName(self.stars.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+            self.stars = self.scratch.keep(connected_components(edges, self.scratch))
+        return self.stars
 
-    def undecided(self, members: DataFrame, comps: DataFrame) -> DataFrame:
-        """(sig, cls) -> (sig, cls, comp, size) of the groups that hold several components."""
-        labelled = members.join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left").select(
-            "sig", "cls", F.coalesce("component", "cls").alias("comp"))
+    def labelled(self, members: DataFrame) -> DataFrame:
+        """Adds ``comp``, the component of ``cls`` so far."""
+        comps = self.stars.select(F.col("node").alias("cls"), "component")
+        return members.join(comps, "cls", "left").select(*members.columns, F.coalesce("component", "cls").alias("comp"))
+
+    def members(self) -> DataFrame:
+        """(sig, cls, lo) of every signature that several classes have; ``lo`` is the least of them.
+
+        Groups of hot signatures are reduced by a combined aggregation and a broadcast of its bounded
+        result, all others by a window over the signature.
+        """
+        keep = self.scratch.keep
+        some = self.one.where(F.pmod(F.xxhash64("cls"), F.lit(HOT_LOOK)) == 0)
+        least = max(HOT_LEAST, some.count() // HOT_SHARE)
+        hot = keep(some.select(F.explode("sigs").alias("sig")).groupBy("sig").count().where(F.col("count") >= least).select("sig"))
+        any_hot = not hot.isEmpty()
+        postings = self.one.select("cls", F.explode("sigs").alias("sig"))
+        by_sig = Window.partitionBy("sig")
+        cold = postings.join(F.broadcast(hot), "sig", "left_anti") if any_hot else postings
+        shared = cold.withColumns({"lo": F.min("cls").over(by_sig), "hi": F.max("cls").over(by_sig)}).where("lo < hi").select("sig", "cls", "lo")
+        if any_hot:
+            warm = postings.join(F.broadcast(hot), "sig")
+            ends = keep(warm.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("sig", "lo"))
+            shared = shared.unionByName(warm.join(F.broadcast(ends), "sig").select("sig", "cls", "lo"))
+        return keep(shared)
+
+    def undecided(self, members: DataFrame) -> DataFrame:
+        """(sig, cls, ...) -> plus (comp, size), of the groups that hold several components."""
+        labelled = self.labelled(members)
         mixed = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
         return labelled.join(mixed.select("sig", "size"), "sig")
 
@@ -172,45 +214,43 @@ class Join:
         a, b = (groups.select("sig", *[F.col(c).alias(f"{k}_{c}") for c in ("cls", "comp", "n", "crowd")]) for k in "ab")
         met = a.join(b, "sig").where(
             "a_cls < b_cls AND a_comp <> b_comp AND NOT (a_crowd AND b_crowd) AND 5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)")
-        shared = met.groupBy(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("a_n", "b_n")).alias("least"))
-        return shared.where(F.col("m") >= 1 + F.floor(F.col("least") / SPARE_SHARE)).select("a", "b")
+        shared = met.groupBy(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).agg(
+            F.count("*").alias("m"), F.min("a_n").alias("an"), F.min("b_n").alias("bn"))
+        return shared.where(F.col("m") >= 1 + F.floor(F.least("an", "bn") / SPARE_SHARE)).select("a", "an", "b", "bn")
 
     def links(self) -> DataFrame:
         keep = self.scratch.keep
-        by_sig = Window.partitionBy("sig")
-        postings = self.rows.where("n > 0").select("cls", F.explode("sigs").alias("sig"))
-        members = keep(
-            postings.withColumns({"lo": F.min("cls").over(by_sig), "hi": F.max("cls").over(by_sig)})
-            .where("lo < hi").select("sig", "cls", "lo").distinct()
-        )
-        found = [self.verified(members.where("cls <> lo").select(F.col("lo").alias("a"), F.col("cls").alias("b")).distinct())]
-        comps = self.components(found)
-        rest = keep(self.undecided(members.select("sig", "cls"), comps))
+        members = self.members()
+        size = lambda k: self.classes.select(F.col("cls").alias(k), F.col("n").alias(f"{k}n"))
+        pairs = members.where("cls <> lo").select(F.col("lo").alias("a"), F.col("cls").alias("b")).distinct()
+        found = [self.verified(pairs.join(size("a"), "a").join(size("b"), "b"))]
+        self.components(found[-1])
+        rest = keep(self.undecided(members.select("sig", "cls")))
         large = rest.where(F.col("size") > self.small)
-        crowd = keep(large.select("cls", "comp").distinct())
-        sized = rest.where(F.col("size") <= self.small).join(self.classes.select("cls", "n"), "cls")
-        marked = sized.join(crowd.select("cls", F.lit(True).alias("in_crowd")), "cls", "left")
-        found.append(self.verified(self.within_groups(marked.select("sig", "cls", "comp", "n", F.coalesce("in_crowd", F.lit(False)).alias("crowd")))))
+        crowd = keep(large.select("cls").distinct())
+        sized = rest.where(F.col("size") <= self.small).join(self.classes.select("cls", "n"), "cls").join(crowd.select("cls", F.lit(True).alias("in_crowd")), "cls", "left")
+        found.append(self.verified(self.within_groups(sized.select("sig", "cls", "comp", "n", F.coalesce("in_crowd", F.lit(False)).alias("crowd")))))
+        self.components(found[-1])
         if crowd.isEmpty():
             return union_all(found)
-        comps = self.components(found)
-        labelled = crowd.select("cls").join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"))
-        sets = keep(self.whole_sets(crowd.select("cls")).join(labelled, "cls"))
+        sets = keep(self.labelled(self.whole_sets(crowd)))
         signed = keep(self.rare_signed(sets))
         groups = signed.select("cls", "comp", "n", F.lit(False).alias("crowd"), F.explode("sigs").alias("sig"))
         found.append(self.verified(self.within_groups(groups)))
-        poor = signed.where("NOT enough").select("cls")
-        found.append(self.blockwise(large.select("sig", "cls").join(poor, "cls"), sets, found))
+        self.components(found[-1])
+        poor = keep(signed.where("NOT enough").select("cls"))
+        if poor.isEmpty():
+            return union_all(found)
+        found.append(self.blockwise(large.select("sig", "cls").join(poor, "cls"), sets))
+        self.components(found[-1])
         # a linked pair of poor classes with no large group in common has all its signatures in small ones
-        left = sized.select("sig", "cls", "n").join(poor, "cls")
-        comps = self.components(found)
-        left = left.join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left").select(
-            "sig", "cls", F.coalesce("component", "cls").alias("comp"), "n", F.lit(False).alias("crowd"))
+        left = self.labelled(sized.select("sig", "cls", "n").join(poor, "cls")).withColumn("crowd", F.lit(False))
         found.append(self.verified(self.within_groups(left)))
+        self.components(found[-1])
         return union_all(found)
 
     def rare_signed(self, sets: DataFrame) -> DataFrame:
-        """(cls, n, elements, comp) -> (cls, n, comp, sigs, enough): signatures of shingles that at most SMALL_GROUP of these classes have."""
+        """(cls, n, elements, comp) -> (cls, n, comp, sigs, enough): signatures of shingles that at most ``rare_held`` of these classes have."""
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -222,7 +262,10 @@ class Join:
                         [pa.array(np.concatenate(e)), pa.array(np.repeat(some.column(0).to_numpy(), size))], names=["shingle", "cls"])
 
         shingles = sets.select("cls", "n", "elements").mapInArrow(spread, "shingle bigint, cls bigint")
-        rare = shingles.withColumn("held", F.count("*").over(Window.partitionBy("shingle"))).where(F.col("held") <= self.small)
+        # the holders of a common shingle are counted where they are read; its rows are then left out before anything else is dealt by class
+        common = self.scratch.keep(shingles.groupBy("shingle").count().where(F.col("count") > self.rare_held).select("shingle"))
+        few = common.count() <= BROADCAST_ROWS
+        rare = shingles.join(F.broadcast(common) if few else common, "shingle", "left_anti")
         by_class = rare.groupBy("cls").agg(F.collect_list("shingle").alias("rare"))  # at most the shingles of one text
         whole = sets.select("cls", "n", "comp").join(by_class, "cls", "left").select("cls", "n", "comp", F.coalesce("rare", F.array().cast("array<bigint>")).alias("rare"))
 
@@ -233,23 +276,20 @@ class Join:
 
         return whole.mapInArrow(sign, "cls bigint, n bigint, comp bigint, sigs array<bigint>, enough boolean")
 
-    def blockwise(self, members: DataFrame, sets: DataFrame, found: list[DataFrame]) -> DataFrame:
+    def blockwise(self, members: DataFrame, sets: DataFrame) -> DataFrame:
         """Links between different components among classes that meet in large groups of near copies."""
         keep = self.scratch.keep
         members = keep(members)
         nothing = self.docs.sparkSession.createDataFrame([], "src bigint, dst bigint")
         if members.isEmpty():
             return nothing
-        comps = self.components(found)
-        rest = self.undecided(members, comps)
+        rest = keep(self.undecided(members))
         pivot = rest.groupBy("sig").agg(F.min("cls").alias("dst"))
-        rest = keep(rest)
         # families: classes tied together by large groups
         families = keep(connected_components(rest.join(pivot, "sig").select(F.col("cls").alias("src"), "dst").distinct(), self.scratch))
         one = rest.select("cls", "comp").distinct().join(families.select(F.col("node").alias("cls"), F.col("component").alias("family")), "cls")
         size = one.groupBy("family").agg(F.count("*").alias("size"))
         one = one.join(size, "family").withColumn("n_blocks", F.expr(f"CAST((size + {self.block_rows - 1}) DIV {self.block_rows} AS INT)"))
-        # members of one component tend to share a block, and such blocks need no comparison with themselves
         one = one.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
         sent = one.join(sets.select("cls", "elements"), "cls")
         i, j = F.least(F.col("block"), F.col("other")), F.greatest(F.col("block"), F.col("other"))
@@ -303,7 +343,7 @@ def ngram_join(docs: DataFrame, small_group: int = SMALL_GROUP, block_rows: int
     """
     join = Join(docs, small_group, block_rows)
     links = join.scratch.keep(join.links())
-    comps = connected_components(links, join.scratch).select(F.col("node").alias("cls"), "component")
+    comps = join.stars.select(F.col("node").alias("cls"), "component")
     degree = union_all([links.select(F.col(k).alias("cls")) for k in ("src", "dst")]).groupBy("cls").agg(F.count("*").alias("n_links"))
     classes = join.classes.select("cls", "rep").join(comps, "cls", "left").join(degree, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -90,9 +90,9 @@ def test_ngram_join_of_poor_classes_that_meet_in_small_groups_alone(spark):
     middle = " ".join([*p.split()[-15:], *q.split()[:15]])
     sigs |= {f"{prose(rng, 15)} {middle} {prose(rng, 15)}": [300] for _ in range(4)}
     docs = spark.createDataFrame(list(enumerate(sigs)), "doc_id bigint, text string")
-    join = ngram_join.Join(docs, 3, 4)
+    join = ngram_join.Join(docs, 3, 4, rare_held=3)
     planted = spark.createDataFrame([(cls(t), x) for t, x in sigs.items()], "cls bigint, sigs array<bigint>")
-    join.rows = join.scratch.keep(join.rows.drop("sigs").join(planted, "cls").select("doc_id", "n", "cls", "sketch", "sigs"))
+    join.one = join.scratch.keep(join.one.drop("sigs").join(planted, "cls"))
     assert {frozenset(r) for r in join.links().collect()} == {frozenset((cls(a), cls(b)))}
 
 
