@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset and driver and executors are one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ledgerspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -40,23 +42,27 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def with_columns_of(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone: extra columns of the input never reach a join."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that the input does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(src, dst) -> (node, component): the smallest node id that each node reaches.
 
     Alternates large-star and small-star contraction. A round is two aggregations with map-side
     minima and two joins on node ids; the edge table never grows beyond its first size, a hub's
     edges are joined (Spark may split them), never gathered. Rounds needed: about log2 of the
-    number of nodes. Null ends and self-loops link nothing.
+    number of nodes; each lowers some node's neighbour until none can be lowered, so they end.
+    Null ends and self-loops link nothing.
     """
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = scratch.keep(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     total = _shape(e)
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -77,8 +83,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         if shape == total:
             break
         total = shape
-    else:
-        raise RuntimeError("connected components did not settle")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
@@ -88,17 +92,6 @@ def _shape(e: DataFrame) -> tuple:
     return tuple(r)
 
 
-def add_rank_offsets(counts: DataFrame, part: str, keys: list[str]) -> DataFrame:
-    """(part, keys, n) -> plus ``before``: rows of the same key in earlier parts.
-
-    The input has a row for each part and key, a digest that is small beside the rows themselves.
-    """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -5,20 +5,23 @@ over the domains ``clean``, ``low`` and ``toxic``. Nonnegative document rates r
 
     sum over domains d of w_d * (sum_i tokens_i * p_id * r_i - target_d) ** 2
 
-by projected gradient steps: a step needs a few numbers for each domain, summed over all documents
-in one pass, and moves every rate by its own posteriors times those numbers, cut off at 0 (and at
-``max_rate``, where one is given). w_d = 1 / max(target_d, current_d) makes the errors relative; the
+by projected gradient steps: a step needs a few numbers for each domain, summed over all documents,
+and moves every rate by its own posteriors times those numbers, cut off at 0 (and at ``max_rate``,
+where one is given). w_d = 1 / max(target_d, current_d) makes the errors relative; the
 gradient is scaled by the inverse of the (slightly enlarged) second moments of the posteriors inside
 the bounds, so that few passes do, and a step that raises the error is shortened.
 
-Posteriors take one value for each combination of binned features, so a pass joins the documents'
-(tokens, cell) with a table of ``N_CELLS`` posteriors and rates; rates are never shipped.
+Posteriors take one value for each combination of binned features (a cell), so documents of a cell
+move alike: their tokens are summed by cell in one pass over all documents, with a combined
+aggregation, and each step is a distributed aggregation over that table of ``N_CELLS`` rows at most,
+joined with the cells' posteriors and rates. The corpus is read twice, however many steps there are.
 The lexicon for the toxic domain is drawn from at most ``TRAIN_ROWS`` labelled rows (those with the
-smallest hashes of their ids), a documented bound; class counts use every labelled row. Defined cases: null and empty
-texts have no tokens, the features of an empty text and a rate like others; null or other labels are
-not learned from; without labelled rows all posteriors are equal; targets that are all zero give
-rates of 0; repeated rows count as often as they occur; other columns are ignored; no rows give no
-rows.
+smallest hashes of their ids), a documented bound; every word that stands out there counts; class
+counts use every labelled row. Defined cases: null and empty texts have no tokens, the features of an
+empty text and a rate like others; null or other labels are not learned from; without labelled rows
+all posteriors are equal; targets that are all zero give rates of 0; repeated rows count as often as
+they occur; other columns are ignored, and columns of the input that are carried along keep their
+names and contents whatever these are; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -29,12 +32,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import Scratch
+from ledgerspark.llm.common import Scratch, fresh
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 TRAIN_ROWS = 4000
-MAX_LEXICON = 150
+#: How far a word must stand out: log odds against its being there by chance.
+LEXICON_ODDS = 7
 PASSES, TOLERANCE, RIDGE = 80, 1e-6, 1e-8
 _SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -78,24 +82,24 @@ def find_lexicon(docs: DataFrame, domains: DataFrame, rows: int) -> list[str]:
     seen = words.where("length(w) > 2").groupBy("w").agg(F.sum((F.col("domain") == 2).cast("int")).alias("a"), F.count("*").alias("n"))
     # far beyond what the base rate would give; a word seen in n texts by chance is toxic in all with base ** n
     odds = F.col("a") * F.lit(math.log(1 / base)) - (F.col("n") - F.col("a")) * 4.0
-    best = seen.where("a >= 4").withColumn("odds", odds).where("odds > 7").orderBy(F.desc("odds"), "w").limit(MAX_LEXICON)
-    return [r["w"] for r in best.collect()]
+    best = seen.where("a >= 4").withColumn("odds", odds).where(F.col("odds") > LEXICON_ODDS).orderBy("w")
+    return [r["w"] for r in best.collect()]  # words of at most ``rows`` texts, four times each
 
 
-def features(docs: DataFrame, lexicon: list[str], keep: list[str]) -> DataFrame:
+def features(docs: DataFrame, lexicon: list[str], keep: list[str], tokens: str = "tokens", cell: str = "cell") -> DataFrame:
     """The named columns, ``tokens`` and ``cell``, the number of the combination of the binned features."""
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("__t"), F.filter(F.split(text, _SEP), lambda w: w != "").alias("__w"))
-    n = F.greatest(F.size("__w"), F.lit(1))
-    low = F.array_distinct(F.transform("__w", F.lower))
-    symbols = F.length("__t") - F.length(F.regexp_replace("__t", "[#*$%&|<>!]", ""))
-    shouted = F.length("__t") - F.length(F.regexp_replace("__t", "[A-Z]{3,}", ""))
+    text, t, w = F.coalesce("text", F.lit("")), fresh("t", keep), fresh("w", keep)
+    base = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias(t), F.filter(F.split(text, _SEP), lambda w: w != "").alias(w))
+    n = F.greatest(F.size(w), F.lit(1))
+    low = F.array_distinct(F.transform(w, F.lower))
+    symbols = F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>!]", ""))
+    shouted = F.length(t) - F.length(F.regexp_replace(t, "[A-Z]{3,}", ""))
     hits = F.size(F.array_intersect(low, F.array(*[F.lit(w) for w in lexicon]).cast("array<string>")))
-    long = F.when(F.size("__w") < 60, 0).when(F.size("__w") < 400, 1).otherwise(2)
+    long = F.when(F.size(w) < 60, 0).when(F.size(w) < 400, 1).otherwise(2)
     distinct = _cuts(F.size(low) / n, [0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6])
     return base.select(
-        *[F.col(f"`{c}`") for c in keep], F.size("__w").cast("long").alias("tokens"),
-        _cell([_cuts(symbols / n, [0.02, 0.1, 0.3]), _cuts(shouted / n, [0.5, 2.0]), distinct * 3 + long, _cuts(hits, [1, 2, 3])]).alias("cell"),
+        *[F.col(f"`{c}`") for c in keep], F.size(w).cast("long").alias(tokens),
+        _cell([_cuts(symbols / n, [0.02, 0.1, 0.3]), _cuts(shouted / n, [0.5, 2.0]), distinct * 3 + long, _cuts(hits, [1, 2, 3])]).alias(cell),
     )
 
 
@@ -128,9 +132,12 @@ class Mixture:
         """The rates after a step against ``step``, projected onto the bounds."""
         return np.clip(self.rate - self.p @ step, 0.0, self.max_rate)
 
-    def rated(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """The named columns and ``cell_rate``; ``cell`` finds it in the table of fixed size."""
-        return features(docs, self.lexicon, keep).join(F.broadcast(self.cells(docs.sparkSession)), "cell")
+    def rated(self, docs: DataFrame, keep: list[str], name: str = "rate") -> DataFrame:
+        """The named columns and, as column ``name``, the rate of each row; its cell finds it in the table of fixed size."""
+        cell = fresh("cell", [*keep, name])
+        rates = self.cells(docs.sparkSession).select(F.col("cell").alias(cell), F.col("cell_rate").alias(name))
+        found = features(docs, self.lexicon, keep, fresh("tokens", [*keep, name]), cell).join(F.broadcast(rates), cell)
+        return found.select(*[F.col(f"`{c}`") for c in [*keep, name]])
 
 
 def classify(labelled: DataFrame, lexicon: list[str]) -> Mixture:
@@ -147,7 +154,10 @@ def classify(labelled: DataFrame, lexicon: list[str]) -> Mixture:
 
 
 def domain_sums(scored: DataFrame, mixture: Mixture) -> tuple[float, np.ndarray, np.ndarray]:
-    """(all tokens, expected tokens of each domain, tokens * p_d * p_e over documents inside the bounds): one pass over all documents."""
+    """(all tokens, expected tokens of each domain, tokens * p_d * p_e over documents inside the bounds).
+
+    ``scored``: (tokens, cell) of documents, or of cells with the tokens of their documents.
+    """
     k = range(len(DOMAINS))
     t, rate = F.col("tokens").cast("double"), F.col("cell_rate")
     inside = (rate > 0) & (F.lit(True) if mixture.max_rate is None else rate < mixture.max_rate)
@@ -159,18 +169,28 @@ def domain_sums(scored: DataFrame, mixture: Mixture) -> tuple[float, np.ndarray,
     return r["all"] or 0.0, np.array([r[f"t{d}"] or 0.0 for d in k]), np.array([[r[f"m{d}{e}"] or 0.0 for e in k] for d in k])
 
 
+def up_to_weights(weights: dict[str, float] | None = None):
+    """Target totals for a mixture that only leaves documents out: of the domain with the largest weight
+    every token stays, and of each other domain as many as its weight gives beside it, or all it has.
+    """
+    w = np.array([(weights or TARGETS)[d] for d in DOMAINS], float)
+    lead = int(np.argmax(w))
+    return lambda now: np.minimum(now, w * (now[lead] / max(w[lead], 1e-12))).tolist()
+
+
 def fit(docs: DataFrame, labels: DataFrame, targets=None, budget: float | None = None, max_rate: float | None = None, train_rows: int = TRAIN_ROWS) -> tuple[Mixture, DataFrame]:
     """-> (mixture, table of doc_id, tokens, posteriors and rate).
 
     ``targets``: weights by domain, of ``budget`` tokens (as many as there are, by default), or a
-    function from the domains' current totals to their target totals.
+    function from the domains' current totals to their target totals (``up_to_weights``, for one).
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     domains = scratch.keep(domain_of_labels(labels))
     lexicon = find_lexicon(docs, domains, train_rows)
     scored = scratch.keep(features(docs, lexicon, ["doc_id"]))
     mixture = classify(scored.join(domains, "doc_id"), lexicon)
-    whole, current, gram = domain_sums(scored, mixture)
+    by_cell = scratch.keep(scored.groupBy("cell").agg(F.sum("tokens").alias("tokens")))
+    whole, current, gram = domain_sums(by_cell, mixture)
     mixture.max_rate = max_rate
     if callable(targets):
         target = np.array(targets(current), float)
@@ -187,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets=None, budget: float | None =
             metric = root[:, None] * gram * root[None, :] + ridge * np.eye(len(DOMAINS))
             before = mixture.rate
             mixture.rate = mixture.moved(size * root * np.linalg.solve(metric, root * error))
-            _, reached, inside = domain_sums(scored, mixture)
+            _, reached, inside = domain_sums(by_cell, mixture)
             after = float(((root * (reached - target)) ** 2).sum())
             if after > loss:  # the bounds bent the step: a shorter one from the same place
                 mixture.rate, size = before, size / 4

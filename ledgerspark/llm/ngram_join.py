@@ -7,12 +7,13 @@ which leaves less to the next:
 
 1. every class against the least class of each of its signature groups (as many pairs as members);
 2. in groups of up to ``SMALL_GROUP`` classes that still hold several components, the pairs of
-   different components;
-3. classes of larger groups get new signatures, made only of shingles that at most ``RARE_HELD`` of
-   these classes have, so that no group is large;
-4. classes with too few rare shingles for that (families of near copies) are compared in blocks,
-   matrix by matrix, with whole sets, and only links between different components come back; those
-   of them that meet in groups of up to ``SMALL_GROUP`` alone are compared as in step 2.
+   different components, unless they share fewer signatures than a linked pair has, even if all the
+   larger groups of either were shared, too;
+3. a linked pair that shares no small group shares as many large ones as it needs, so only classes of
+   that many large groups go on; they get new signatures, made only of shingles that at most
+   ``RARE_HELD`` of these classes have, so that no group is large;
+4. those with too few rare shingles for that (families of near copies) are compared in blocks, matrix
+   by matrix, with whole sets, and only links between different components come back.
 
 Candidates pass a parity sketch, which cannot lose a link, and then the exact test on whole sets.
 Components come from distributed contraction; nothing but counts reaches the driver. Signatures that
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import Scratch, connected_components, union_all
@@ -40,7 +41,7 @@ from ledgerspark.llm.signatures import SPARE_SHARE, parity_sketch, rare_signatur
 from ledgerspark.llm.textscan import Block, blocks, mix, shingle_sets
 
 WORDS = 5
-SMALL_GROUP = 8
+SMALL_GROUP = 16
 #: Step 3 builds signatures of shingles that so many classes hold at most.
 RARE_HELD = 64
 #: A signature counts as hot if one of HOT_SHARE classes has it; so a set's signatures times HOT_SHARE bound their number.
@@ -92,6 +93,11 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n bigint, cls bigint, sketch binary, sigs array<bigint>")
 
 
+def needed(n: Column) -> Column:
+    """Signatures that two linked sets have in common at least, the smaller of ``n`` elements."""
+    return 1 + F.floor(n / SPARE_SHARE)
+
+
 class Join:
     """One run: the documents, the table of classes and the links found so far."""
 
@@ -205,18 +211,16 @@ class Join:
         return labelled.join(mixed.select("sig", "size"), "sig")
 
     def within_groups(self, groups: DataFrame) -> DataFrame:
-        """(sig, cls, comp, n, crowd) of groups that are known to be small -> pairs of different components.
+        """(sig, cls, comp, n, elsewhere) of groups that are known to be small -> pairs of different components that may be linked.
 
-        A linked pair has more than one signature in common (see ``signatures``), and all of them
-        are in these groups unless both of its classes are in larger ones, too (``crowd``); such
-        pairs are left to the next steps.
+        A linked pair has ``needed`` signatures in common at least. All are here but for those of larger
+        groups, of which ``elsewhere`` counts a class's memberships.
         """
-        a, b = (groups.select("sig", *[F.col(c).alias(f"{k}_{c}") for c in ("cls", "comp", "n", "crowd")]) for k in "ab")
-        met = a.join(b, "sig").where(
-            "a_cls < b_cls AND a_comp <> b_comp AND NOT (a_crowd AND b_crowd) AND 5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)")
+        a, b = (groups.select("sig", *[F.col(c).alias(f"{k}_{c}") for c in ("cls", "comp", "n", "elsewhere")]) for k in "ab")
+        met = a.join(b, "sig").where("a_cls < b_cls AND a_comp <> b_comp AND 5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)")
         shared = met.groupBy(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).agg(
-            F.count("*").alias("m"), F.min("a_n").alias("an"), F.min("b_n").alias("bn"))
-        return shared.where(F.col("m") >= 1 + F.floor(F.least("an", "bn") / SPARE_SHARE)).select("a", "an", "b", "bn")
+            F.count("*").alias("m"), F.min("a_n").alias("an"), F.min("b_n").alias("bn"), F.min(F.least("a_elsewhere", "b_elsewhere")).alias("more"))
+        return shared.where(F.col("m") + F.col("more") >= needed(F.least("an", "bn"))).select("a", "an", "b", "bn")
 
     def links(self) -> DataFrame:
         keep = self.scratch.keep
@@ -225,28 +229,25 @@ class Join:
         pairs = members.where("cls <> lo").select(F.col("lo").alias("a"), F.col("cls").alias("b")).distinct()
         found = [self.verified(pairs.join(size("a"), "a").join(size("b"), "b"))]
         self.components(found[-1])
-        rest = keep(self.undecided(members.select("sig", "cls")))
+        rest = keep(self.undecided(members.select("sig", "cls")).join(self.classes.select("cls", "n"), "cls"))
         large = rest.where(F.col("size") > self.small)
-        crowd = keep(large.select("cls").distinct())
-        sized = rest.where(F.col("size") <= self.small).join(self.classes.select("cls", "n"), "cls").join(crowd.select("cls", F.lit(True).alias("in_crowd")), "cls", "left")
-        found.append(self.verified(self.within_groups(sized.select("sig", "cls", "comp", "n", F.coalesce("in_crowd", F.lit(False)).alias("crowd")))))
+        elsewhere = keep(large.groupBy("cls").agg(F.count("*").alias("elsewhere"), F.min("n").alias("n")))
+        sized = rest.where(F.col("size") <= self.small).join(elsewhere.select("cls", "elsewhere"), "cls", "left")
+        found.append(self.verified(self.within_groups(sized.select("sig", "cls", "comp", "n", F.coalesce("elsewhere", F.lit(0)).alias("elsewhere")))))
         self.components(found[-1])
+        # the smaller of a linked pair has four fifths of the larger's shingles at least
+        crowd = keep(elsewhere.where(F.col("elsewhere") >= needed(F.expr("4 * n div 5"))).select("cls"))
         if crowd.isEmpty():
             return union_all(found)
         sets = keep(self.labelled(self.whole_sets(crowd)))
         signed = keep(self.rare_signed(sets))
-        groups = signed.select("cls", "comp", "n", F.lit(False).alias("crowd"), F.explode("sigs").alias("sig"))
+        groups = signed.select("cls", "comp", "n", F.lit(0).alias("elsewhere"), F.explode("sigs").alias("sig"))
         found.append(self.verified(self.within_groups(groups)))
         self.components(found[-1])
         poor = keep(signed.where("NOT enough").select("cls"))
-        if poor.isEmpty():
-            return union_all(found)
-        found.append(self.blockwise(large.select("sig", "cls").join(poor, "cls"), sets))
-        self.components(found[-1])
-        # a linked pair of poor classes with no large group in common has all its signatures in small ones
-        left = self.labelled(sized.select("sig", "cls", "n").join(poor, "cls")).withColumn("crowd", F.lit(False))
-        found.append(self.verified(self.within_groups(left)))
-        self.components(found[-1])
+        if not poor.isEmpty():
+            found.append(self.blockwise(large.select("sig", "cls").join(poor, "cls"), sets))
+            self.components(found[-1])
         return union_all(found)
 
     def rare_signed(self, sets: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ words show) pass through learned filters over chunks of 16 bytes that overlap by
 the whole text; each filter's largest answer is kept and a logistic layer combines them into one
 probability.
 
-Training takes at most ``TRAIN_ROWS`` labelled rows (those with the smallest hashes of their ids),
-a documented bound; scoring reads every byte of every text. Defined cases: null and empty texts
-are one chunk of padding and get the network's answer to it; labels that are null or not 0/1 are
-not learned from; with labels of one class only, or none, every score is 0.5; repeated rows are
-scored alike; other columns of the input are ignored.
+Training takes at most ``TRAIN_ROWS`` labelled rows (those with the smallest hashes of their ids) and
+``TRAIN_BYTES`` bytes of text, documented bounds; scoring reads every byte of every text, however
+long. Defined cases: null and empty texts are one chunk of padding and get the network's answer to
+it; labels that are null or not 0/1 are not learned from; with labels of one class only, or none,
+every score is 0.5; repeated rows are scored alike; of the input's other columns only the named ones
+are carried along, and the result's column takes the name ``name``, replacing one of that name.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +35,10 @@ LEAD = 32
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 WIDTH = STRIDE * DIM + len(LAGS)
-#: A text beyond this is scanned in parts that overlap by LEAD bytes and a chunk.
-PART_BYTES = 1 << 20
+#: A text beyond this is scanned in parts, whose chunks are together just those of the whole text.
+PART_BYTES = 256 << 10
+#: Training texts are taken in the order of their ids' hashes up to so many bytes.
+TRAIN_BYTES = 64 << 20
 
 
 def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,15 +101,27 @@ class Network:
         edges = edges[:-1] if edges[-1] >= len(y) else edges
         return np.maximum.reduceat(y, edges, axis=0)[0::2] + self.p["bias"]
 
+    def pooled_in_parts(self, text: bytes) -> np.ndarray:
+        """The same for one long text: chunks start at its blocks -1 (the last of the lead) to the last, a run of them at a time."""
+        blocks_in = -(-len(text) // STRIDE)
+        best = np.full(FILTERS, -np.inf, np.float32)
+        for a in range(-1, blocks_in, PART_BYTES // STRIDE):
+            b = min(blocks_in, a + PART_BYTES // STRIDE)
+            begin, end = STRIDE * a - LEAD, STRIDE * (b + 1)  # the blocks a to b and what lags reach before them
+            some = text[max(0, begin) : end]
+            data = np.zeros(end - begin, np.uint8)
+            data[max(0, -begin) : max(0, -begin) + len(some)] = np.frombuffer(some, np.uint8)
+            x = block_features(data, self.p["embed"])[LEAD // STRIDE :]
+            best = np.maximum(best, (x[:-1] @ self.p["left"] + x[1:] @ self.p["right"]).max(0))
+        return best + self.p["bias"]
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        parts, owner = [], []
-        for i, t in enumerate(texts):
-            cuts = range(0, max(1, len(t)), PART_BYTES)
-            parts += [t[max(0, a - LEAD - STRIDE) : a + PART_BYTES] for a in cuts] if len(cuts) > 1 else [t]
-            owner += [i] * len(cuts)
-        z = self.pooled(parts)
-        if len(parts) > len(texts):
-            z = np.maximum.reduceat(z, np.flatnonzero(np.diff(owner, prepend=-1)), axis=0)
+        z = np.empty((len(texts), FILTERS), np.float32)
+        long = np.fromiter((len(t) > PART_BYTES for t in texts), bool, len(texts))
+        if not long.all():
+            z[~long] = self.pooled([t for t in texts if len(t) <= PART_BYTES])
+        for i in np.flatnonzero(long):
+            z[i] = self.pooled_in_parts(texts[i])
         return 1 / (1 + np.exp(-(np.tanh(z) @ self.p["out"] + self.p["c"][0]).astype(np.float64)))
 
 
@@ -155,11 +170,18 @@ def train(texts: list[bytes], labels: np.ndarray) -> Network | None:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, rows: int) -> tuple[list[bytes], np.ndarray]:
-    """Texts and 0/1 labels of at most ``rows`` labelled documents, those whose ids hash lowest."""
+    """Texts and 0/1 labels of at most ``rows`` labelled documents, those whose ids hash lowest, and of ``TRAIN_BYTES`` bytes together.
+
+    Of several texts of one id the one with the smallest hash is taken.
+    """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & allowed & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded by ``rows``, hence the broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    text = F.coalesce("text", F.lit(""))
+    got = docs.select("doc_id", text.alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(
+        F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("t")).select("doc_id", "t.text", "t.y")
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over ``rows`` rows at most
+    got = got.withColumn("sum", F.sum(F.octet_length("text").cast("long")).over(before)).where(F.col("sum") <= TRAIN_BYTES)
     got = got.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").collect()
     return [(r["text"] or "").encode() for r in got], np.array([r["y"] for r in got], np.float32)
 
@@ -169,8 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network |
     return train(*labelled_sample(docs, labels, "quality", crc_bucket("doc_id", FOLDS) != HELD_OUT, rows))
 
 
-def score(docs: DataFrame, net: Network | None, columns: list[str]) -> DataFrame:
-    """Append ``score`` to the named columns of every document."""
+def score(docs: DataFrame, net: Network | None, columns: list[str], name: str = "score") -> DataFrame:
+    """Append the score, as column ``name``, to the named columns of every document."""
+    columns = [c for c in columns if c.lower() != name.lower()]
     extra = [] if "text" in columns else ["text"]
     kept = docs.select(*[F.col(f"`{c}`") for c in [*columns, *extra]])
     fields, at, n = kept.schema.fields[: len(columns)], [*columns, *extra].index("text"), len(columns)
@@ -181,14 +204,14 @@ def score(docs: DataFrame, net: Network | None, columns: list[str]) -> DataFrame
             for first, some in blocks(texts):
                 s = net.scores(some) if net else np.full(len(some), 0.5)
                 head = batch.slice(first, len(some))
-                yield pa.RecordBatch.from_arrays([*head.columns[:n], pa.array(s)], names=[*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*head.columns[:n], pa.array(s)], names=[*columns, name])
 
-    return kept.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """documents + labels -> the named columns (all by default) and ``score``, the probability of label 1."""
-    return score(docs, fit(docs, labels), columns or docs.columns)
+def quality_scores(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, name: str = "score") -> DataFrame:
+    """documents + labels -> the named columns (all by default) and ``name``, the probability of label 1."""
+    return score(docs, fit(docs, labels), columns or docs.columns, name)
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ledgerspark.llm.quality_rules import OP2_SQL, op2_quality_rules
 from ledgerspark.llm.sharding import op10_sharding
 from ledgerspark.llm.topk_search import OP9_SQL, op9_topk_search
 from ledgerspark.llm.toxicity import op6_toxicity
-from ledgerspark.llm.url_filters import OP1_SQL, op1_url_filters
+from ledgerspark.llm.url_filters import MIRRORS_SQL, OP1_SQL, op1_url_filters, url_mirrors
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
@@ -24,10 +24,12 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_topk_search": op9_topk_search,
     "op10_sharding": op10_sharding,
+    "url_mirrors": url_mirrors,
 }
 
 ORACLES = {
     "op1_url_filters": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
     "op9_topk_search": OP9_SQL,
+    "url_mirrors": MIRRORS_SQL,
 }

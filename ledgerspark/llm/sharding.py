@@ -1,98 +1,171 @@
 """Operator 10, sharding by balanced label propagation.
 
-Documents are nodes and equal texts are linked, each to the smallest id of its group (a star: as
-many links as documents). Labels start from a hash, and in each round iterative joins move documents
-towards the labels of their neighbours, as far as the quota of the label allows; what a quota turns
-away stays and asks for an emptier label in the next round. Groups that no shard could hold keep one
-label. At the end the ``rows`` law is made exact: documents in the order (label, group, id) are cut
-into equal runs, which divides at most one group at each border between shards.
-
-Ranks come from a range partitioning with counts of earlier partitions: no task sees all rows.
-Defined cases: null texts are equal to each other and have size 1; null ids sort first; repeated rows
-are documents of their own; other columns are ignored; no rows give no rows.
+Documents are nodes, keys that several of them share (the text itself, or any table of (node, key)
+links) are what links them, and a key stands where most of its documents are. Labels start even, dealt
+by place. In each round two joins move documents: links meet the documents' labels and give each key
+its label, keys meet their links and give each document the votes of its neighbours by label, and a
+document that another label would suit better asks to move there. Quotas decide how many of those
+that ask may go from each shard to each other one: linked documents never outgrow a shard's share, and
+room that others leave is used in the same round. Documents are admitted by distributed ranks, so that
+just as many move as the quota says. Rounds end when the number of cut edges no longer falls.
+
+Documents without links hold no label: they fill every shard up to its share at the end, which makes
+the ``rows`` law exact without cutting any edge. A key's edges are a star around the label where most
+of its documents are; an edge to a document elsewhere is cut.
+
+Ranks are counts by one of ``BUCKETS`` hash buckets and a running number inside it: no task sees all
+rows, a hot key's documents spread over all buckets, and what is broadcast (a number for each bucket
+and move, or key class) does not follow the corpus. Defined cases: null texts are equal to each other
+and have size 1; null ids take part; repeated rows are documents of their own, linked by their text;
+other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import Scratch
 
 SHARDS = 16
-ROUNDS = 4
-#: A label may outgrow its equal share by this much while labels move.
-SLACK = 0.05
+ROUNDS = 12
+BUCKETS = 256
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """documents -> (doc_id, size, text_crc32, grp); ``grp`` names the text exactly (sha-256)."""
+    """documents -> (node, doc_id, size, text_crc32, grp); ``grp`` names the text exactly (sha-256)."""
     text = F.coalesce("text", F.lit("")).cast("binary")
     return docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("node"), "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.when(F.col("text").isNull(), F.lit("null")).otherwise(F.sha2(text, 256)).alias("grp"),
     )
 
 
-def propagate(nodes: DataFrame, shards: int, rounds: int, slack: float, scratch: Scratch) -> DataFrame:
-    """(grp, ...) -> (grp, label): the label that each linked group settles on.
+def equal_text_links(nodes: DataFrame) -> DataFrame:
+    """(node, key) of the documents whose text others have, too; counted by text before anything is joined."""
+    several = nodes.groupBy("grp").agg(F.count("*").alias("n"), F.min("node").alias("key")).where("n > 1").select("grp", "key")
+    return nodes.select("node", "grp").join(several, "grp").select("node", "key")
 
-    The votes of a group's members are summed by label before anything is shuffled; a round is one
-    aggregation and one join on groups of two and more, whose number is the only thing that grows.
-    """
-    total = nodes.count()
-    quota = max(1.0, total / shards)
-    start = F.pmod(F.xxhash64("doc_id", "grp"), F.lit(shards)).cast("int")
-    votes = nodes.withColumn("label", start).groupBy("grp", "label").agg(F.count("*").alias("n"))
-    whole = votes.groupBy("grp").agg(F.sum("n").alias("n"), F.max_by("label", F.struct("n", -F.col("label"))).alias("want"))
-    linked = scratch.keep(whole.where("n > 1").withColumn("label", F.lit(None).cast("int")))
-    singles = total - (linked.agg(F.sum("n")).first()[0] or 0)
-    base = singles / shards  # documents without links keep their hash labels
-    for k in range(rounds):
-        held = {r["label"]: r["n"] for r in linked.where("label IS NOT NULL AND n <= %d" % quota).groupBy("label").agg(F.sum("n").alias("n")).collect()}
-        asked = {r["want"]: r["n"] for r in linked.where("label IS NULL AND n <= %d" % quota).groupBy("want").agg(F.sum("n").alias("n")).collect()}
-        if not asked:
+
+def ranked(rows: DataFrame, groups: list[str], name: str, first: list[Column] | None = None) -> DataFrame:
+    """Adds ``name``: 0, 1, ... within each value of ``groups``, in the order of ``first`` (small whole numbers), then of hash buckets."""
+    order = [c.alias(f"_o{i}") for i, c in enumerate(first or [])]
+    inner = [f"_o{i}" for i in range(len(order))]
+    dealt = rows.select("*", *order, F.pmod(F.xxhash64("node"), F.lit(BUCKETS)).cast("int").alias("_bucket"))
+    counts = dealt.groupBy(*groups, *inner, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy(*inner, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*groups, *inner, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*groups, *inner, "_bucket").orderBy("node")) - 1
+    out = dealt.withColumn("_inside", inside).join(F.broadcast(offsets), [*groups, *inner, "_bucket"])
+    return out.withColumn(name, F.col("_before") + F.col("_inside")).drop(*inner, "_bucket", "_n", "_before", "_inside")
+
+
+def admitted(asked: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """How many may move from each label to each other one: no label takes in more than its room and what leaves it."""
+    moves = asked.astype(np.float64)
+    for _ in range(200):
+        short = np.flatnonzero(moves.sum(0) > room + moves.sum(1) + 1e-9)
+        if not len(short):
+            break
+        for t in short:
+            moves[:, t] *= (room[t] + moves[t].sum()) / max(moves[:, t].sum(), 1e-9)
+    moves = np.floor(moves + 1e-9).astype(np.int64)
+    while True:  # whole numbers may leave one too many
+        over = moves.sum(0) - room - moves.sum(1)
+        t = int(np.argmax(over))
+        if over[t] <= 0:
             break
-        room = {s: max(0.0, quota * (1 + slack) - base - held.get(s, 0)) for s in range(shards)}
-        share = {s: min(1.0, room[s] / asked[s]) if asked.get(s) else 0.0 for s in range(shards)}
-        free = sorted(range(shards), key=lambda s: share[s] * asked.get(s, 0) - room[s])
-        grant = F.element_at(F.array(*[F.lit(float(share[s])) for s in range(shards)]), F.col("want") + 1)
-        draw = F.pmod(F.xxhash64("grp", F.lit(k)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        again = F.element_at(F.array(*[F.lit(s) for s in free[: max(1, shards // 2)]]), (F.pmod(F.xxhash64("grp", F.lit(-k - 1)), F.lit(max(1, shards // 2))) + 1).cast("int"))
-        got = F.col("label").isNotNull() | (F.col("n") > quota) | (draw < grant)
-        nxt = scratch.keep(linked.select(
-            "grp", "n", F.when(got, F.col("want")).otherwise(again).alias("want"),
-            F.when(got, F.coalesce("label", "want")).alias("label"),
-        ))
-        scratch.drop(linked)
-        linked = nxt
-    return linked.select("grp", F.coalesce("label", "want").alias("label"))
-
-
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
-    """-> (doc_id, size, text_crc32, law, shard, slot, grown_shard); the law is ``rows``."""
+        s = int(np.argmax(moves[:, t]))
+        moves[s, t] -= min(moves[s, t], int(np.ceil(over[t])))
+    for t in np.argsort(-room):  # or places free
+        for s in np.argsort(moves[:, t] - asked[:, t]):
+            moves[s, t] += max(0, min(asked[s, t] - moves[s, t], int(room[t] + moves[t].sum() - moves[:, t].sum())))
+    return moves
+
+
+def key_labels(linked: DataFrame, room: np.ndarray) -> DataFrame:
+    """(node, key, label) -> (key, spot, held, n): where most of a key's documents are, of equals a label with room, then a hash of the key."""
+    free = F.element_at(F.array(*[F.lit(int(r)) for r in np.maximum(room, 0)]), F.col("label") + 1)
+    votes = linked.groupBy("key", "label").agg(F.count("*").alias("c"))
+    rank = F.struct("c", (free > 0).cast("int").alias("r"), F.xxhash64("key", "label").alias("h"))
+    return votes.groupBy("key").agg(F.max_by("label", rank).alias("spot"), F.max("c").alias("held"), F.sum("c").alias("n"))
+
+
+def propagate(labels: DataFrame, links: DataFrame, share: np.ndarray, rounds: int, scratch: Scratch) -> tuple[DataFrame, list[int]]:
+    """(node, label), (node, key) -> (node, label), cut edges before and after each round."""
+    shards = len(share)
+    cuts: list[int] = []
+    best = labels
+    for _ in range(rounds + 1):
+        held = np.zeros(shards, np.int64)
+        for r in labels.groupBy("label").count().collect():  # a row for each shard
+            held[r["label"]] = r["count"]
+        linked = links.join(labels, "node")
+        keys = scratch.keep(key_labels(linked, share - held))
+        cut = keys.agg(F.sum(F.col("n") - F.col("held"))).first()[0] or 0
+        if cuts and cut >= cuts[-1]:
+            return best, cuts
+        cuts.append(int(cut))
+        best = labels
+        if not cut or len(cuts) > rounds:
+            return best, cuts
+        # a document's neighbours by label: of each key it has, all that stand at the key's spot
+        votes = links.join(keys.select("key", "spot"), "key").groupBy("node", F.col("spot").alias("to")).agg(F.count("*").alias("v"))
+        stays = votes.join(labels, "node").groupBy("node").agg(
+            F.min("label").alias("label"), F.max(F.struct("v", F.xxhash64("node", "to").alias("h"), "to")).alias("b"),
+            F.max(F.when(F.col("to") == F.col("label"), F.col("v")).otherwise(0)).alias("own"))
+        wants = scratch.keep(stays.where(F.col("b.v") > F.col("own")).select("node", "label", F.col("b.to").alias("to")))
+        asked = np.zeros((shards, shards), np.int64)
+        for r in wants.groupBy("label", "to").count().collect():  # at most shards * (shards - 1) rows
+            asked[r["label"], r["to"]] = r["count"]
+        quota = admitted(asked, share - held)
+        grant = F.element_at(F.array(*[F.lit(int(x)) for x in quota.ravel()]), F.col("label") * shards + F.col("to") + 1)
+        moved = ranked(wants, ["label", "to"], "nth").where(F.col("nth") < grant).select("node", "to")
+        labels = scratch.keep(labels.join(moved, "node", "left").select("node", F.coalesce("to", "label").alias("label")))
+    return best, cuts
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, links: DataFrame | None = None) -> DataFrame:
+    """-> (doc_id, size, text_crc32, law, shard, slot, grown_shard); the law is ``rows``.
+
+    ``links``: (doc_id, key) of documents to be kept together; equal texts, by default.
+    """
+    return shard_with_cuts(docs, shards, rounds, links)[0]
+
+
+def shard_with_cuts(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, links: DataFrame | None = None) -> tuple[DataFrame, list[int]]:
+    """The same, and the number of cut edges at the start and after each round that lowered it."""
     scratch = Scratch(docs.sparkSession, "sharding")
     nodes = scratch.keep(nodes_of(docs))
-    labels = propagate(nodes, shards, rounds, slack, scratch)
-    label = F.coalesce("label", F.pmod(F.xxhash64("doc_id", "grp"), F.lit(shards)).cast("int"))
-    placed = nodes.join(labels, "grp", "left").select("doc_id", "size", "text_crc32", "grp", label.alias("label"))
-    # range partitions in the order of labels; a hot group spreads over several by its ids
-    spread = placed.repartitionByRange("label", "grp", "doc_id").withColumn("part", F.spark_partition_id())
-    spread = scratch.keep(spread)
-    counts = spread.groupBy("part").agg(F.count("*").alias("n"))
+    if links is None:
+        linked = equal_text_links(nodes)
+    else:
+        given = links.select("doc_id", F.xxhash64("key").alias("key")).where("doc_id IS NOT NULL AND key IS NOT NULL").distinct()
+        linked = nodes.select("node", "doc_id").join(given, "doc_id").select("node", "key")
+    linked = scratch.keep(linked)
     total = nodes.count()
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("part", before.alias("before"))  # a row for each partition
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("label", "grp", "doc_id"))
-    ranked = spread.withColumn("inside", inside - 1).join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + F.col("inside"))
-    wide, less = divmod(total, shards)  # the first ``less`` shards hold one row more
-    border = less * (wide + 1)
-    at = F.when(F.col("rank") < border, F.expr(f"rank div {wide + 1}")).otherwise(F.expr(f"{less} + (rank - {border}) div {max(1, wide)}"))
-    slot = F.when(F.col("rank") < border, F.expr(f"rank % {wide + 1}")).otherwise(F.expr(f"(rank - {border}) % {max(1, wide)}"))
-    return ranked.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), at.cast("int").alias("shard"), slot.cast("long").alias("slot"),
+    share = np.full(shards, total // shards, np.int64)
+    share[: total % shards] += 1
+    # linked documents start evenly, so that none holds more than its share of them
+    known = linked.select("node").distinct()
+    start = ranked(known.withColumn("one", F.lit(0)), ["one"], "nth").select("node", F.pmod("nth", F.lit(shards)).cast("int").alias("label"))
+    labels, cuts = propagate(scratch.keep(start), linked, share, rounds, scratch)
+    held = np.zeros(shards, np.int64)
+    for r in labels.groupBy("label").count().collect():
+        held[r["label"]] = r["count"]
+    # documents without links take the places left, one shard after the other
+    loose = ranked(nodes.select("node").join(labels, "node", "left_anti").withColumn("one", F.lit(0)), ["one"], "nth")
+    at = F.lit(shards - 1)
+    ends = np.cumsum(share - held)
+    for s in range(shards - 2, -1, -1):
+        at = F.when(F.col("nth") < int(ends[s]), s).otherwise(at)
+    placed = scratch.keep(labels.unionByName(loose.select("node", at.cast("int").alias("label"))))
+    slots = ranked(placed, ["label"], "slot")
+    return nodes.drop("grp").join(slots, "node").select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("label").alias("shard"), F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-    )
+    ), cuts
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK_BYTES = 2 << 20
+#: A worker's arrays are a few dozen times as large as a block and don't outlive it; only the power tables do.
+BLOCK_BYTES = 256 << 10
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -33,14 +34,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) <= n:
-        n = max(n + 1, BLOCK_BYTES + (BLOCK_BYTES >> 1))
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(n, base, _U)
-            p[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse; tables beyond a block's size serve one long text and are freed."""
+    if len(_powers[0]) > n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_BASE, _INVERSE):
+        p = np.full(max(n + 1, BLOCK_BYTES + (BLOCK_BYTES >> 1)), base, _U)
+        p[0] = 1
+        with np.errstate(over="ignore"):
+            made.append(np.multiply.accumulate(p))
+    if len(made[0]) <= 2 * BLOCK_BYTES:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:

@@ -7,9 +7,11 @@ evidence is shared out); its posteriors are the soft labels on which a linear cl
 and that classifier scores the whole of every text.
 
 Voters are found in, and the models fitted on, at most ``TRAIN_ROWS`` labelled rows (those with the
-smallest hashes of their ids), a documented bound. Defined cases: null and empty texts get no votes
-and the classifier's intercept; labels that are null or not 0/1 are not learned from; where no voter
-stands out every score is 0; repeated rows are scored alike; other columns of the input are ignored.
+smallest hashes of their ids), a documented bound; every term that stands out there is a voter.
+Defined cases: null and empty texts get no votes and the classifier's intercept; labels that are null
+or not 0/1 are not learned from; where no voter stands out every score is 0; repeated rows are scored
+alike; of the input's other columns only the named ones are carried along, and the result's column
+takes the name ``name``, replacing one of that name.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ from ledgerspark.llm.common import crc_bucket
 from ledgerspark.llm.quality_classifier import labelled_sample
 
 TRAIN_ROWS = 8000
-MAX_VOTERS = 240
 MIN_SUPPORT = 3
 STEMS = (5, 6, 7)
 THRESHOLD = 0.3
@@ -106,8 +107,7 @@ def find_voters(texts: list[Counter], y: np.ndarray) -> Voters:
             chance += math.log(len(spread) - np.searchsorted(spread, n + g) + 1)
             if n >= MIN_SUPPORT and chance < -1 and n >= 2 * g:
                 found.append((chance, w))
-        found.sort()
-        picked.append([w for _, w in found[: MAX_VOTERS // 2]])
+        picked.append([w for _, w in sorted(found)])
     return Voters(*picked)
 
 
@@ -204,8 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifie
     return train([t.decode() for t in texts], y) if len(texts) else None
 
 
-def score(docs: DataFrame, model: Classifier | None, columns: list[str]) -> DataFrame:
-    """Append ``score`` to the named columns of every document."""
+def score(docs: DataFrame, model: Classifier | None, columns: list[str], name: str = "score") -> DataFrame:
+    """Append the score, as column ``name``, to the named columns of every document."""
+    columns = [c for c in columns if c.lower() != name.lower()]
     extra = [] if "text" in columns else ["text"]
     kept = docs.select(*[F.col(f"`{c}`") for c in [*columns, *extra]])
     fields, at, n = kept.schema.fields[: len(columns)], [*columns, *extra].index("text"), len(columns)
@@ -213,14 +214,14 @@ def score(docs: DataFrame, model: Classifier | None, columns: list[str]) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = [model.score(t) if model else 0.0 for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(s, pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(s, pa.float64())], names=[*columns, name])
 
-    return kept.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """documents + labels -> the named columns (all by default) and ``score``, the probability of being toxic."""
-    return score(docs, fit(docs, labels), columns or docs.columns)
+def toxicity_scores(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, name: str = "score") -> DataFrame:
+    """documents + labels -> the named columns (all by default) and ``name``, the probability of being toxic."""
+    return score(docs, fit(docs, labels), columns or docs.columns, name)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

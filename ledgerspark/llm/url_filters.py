@@ -40,6 +40,7 @@ def split_rule(rule: str) -> tuple[str, str]:
 def match_rules(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """(host, path, ...) -> plus ``rule`` and ``ruled``, the longest fitting rule and its verdict.
 
+    Of equally long ones an allow goes before a block, then the smaller text; so it is either way.
     Up to ``MAX_INLINE_RULES`` rules become one CASE expression (no shuffle). More are joined by
     host suffix, of which a host has as many as labels; AQE splits a hot suffix.
     """
@@ -59,8 +60,8 @@ def match_rules(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     keys = df.select("host", "path").distinct()
     hits = keys.withColumn("suffix", F.explode(suffixes)).join(table, "suffix").where(F.col("path").startswith(F.col("prefix")))
-    order = F.struct(F.length("rule"), F.when(F.col("ruled") == "allow", 1).otherwise(0), "rule")
-    chosen = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "ruled"), order).alias("b")).select("host", "path", "b.*")
+    order = F.struct(-F.length("rule"), F.when(F.col("ruled") == "allow", 0).otherwise(1), "rule")
+    chosen = hits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "ruled"), order).alias("b")).select("host", "path", "b.*")
     return df.join(chosen, ["host", "path"], "left")
 
 
@@ -161,21 +162,56 @@ def op1_url_filters(spark, sf_dir: str) -> DataFrame:
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
 
 
+def path_aliases(pages: DataFrame) -> DataFrame:
+    """(src, dst): each page's url and the smallest url of the same path but for a last ``/`` or ``.html``, as mirrors of one site have them."""
+    url = F.col("url")
+    mirrored = pages.where("url LIKE '%://%'").select("url", F.regexp_replace(path_of(url), r"(\.html|/)$", "").alias("p")).where("p <> ''")
+    least = mirrored.groupBy("p").agg(F.min("url").alias("dst"))
+    return mirrored.join(least, "p").select(F.col("url").alias("src"), "dst")
+
+
+def url_mirrors(spark, sf_dir: str) -> DataFrame:
+    """The filter with a redirect table made of all pages: verdicts pass between mirrors."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter(pages, RULES, path_aliases(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
 _RULE_SQL = "CASE " + " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{t}'"
     for _, t in sorted(RULES, key=lambda r: -len(r[1])) for h, p in [split_rule(t)]
 ) + " END"
 
-OP1_SQL = f"""
-WITH u AS (
+_PAGES_SQL = f"""
+u AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, url FROM pages
 ), s AS (
   SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h0, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
 ), h AS (
   SELECT page_id, coalesce(translate(h0, '{_UP}', '{_LOW}'), '') AS host, coalesce(path, '') AS path FROM s
 ), r AS (SELECT page_id, host, path, {_RULE_SQL} AS rule FROM h)
-SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' ELSE 'allow' END AS verdict,
-  CAST(NULL AS VARCHAR) AS alias_of
-FROM r
+, j AS (
+  SELECT page_id, host, path, rule,
+    CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled
+  FROM r
+)
+"""
+OP1_SQL = f"WITH {_PAGES_SQL} SELECT page_id, host, path, rule, coalesce(ruled, 'allow') AS verdict, CAST(NULL AS VARCHAR) AS alias_of FROM j"
+
+#: Components by walking the links from each url to ever smaller ones.
+MIRRORS_SQL = f"""
+WITH RECURSIVE {_PAGES_SQL}, n AS (
+  SELECT page_id, regexp_replace(url, '#.*$', '') AS node, regexp_replace(path, '(\\.html|/)$', '') AS p FROM j JOIN u USING (page_id) WHERE url LIKE '%://%'
+), e AS (
+  SELECT DISTINCT a.node AS src, b.node AS dst FROM n a JOIN (SELECT p, min(url) AS url FROM n JOIN u USING (page_id) WHERE p <> '' GROUP BY p) l USING (p)
+  JOIN u ON u.url = l.url JOIN n b ON b.page_id = u.page_id
+), walk AS (
+  SELECT node, node AS seen FROM n
+  UNION
+  SELECT walk.node, CASE WHEN e.src = walk.seen THEN e.dst ELSE e.src END FROM walk JOIN e ON walk.seen IN (e.src, e.dst)
+), c AS (SELECT node, min(seen) AS component FROM walk GROUP BY node),
+g AS (
+  SELECT component, bool_or(ruled = 'allow') AS allows, bool_or(ruled = 'block') AS blocks FROM c JOIN n USING (node) JOIN j USING (page_id) GROUP BY component
+)
+SELECT j.page_id, host, path, rule, coalesce(ruled, CASE WHEN allows THEN 'allow' WHEN blocks THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN n USING (page_id) LEFT JOIN c USING (node) LEFT JOIN g USING (component)
 """

@@ -141,6 +141,15 @@ def test_packing_round_trip(docs):
     assert len(seqs) <= 1.05 * total / 256 + 1
 
 
+def test_token_ids_of_texts_that_the_faster_encoder_refuses():
+    import public_tokenizers
+    import tokenizers
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 1_000_000 + "x", "a\u3000\n" * 9, "x" * 3000, "it's 12345 \u4e2d\u6587 \U0001f600\t\r\n  ", ""):
+        assert packing.token_ids(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit_respects_every_capacity():
     histogram = {100: 7, 60: 20, 30: 15, 10: 90, 1: 13}
     for score in ("norm", "dot"):
@@ -168,7 +177,67 @@ def test_sharding_is_even_and_keeps_groups(docs):
     for r in rows:
         assert r["size"] == len((text[r["doc_id"]] or "").encode()) + 1 and r["text_crc32"] == zlib.crc32((text[r["doc_id"]] or "").encode())
         groups.setdefault(text[r["doc_id"]], set()).add(r["shard"])
-    assert sum(len(g) - 1 for g in groups.values()) <= 4
+    assert sum(len(g) - 1 for g in groups.values()) == 0  # every group fits a shard, and unlinked documents even out the sizes
+
+
+def cut_edges(keys, label):
+    """Documents away from where most of their key's documents are."""
+    return sum(len(m) - max(Counter(label[d] for d in m).values()) for m in keys.values())
+
+
+def test_propagation_cuts_fewer_edges_than_hashing_and_sorting(spark):
+    rng = random.Random(6)
+    n, shards = 640, 8
+    # planted communities of 20; documents of one share several of its keys, and a few keys cross
+    keys = {f"{c}/{k}": rng.sample(range(20 * c, 20 * c + 20), 7) for c in range(20) for k in range(12)}
+    keys |= {f"x{k}": rng.sample(range(400), 2) for k in range(10)}
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(n)], "doc_id bigint, text string").repartition(3)
+    links = spark.createDataFrame([(d, k) for k, m in keys.items() for d in m], "doc_id bigint, key string")
+    rows, cuts = sharding.shard_with_cuts(docs, shards, links=links)
+    label = {r["doc_id"]: r["shard"] for r in rows.collect()}
+    sizes = Counter(label.values())
+    assert set(sizes.values()) == {n // shards}
+    assert cut_edges(keys, label) == cuts[-1] < cuts[0] and cuts == sorted(cuts, reverse=True)
+    hashed = cut_edges(keys, {i: zlib.crc32(str(i).encode()) % shards for i in range(n)})
+    first = {}
+    for k in sorted(keys):
+        for d in keys[k]:
+            first.setdefault(d, k)
+    by_key = sorted(range(n), key=lambda d: zlib.crc32(first.get(d, f"z{d}").encode()))
+    in_order = cut_edges(keys, {d: i * shards // n for i, d in enumerate(by_key)})
+    assert cuts[-1] < 0.5 * min(hashed, in_order)
+
+
+def test_propagation_reaches_the_best_cut_of_a_small_graph(spark):
+    import itertools
+
+    keys = {"a": [0, 3], "b": [1, 4], "c": [2, 5], "d": [0, 3, 6]}
+    docs = spark.createDataFrame([(i, str(i)) for i in range(8)], "doc_id bigint, text string")
+    links = spark.createDataFrame([(d, k) for k, m in keys.items() for d in m], "doc_id bigint, key string")
+    rows, cuts = sharding.shard_with_cuts(docs, 2, links=links)
+    label = {r["doc_id"]: r["shard"] for r in rows.collect()}
+    best = min(cut_edges(keys, {d: int(d in some) for d in range(8)}) for some in itertools.combinations(range(8), 4))
+    assert cut_edges(keys, label) == cuts[-1] and cuts[-1] <= best + 1
+
+
+def test_a_group_beyond_a_shard_fills_it(spark):
+    docs = spark.createDataFrame([(i, "same" if i % 2 else f"t{i}") for i in range(400)], "doc_id bigint, text string").repartition(4)
+    rows, cuts = sharding.shard_with_cuts(docs, 8)
+    sizes = Counter(r["shard"] for r in rows.collect())
+    assert set(sizes.values()) == {50} and cuts[-1] == 150
+
+
+def test_quotas_are_kept():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        asked, room = rng.integers(0, 40, (6, 6)), rng.integers(0, 30, 6)
+        np.fill_diagonal(asked, 0)
+        moves = sharding.admitted(asked, room)
+        assert (moves <= asked).all() and (moves >= 0).all() and (moves.sum(0) <= room + moves.sum(1)).all()
+    full = sharding.admitted(np.array([[0, 5], [5, 0]]), np.zeros(2))
+    assert full.sum() == 10
 
 
 def test_license_scan_matches_brute_force(docs):
