@@ -8,7 +8,7 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.text import normalize_whitespace
+from ledgerspark.functions.text import normalize_whitespace, once
 
 # Standard tax rates.
 TAX_RATES = [0.0, 0.05, 0.06, 0.07, 0.077, 0.08, 0.081, 0.10, 0.12, 0.13, 0.14, 0.15, 0.18, 0.19, 0.20, 0.21, 0.22, 0.23, 0.24, 0.25, 0.27]
@@ -26,35 +26,40 @@ def parse_numeric(value: Column) -> Column:
     The last of two kinds of separators is the decimal one; a single comma is always decimal, several
     commas or dots are thousands unless the last group of dots has one or two digits.
     """
+    # each step is computed once a row: the spelling decides which of a few plain forms is cast
     bare = F.regexp_replace(normalize_whitespace(value), r"^[A-Za-z$€£¥\s:]+(\.\s*)?", "")
     digits = F.trim(F.regexp_replace(bare, r"[^\d.,\-\s]", ""))
     joined = F.regexp_replace(F.regexp_replace(digits, r"\.,|,\.", ","), r"(?<=\d)\s+(?=\d)", "")
-    led = F.regexp_replace(F.regexp_replace(joined, r"^([.,])", "0$1"), r"^-([.,])", "-0$1")
-    commas, dots = _occurrences(led, ","), _occurrences(led, ".")
-    no_dots, no_commas = F.replace(led, F.lit("."), F.lit("")), F.replace(led, F.lit(","), F.lit(""))
-    dot_last = led.rlike(r"\.[^,]*$")
-    plain = (
-        F.when((commas > 0) & (dots > 0), F.when(dot_last, no_commas).otherwise(F.replace(no_dots, F.lit(","), F.lit("."))))
-        .when(commas == 1, F.replace(led, F.lit(","), F.lit(".")))
-        .when(commas > 1, no_commas)
-        .when((dots > 1) & led.rlike(r"\.[^.]{1,2}$"), F.concat(F.replace(F.regexp_replace(led, r"\.[^.]*$", ""), F.lit("."), F.lit("")), F.regexp_extract(led, r"(\.[^.]*)$", 1)))
-        .when(dots > 1, no_dots)
-        .otherwise(led)
-    )
-    return F.when(digits.isin("", "-"), F.lit(None)).otherwise(F.round(plain.try_cast("double"), 4))
+    led = F.regexp_replace(joined, r"^(-?)([.,])", "$10$2")
+    return once(led, _plain_number)
+
+
+def _plain_number(led: Column) -> Column:
+    def form(n: Column) -> Column:
+        commas, dots = n["commas"], n["dots"]
+        plain = (
+            F.when((commas > 0) & (dots > 0), F.when(led.rlike(r"\.[^,]*$"), F.translate(led, ",", "")).otherwise(F.translate(led, ",.", ".")))
+            .when(commas == 1, F.translate(led, ",", "."))
+            .when(commas > 1, F.translate(led, ",", ""))
+            .when((dots > 1) & led.rlike(r"\.[^.]{1,2}$"), F.regexp_replace(led, r"\.(?=.*\.)", ""))
+            .when(dots > 1, F.translate(led, ".", ""))
+            .otherwise(led)
+        )
+        return F.round(plain.try_cast("double"), 4)
+
+    counts = F.struct(_occurrences(led, ",").alias("commas"), _occurrences(led, ".").alias("dots"))
+    return F.when(~led.isin("", "-"), once(counts, form))
 
 
 def normalize_amount(value: Column) -> Column:
     """F-21: a plain number as text; whole numbers keep two places only where they were written."""
-    n, raw = parse_numeric(value), F.trim(value)
-    whole, two = F.format_string("%d", n.cast("long")), F.format_string("%.2f", n)
-    pointed = raw.rlike("[.,]")
-    return (
-        F.when(n.isNull(), F.lit(None))
-        .when(pointed & raw.rlike(r"[.,]00$"), two)
-        .when((n == F.floor(n)) & ~(pointed & raw.rlike(r"[.,]0$")), whole)
-        .otherwise(two)
-    )
+    raw = F.trim(value)
+
+    def written(n: Column) -> Column:
+        whole, two = F.format_string("%d", n.cast("long")), F.format_string("%.2f", n)
+        return F.when(n.isNull(), F.lit(None)).when(raw.rlike(r"[.,]00$"), two).when((n == F.floor(n)) & ~raw.rlike(r"[.,]0$"), whole).otherwise(two)
+
+    return once(parse_numeric(value), written)
 
 
 def stored_decimal(value: Column) -> Column:
@@ -69,18 +74,20 @@ def strict_decimal(value: Column) -> Column:
 
 def tax_rate(value: Column, net: Column | None = None, gross: Column | None = None) -> Column:
     """F-25: a rate as fraction: a percentage, a standard rate, or what net and gross imply if the digits agree."""
+    def rate(x: Column) -> Column:
+        raw, n = x["raw"], x["n"]
+        out = F.when(raw == "", F.lit(None).cast("double")).when(F.contains(raw, F.lit("%")) & n.isNotNull(), F.round(F.when(n > 1, n / 100).otherwise(n), 4))
+        out = out.when(n.isin(DIRECT_RATES), n).when(n.isin([r * 100 for r in DIRECT_RATES]), F.round(n / 100, 4))
+        if net is None or gross is None:
+            return out
+        implied = (gross - net) / net
+        nearest = F.array_min(F.array(*[F.struct(F.abs(F.lit(r) - implied).alias("off"), F.lit(r).alias("rate")) for r in TAX_RATES]))
+        implies = once(nearest, lambda t: F.when((t["off"] <= 0.005) & raw.startswith(F.round(t["rate"] * 100).cast("int").cast("string")), t["rate"]))
+        return out.when((net > 0) & (gross >= net), implies)
+
     raw = normalize_whitespace(value)
-    with_sign = parse_numeric(F.replace(raw, F.lit("%"), F.lit("")))
-    direct = parse_numeric(raw)
-    out = F.when(raw == "", F.lit(None).cast("double")).when(
-        F.contains(raw, F.lit("%")) & with_sign.isNotNull(), F.round(F.when(with_sign > 1, with_sign / 100).otherwise(with_sign), 4))
-    out = out.when(direct.isin(DIRECT_RATES), direct).when(direct.isin([r * 100 for r in DIRECT_RATES]), F.round(direct / 100, 4))
-    if net is None or gross is None:
-        return out
-    implied = (gross - net) / net
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.lit(r) - implied).alias("off"), F.lit(r).alias("rate")) for r in TAX_RATES]))
-    usable = (net > 0) & (gross >= net) & (nearest["off"] <= 0.005)
-    return out.when(usable & raw.startswith(F.round(nearest["rate"] * 100).cast("int").cast("string")), nearest["rate"])
+    # a percent sign is no part of a number, so that one reading serves both spellings
+    return once(F.struct(raw.alias("raw"), parse_numeric(F.replace(raw, F.lit("%"), F.lit(""))).alias("n")), rate)
 
 
 def percentage(value: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ RECOGNISED_CURRENCIES = [
 ]
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def lookup(key: Column, table: dict[str, str], default: Column | None = None) -> Column:
     """A CASE over a fixed table."""
     items = iter(table.items())
@@ -66,11 +73,12 @@ def clean_code(value: Column) -> Column:
     return F.regexp_replace(F.trim(value), r"[.,;:]+$", "")
 
 
-def contains_term(text: Column, term: str) -> Column:
-    """F-03: terms of up to three letters need word boundaries, longer ones may stand anywhere."""
+def contains_term(text: Column, term: str, lowered: bool = False) -> Column:
+    """F-03: terms of up to three letters need word boundaries, longer ones may stand anywhere; ``lowered``: the text is in lower case."""
+    low, term = text if lowered else F.lower(text), term.lower()
     if len(term) <= 3:
-        return text.rlike(r"(?i)\b" + _quoted(term) + r"\b")
-    return F.contains(F.lower(text), F.lit(term.lower()))
+        return F.contains(low, F.lit(term)) & low.rlike(r"\b" + _quoted(term) + r"\b")
+    return F.contains(low, F.lit(term))
 
 
 def _quoted(term: str) -> str:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.dates import normalize_date
 from ledgerspark.functions.numbers import normalize_amount
-from ledgerspark.functions.text import clean_code
+from ledgerspark.functions.text import clean_code, once
 from ledgerspark.operators.registry import COMMON, FIELDS, known_labels
 
 FIELD = "struct<value:string,confidence:double,matched_text:string,is_found:boolean,manually_entered:boolean,provenance:string,conflict_value:string>"
@@ -44,11 +42,6 @@ def field(value: Column, confidence: Column, matched: Column) -> Column:
     )
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def by_labels(text: Column, labels: list[str]) -> Column:
     """F-02 over a ``marked`` text: the first label, in order of preference, that has a value; confidence falls with the order."""
 

@@ -1,13 +1,17 @@
-"""Governed SQL: role views with row and column security, statement checks, row limit (Z-01 to Z-11, S-03, P-12, J-05).
+"""Governed SQL: role views with row and column security, statement checks, row limit (Z-01 to Z-11, S-03, P-12, J-05, ST-10).
 
 A role's session holds secured views only. Spark resolves every mention of a table, at any depth, to
-its view, so that no predicate has to be injected into the user's text and no OR can weaken it.
+its view, so that no predicate has to be injected into the user's text and no OR can weaken it. What
+could reach past the views (other relations, paths, table functions, commands) is refused from the
+parsed plan: every node and every function of it must be on a list.
 """
 
 from __future__ import annotations
 
 import re
 import threading
+import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +19,12 @@ from pyspark.sql import functions as F
 
 MAX_ROWS = 100
 # Tables of each role and columns of each table.
-_SHARED = ["documents", "extraction_results", "classification_results", "validation_results", "invoices", "invoice_line_items", "payment_obligations", "vendors", "vendor_aliases", "invoice_payments"]
-ROLE_TABLES = {"FINANCE_ANALYST": _SHARED, "FINANCE_MANAGER": _SHARED, "AUDITOR": [*_SHARED, "workflow_history"], "ADMIN": [*_SHARED, "users", "workflow_history"]}
+ROLE_TABLES = {
+    "FINANCE_ANALYST": ["documents", "extraction_results", "classification_results", "validation_results", "invoices", "invoice_line_items", "payment_obligations", "vendors", "vendor_aliases", "invoice_payments"],
+    "FINANCE_MANAGER": ["documents", "extraction_results", "classification_results", "validation_results", "invoices", "invoice_line_items", "payment_obligations", "vendors", "vendor_aliases", "invoice_payments"],
+    "AUDITOR": ["documents", "extraction_results", "classification_results", "validation_results", "invoices", "invoice_line_items", "payment_obligations", "vendors", "vendor_aliases", "invoice_payments", "workflow_history"],
+    "ADMIN": ["documents", "extraction_results", "classification_results", "validation_results", "invoices", "invoice_line_items", "payment_obligations", "vendors", "vendor_aliases", "invoice_payments", "users", "workflow_history"],
+}
 COLUMNS = {
     "documents": ["id", "original_filename", "stored_filename", "document_type", "status", "company_code", "vendor_code", "validation_status", "file_size_bytes", "mime_type", "page_count", "is_deleted", "uploaded_by", "created_at", "updated_at"],
     "extraction_results": ["id", "document_id", "engine_name", "overall_confidence", "fields", "created_at", "updated_at"],
@@ -33,8 +41,25 @@ COLUMNS = {
 }
 _BY_DOCUMENT = {"extraction_results", "classification_results", "validation_results", "invoices", "workflow_history"}
 _BY_INVOICE = {"invoice_line_items", "payment_obligations", "invoice_payments"}
-_BANNED = re.compile(r"\b(reflect|try_reflect|java_method|input_file_name|input_file_block_\w+|current_user|session_user|user|current_catalog|current_database|version|spark_partition_id|raise_error|read_files|secret)\s*\(", re.I)
-_PATHS = re.compile(r"\b(parquet|orc|csv|json|text|avro|delta|binaryfile|jdbc)\s*\.\s*`", re.I)
+#: Nodes that a parsed query may consist of.
+NODES = {
+    "Project", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Filter", "UnresolvedHaving", "UnresolvedWith", "WithWindowDefinition",
+    "Union", "Except", "Intersect", "SubqueryAlias", "UnresolvedRelation", "Join", "UnresolvedSubqueryColumnAliases", "OneRowRelation$", "UnresolvedInlineTable",
+}
+#: Functions that a query may call; none of them looks outside its arguments.
+FUNCTIONS = set("""
+abs add_months any approx_count_distinct array array_agg avg bool_and bool_or bround cast cbrt ceil ceiling char_length coalesce collect_list collect_set
+concat concat_ws contains corr count count_if cume_dist current_date current_timestamp date date_add date_diff date_format date_from_unix_date date_part
+date_sub date_trunc dateadd datediff datepart day dayofmonth dayofweek dayofyear dense_rank element_at endswith every exp extract first first_value floor
+format_number greatest hour if ifnull ilike initcap instr isnotnull isnull lag last last_day last_value lcase lead least left len length like ln log log10
+lower lpad ltrim make_date map_keys map_values max max_by mean median min min_by minute mod mode month months_between negative next_day now nth_value ntile
+nullif nvl nvl2 percent_rank percentile percentile_approx pmod position power quarter rank regexp_count regexp_extract regexp_like regexp_replace repeat
+replace right rlike round row_number rpad rtrim second sign size some split split_part sqrt startswith std stddev stddev_pop stddev_samp string strpos
+substr substring sum to_char to_date to_number to_timestamp translate trim trunc try_add try_avg try_cast try_divide try_multiply try_subtract try_sum
+try_to_date try_to_number ucase unix_date upper var_pop var_samp variance weekday weekofyear year timestampdiff timestampadd decimal double int bigint
+""".split())
+#: Bare names that Spark would take for the session's own properties.
+SESSION_NAMES = {"current_user", "session_user", "user", "current_catalog", "current_database", "current_schema", "current_path", "grouping__id"}
 
 
 class Refused(ValueError):
@@ -84,40 +109,112 @@ def secured(name: str, tables: dict[str, DataFrame], who: Principal, analyst_pol
     return out.select(*[c for c in COLUMNS[name] if c in out.columns])
 
 
-def check_statement(spark: SparkSession, sql: str) -> None:
-    """Z-01 to Z-03: one parseable query, no commands, no paths, no functions that look outside."""
+def _parsed(spark: SparkSession, sql: str):
     if not sql or not sql.strip():
         raise Refused("empty statement")
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise Refused(f"not a statement: {str(e).splitlines()[0]}") from e
-    kind = plan.getClass().getSimpleName()
-    if kind not in {"Project", "Aggregate", "Sort", "GlobalLimit", "Distinct", "Filter", "UnresolvedHaving", "UnresolvedWith", "WithWindowDefinition", "Offset", "Union", "Except", "Intersect", "SubqueryAlias"}:
-        raise Refused(f"only queries are run, not {kind}")
-    bare = re.sub(r"'(?:[^'\\]|\\.)*'", "''", sql)
-    if _BANNED.search(bare) or _PATHS.search(bare):
-        raise Refused("a function or path that is not allowed")
 
 
-def execute(spark: SparkSession, sql: str, tables: dict[str, DataFrame], who: Principal, analyst_policy: str = "scoped", seconds: float | None = 5.0) -> DataFrame:
-    """S-03: at most 100 rows of a governed query; Spark jobs beyond the time are cancelled.
-
-    The role's views live in a session of their own.
+def _listed(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _name(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _walk(plan):
+    """(is a relation or operator, node) of a parsed plan: common table expressions, expressions and their subqueries included."""
+    stack = [(True, plan)]
+    while stack:
+        whole, node = stack.pop()
+        yield whole, node
+        if whole:
+            # a WITH keeps its tables beside its children
+            below = [*_listed(node.children()), *([pair._2() for pair in _listed(node.cteRelations())] if _name(node) == "UnresolvedWith" else [])]
+            stack += [(True, x) for x in below] + [(False, x) for x in _listed(node.expressions())]
+        else:
+            stack += [(False, x) for x in _listed(node.children())]
+            if _name(node) in ("ScalarSubquery", "ListQuery", "Exists"):
+                stack.append((True, node.plan()))
+            elif "Subquery" in _name(node) and _name(node) != "InSubquery":
+                raise Refused(f"{_name(node)} is not allowed")
+
+
+def check_statement(spark: SparkSession, sql: str, allowed: set[str] | None = None) -> None:
+    """Z-01 to Z-04: one parseable query made of listed nodes and functions, over allowed tables and its own WITH names alone."""
+    plan = _parsed(spark, sql)
+    allowed = set(COLUMNS) if allowed is None else allowed
+    walked = list(_walk(plan))
+    own = {pair._1().lower() for whole, n in walked if whole and _name(n) == "UnresolvedWith" for pair in _listed(n.cteRelations())}
+    for whole, node in walked:
+        kind = _name(node)
+        if whole:
+            if kind not in NODES:
+                raise Refused(f"only queries are run, not {kind}")
+            if kind == "UnresolvedRelation":
+                name = [str(x) for x in _listed(node.multipartIdentifier())]
+                if len(name) != 1 or name[0].lower() not in allowed | own:
+                    raise Refused(f"the table {'.'.join(name)} is not allowed")
+        elif kind == "UnresolvedFunction":
+            name = [str(x) for x in _listed(node.nameParts())]
+            if len(name) != 1 or name[0].lower() not in FUNCTIONS:
+                raise Refused(f"the function {'.'.join(name)} is not allowed")
+        elif kind == "UnresolvedAttribute":
+            name = [str(x).lower() for x in _listed(node.nameParts())]
+            if len(name) == 1 and name[0] in SESSION_NAMES:
+                raise Refused(f"{name[0]} is not allowed")
+        elif kind in ("CurrentUser", "CurrentDatabase", "CurrentCatalog", "SessionUser") or kind.startswith("Unresolved") and "Identifier" in kind:
+            raise Refused(f"{kind} is not allowed")
+
+
+def explicit_nulls(spark: SparkSession, sql: str) -> str:
+    """Section 2.6: nulls sort as in the surface's dialect, last when ascending and first when descending, where the statement does not say."""
+    ends = []
+    for whole, node in _walk(_parsed(spark, sql)):
+        if not whole and _name(node) == "SortOrder" and node.origin().stopIndex().isDefined():
+            start, stop = node.origin().startIndex().get(), node.origin().stopIndex().get() + 1
+            if not re.search(r"(?i)\bnulls\s+(first|last)\s*$", sql[start:stop]):
+                ends.append((stop, " NULLS FIRST" if str(node.direction().sql()).upper() == "DESC" else " NULLS LAST"))
+    for stop, text in sorted(set(ends), reverse=True):
+        sql = sql[:stop] + text + sql[stop:]
+    return sql
+
+
+def execute(spark: SparkSession, sql: str, tables: dict[str, DataFrame], who: Principal, analyst_policy: str = "scoped") -> DataFrame:
+    """Z-01 to Z-10: at most 100 rows of a governed query, not yet run.
+
+    The role's views live in a session of their own; a table for which no data is given can't be named.
     """
-    check_statement(spark, sql)
+    named = [n for n in ROLE_TABLES[who.role] if n in tables]
+    check_statement(spark, sql, set(named))
     own = spark.newSession()
-    for name in ROLE_TABLES[who.role]:
-        if name in tables:
-            view = secured(name, tables, who, analyst_policy)
-            view._jdf.createOrReplaceTempView(name) if view.sparkSession is own else _register(own, name, view)
-    out = own.sql(_clamped(sql)).limit(MAX_ROWS)
-    if seconds:
-        own.sparkContext.setJobGroup(f"governed-{id(out)}", "governed query", interruptOnCancel=True)
-        timer = threading.Timer(seconds, own.sparkContext.cancelJobGroup, [f"governed-{id(out)}"])
-        timer.daemon = True
-        timer.start()
-    return out
+    for name in named:
+        _register(own, name, secured(name, tables, who, analyst_policy))
+    return own.sql(explicit_nulls(spark, _clamped(sql))).limit(MAX_ROWS)
+
+
+def fetch(spark: SparkSession, sql: str, tables: dict[str, DataFrame], who: Principal, analyst_policy: str = "scoped", seconds: float = 5.0) -> dict:
+    """S-03, ST-10: runs a governed query: {sql, row_count, columns, rows, execution_time_ms}; its jobs, and no others, are cancelled beyond the time."""
+    out = execute(spark, sql, tables, who, analyst_policy)
+    sc = spark.sparkContext
+    kept = {k: sc.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+    group = f"governed-{uuid.uuid4().hex}"
+    timer = threading.Timer(seconds, sc.cancelJobGroup, [group])
+    timer.daemon = True
+    began = time.perf_counter()
+    sc.setJobGroup(group, "governed query", interruptOnCancel=True)
+    timer.start()
+    try:
+        rows = [r.asDict() for r in out.collect()]  # MAX_ROWS at most
+    finally:
+        timer.cancel()
+        for k, v in kept.items():
+            sc.setLocalProperty(k, v)
+    return {"sql": sql, "row_count": len(rows), "columns": out.columns, "rows": rows, "execution_time_ms": round(1000 * (time.perf_counter() - began))}
 
 
 def _register(own: SparkSession, name: str, view: DataFrame) -> None:

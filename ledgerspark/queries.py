@@ -87,14 +87,14 @@ WHERE position <= 5
 @query(f"WITH {_PORTFOLIO_SQL}, ven AS (SELECT s_suppkey AS id, s_name AS canonical_name FROM supplier) " + _VENDOR_RANK.format(inv="inv", ven="ven"))
 def governed_vendor_rank(spark, sf_dir):
     """Flagship (S-03, Z-01 to Z-09, A-08, W-04): an analyst's SQL through secured views; vendors ranked within each currency."""
-    return governance.execute(spark, _VENDOR_RANK.format(inv="invoices", ven="vendors"), _portfolio(spark, sf_dir), ANALYST, seconds=None)
+    return governance.execute(spark, _VENDOR_RANK.format(inv="invoices", ven="vendors"), _portfolio(spark, sf_dir), ANALYST)
 
 
 @query(f"WITH {_PORTFOLIO_SQL} SELECT currency, SUM(amount_outstanding) AS outstanding, COUNT(*) FILTER (WHERE due_date < DATE '1998-08-01' AND amount_outstanding > 0 AND status <> 'PAID') AS overdue, COUNT(*) AS total FROM obl GROUP BY currency")
 def governed_outstanding(spark, sf_dir):
     """Z-06, A-04, A-05, P-09: outstanding and overdue by currency, as an analyst sees it, an OR in the filter included."""
     sql = "SELECT currency, SUM(amount_outstanding) AS outstanding, COUNT(*) FILTER (WHERE due_date < DATE '1998-08-01' AND amount_outstanding > 0 AND status <> 'PAID') AS overdue, COUNT(*) AS total FROM payment_obligations WHERE status = 'PAID' OR 1 = 1 GROUP BY currency"
-    return governance.execute(spark, sql, _portfolio(spark, sf_dir), ANALYST, seconds=None)
+    return governance.execute(spark, sql, _portfolio(spark, sf_dir), ANALYST)
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(15,2)) AS net_amount FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 5 = 3 AND o_orderkey % 97 <> 0)")
