@@ -133,3 +133,22 @@ def evaluate(expression: str) -> str:
         return str(walk(ast.parse(expression, mode="eval")).quantize(Decimal("0.01"), ROUND_HALF_UP))
     except SyntaxError as e:
         raise ValueError(f"not an arithmetic expression: {expression!r}") from e
+
+
+def evaluate_column(text: Column) -> Column:
+    """F-26 for a column: sums of products over plain numbers (no brackets, which ``evaluate`` takes), half-up to 2 places; null for anything else.
+
+    A text is cut into signed terms, a term into factors; a division by zero gives null.
+    """
+    bare = F.regexp_replace(text, r"\s+", "")
+    number = r"\d+(?:\.\d+)?"
+    shaped = bare.rlike(rf"^[+-]?{number}(?:[*/][+-]?{number}|[+-]{number})*$")
+    terms = F.regexp_extract_all(bare, F.lit(rf"[+-]?{number}(?:[*/][+-]?{number})*"), F.lit(0))
+
+    def product(term: Column) -> Column:
+        parts = F.regexp_extract_all(term, F.lit(rf"[*/]?[+-]?{number}"), F.lit(0))
+        value = lambda p: F.regexp_replace(p, "^[*/]", "").try_cast("double")
+        return F.aggregate(parts, F.lit(1.0), lambda s, p: F.when(p.startswith("/"), F.try_divide(s, value(p))).otherwise(s * value(p)))
+
+    total = F.aggregate(F.transform(terms, product), F.lit(0.0), lambda s, v: s + v)
+    return F.when(shaped, F.round(total.cast("decimal(28,10)"), 2).cast("decimal(28,2)"))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WORD = re.compile(r"[^\W_]+")
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -21,15 +28,19 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def hashed_embedding(text: Column, dimension: int = 384) -> Column:
-    """R-01's offline default: a signed count of hashed words, scaled to length 1; deterministic on every worker."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    codes = F.transform(words, lambda w: F.xxhash64(w))
-    counted = F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda i: F.aggregate(
-            F.filter(codes, lambda c: F.pmod(c, F.lit(dimension)) == i), F.lit(0.0),
-            lambda s, c: s + F.when(F.pmod(F.shiftright(c, 20), F.lit(2)) == 0, 1.0).otherwise(-1.0),
-        ),
-    )
-    size = norm(counted)
-    return F.transform(counted, lambda v: (v / F.when(size > 0, size).otherwise(1.0)).cast("float"))
+    """R-01's offline default: a signed count of hashed words, scaled to length 1; deterministic on every worker.
+
+    Texts travel in Arrow batches; a text without words is the zero vector.
+    """
+
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            codes = np.fromiter((zlib.crc32(w.encode()) for w in WORD.findall((t or "").lower())), np.int64)
+            v = np.bincount(codes % dimension, np.where(codes >> 20 & 1, -1.0, 1.0), dimension)
+            size = np.sqrt(v @ v)
+            out.append((v / size if size else v).astype(np.float32))
+        return pd.Series(out)
+
+    return embed(text)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.text import lookup
+from ledgerspark.functions.text import once
 
 WINDOW, STEP, INTACT = 10, 8, 15
+# Fixed value: the line that opens a page.
+PAGE_MARK = r"(?m)^=== PAGE (\d+) ===$"
 # Words that turn a summary into terms.
 TERM_TRIGGERS = ["terms", "conditions", "payment terms", "warranty", "liability", "governing law", "jurisdiction", "penalty", "late fee", "incoterms", "bank details"]
 # Column headings of line-item tables.
@@ -29,29 +33,36 @@ def _strip(c: Column) -> Column:
 
 
 def pages(docs: DataFrame, text: str = "text") -> DataFrame:
-    """C-01: (…, page_number, page_text); no marker means page 1, text before the first marker and blank pages go."""
-    marked = F.col(text).rlike(r"=== PAGE \d+ ===")
-    numbers = F.regexp_extract_all(text, F.lit(r"=== PAGE (\d+) ==="), F.lit(1))
-    parts = F.split(text, r"=== PAGE \d+ ===")
-    zipped = F.transform(numbers, lambda n, i: F.struct(n.cast("int").alias("page_number"), _strip(F.get(parts, i + 1)).alias("page_text")))
+    """C-01: (…, page_number, page_text): a marker fills a line; text before the first one and blank pages go.
+
+    Without a marker, or where every page is blank, the whole text is page 1; a blank text has no page.
+    """
+    numbers = F.regexp_extract_all(text, F.lit(PAGE_MARK), F.lit(1))
+    parts = F.split(text, PAGE_MARK)
+    zipped = F.filter(F.transform(numbers, lambda n, i: F.struct(n.cast("int").alias("page_number"), _strip(F.get(parts, i + 1)).alias("page_text"))), lambda p: p["page_text"] != "")
     one = F.array(F.struct(F.lit(1).alias("page_number"), _strip(F.col(text)).alias("page_text")))
-    rows = docs.withColumn("_p", F.explode(F.when(marked, zipped).otherwise(one)))
+    rows = docs.withColumn("_p", F.explode(once(zipped, lambda z: F.when(F.size(z) > 0, z).otherwise(one))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "_p.*").where("page_text <> ''")
 
 
 def heading(cell: Column) -> Column:
     """F-08: a heading's column: exact, else the longest known heading inside it at word borders."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.lower(cell), r"[^\w%#]", " "), r"\s+", " "))
-    table = sorted(((s, c) for c, names in HEADINGS.items() for s in names), key=lambda x: -len(x[0]))
+    by_size = sorted(((name, column) for column, names in HEADINGS.items() for name in names), key=lambda x: -len(x[0]))
     exact: dict[str, str] = {}
-    for s, c in table:
-        exact.setdefault(s, c)
-    out = lookup(clean, exact)
-    padded = F.concat(F.lit(" "), clean, F.lit(" "))
-    for s, c in table:
-        if len(s) >= 3:
-            out = out.when(F.contains(padded, F.lit(f" {s} ")), c)
-    return F.when(clean != "", out)
+    for name, column in by_size:
+        exact.setdefault(name, column)
+    names = F.create_map(*[F.lit(x) for pair in exact.items() for x in pair])
+    inner = [(f" {name} ", column) for name, column in by_size if len(name) >= 3]
+    table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("column")) for n, c in inner])
+    # one pattern tells whether any of them is there at all
+    some = "|".join(re.escape(n) for n, _ in inner).replace(r"\ ", " ").replace(r"\%", "%").replace(r"\#", "#").replace(r"\/", "/")
+
+    def found(clean: Column) -> Column:
+        padded = F.concat(F.lit(" "), clean, F.lit(" "))
+        inside = F.get(F.filter(table, lambda x: F.contains(padded, x["name"])), 0)["column"]
+        return F.when(clean != "", F.coalesce(F.try_element_at(names, clean), F.when(padded.rlike(some), inside)))
+
+    return once(F.trim(F.regexp_replace(F.regexp_replace(F.lower(cell), r"[^\w%#]", " "), r"\s+", " ")), found)
 
 
 def markdown_rows(docs: DataFrame, text: str = "text") -> DataFrame:

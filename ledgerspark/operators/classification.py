@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ledgerspark.functions.text import contains_term, once
 from ledgerspark.operators.registry import TYPES
 
+#: Terms of a kind that a trained classifier keeps, the most frequent ones.
+TERMS = 1 << 18
 #: Below this the answer is UNKNOWN.
 FLOOR = 0.23
 # Fixed values: (weight, term or /pattern/) by type, each pattern whole.
@@ -192,7 +194,7 @@ def corrected(results: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def train(examples: DataFrame, text: str = "source_text", label: str = "document_type"):
-    """K-06: TF-IDF over words and word pairs, then logistic regression; needs two classes with two rows each."""
+    """K-06: TF-IDF over words and word pairs (all of them up to ``TERMS`` each), then logistic regression; needs two classes with two rows each."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StringIndexer, VectorAssembler
@@ -203,7 +205,16 @@ def train(examples: DataFrame, text: str = "source_text", label: str = "document
     return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="label", handleInvalid="skip"),
         RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"\W+"), NGram(n=2, inputCol="_w", outputCol="_p"),
-        CountVectorizer(inputCol="_w", outputCol="_tw"), CountVectorizer(inputCol="_p", outputCol="_tp"),
+        CountVectorizer(inputCol="_w", outputCol="_tw", minDF=1.0, vocabSize=TERMS), CountVectorizer(inputCol="_p", outputCol="_tp", minDF=1.0, vocabSize=TERMS),
         IDF(inputCol="_tw", outputCol="_iw"), IDF(inputCol="_tp", outputCol="_ip"),
         VectorAssembler(inputCols=["_iw", "_ip"], outputCol="features"), LogisticRegression(maxIter=200),
     ]).fit(examples)
+
+
+#: K-08: classification engines by name; each adds ``predicted_type`` to a table with a column ``text``.
+ENGINES = {"rule_based": classify}
+
+
+def engine(name: str):
+    """K-08: an engine by name, the rules where it is unknown."""
+    return ENGINES.get(name, classify)

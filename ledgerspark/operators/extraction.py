@@ -147,3 +147,12 @@ def patched(fields: Column, key: str, value: Column) -> Column:
         F.lit(True).alias("manually_entered"), F.lit("manual").alias("provenance"), F.lit(None).cast("string").alias("conflict_value"),
     )
     return F.map_concat(F.map_filter(fields, lambda k, _: k != key), F.create_map(F.lit(key), new))
+
+
+#: E-32: extraction engines by name; each takes (documents, document_type). Others are registered by their adapters.
+ENGINES = {"rule_based": extract}
+
+
+def engine(name: str):
+    """E-32: an engine by name, the rules where it is unknown."""
+    return ENGINES.get(name, extract)

@@ -16,34 +16,38 @@ COMMON = {
     "currency": ("text", ["Currency"]),
     "barcode": ("text", ["Barcode", "Bar Code"]),
 }
-_PARTIES = {
-    "seller_address": ("text", ["Seller Address", "Vendor Address", "Supplier Address"]),
-    "seller_tax_id": ("code", ["Seller Tax ID", "Vendor Tax ID", "GSTIN", "VAT", "Tax ID"]),
-    "buyer_name": ("text", ["Buyer Name", "Customer Name", "Bill To", "Company Name"]),
-    "buyer_address": ("text", ["Buyer Address", "Customer Address", "Bill To Address"]),
-    "buyer_tax_id": ("code", ["Buyer Tax ID", "Customer Tax ID", "Buyer GSTIN"]),
-    "subtotal_net_amount": ("amount", ["Subtotal Net Amount", "Net Amount", "Subtotal"]),
-    "tax_rate": ("amount", ["Tax Rate", "GST Rate", "VAT Rate"]),
-}
-_SELLER = {"seller_name": ("text", ["Seller Name", "Vendor Name", "Vendor", "Supplier"])}
-_INVOICE = {
-    "invoice_number": ("code", ["Invoice Number", "Invoice No"]),
-    "invoice_date": ("date", ["Invoice Date"]),
-}
-_APPROVAL = {"approval_status": ("text", ["Approval Status"])}
 FIELDS = {
     "POI": {
         "vendor_code": ("code", ["Vendor Code"]),
         "po_number": ("code", ["PO Number", "Purchase Order Number", "PO No"]),
         "grn_number": ("code", ["GRN Number", "GRN No", "GRN"]),
         "srn_number": ("code", ["SRN Number", "SRN No", "SRN"]),
-        **_INVOICE, **_SELLER, **_PARTIES,
+        "invoice_number": ("code", ["Invoice Number", "Invoice No"]),
+        "invoice_date": ("date", ["Invoice Date"]),
+        "seller_name": ("text", ["Seller Name", "Vendor Name", "Vendor", "Supplier"]),
+        "seller_address": ("text", ["Seller Address", "Vendor Address", "Supplier Address"]),
+        "seller_tax_id": ("code", ["Seller Tax ID", "Vendor Tax ID", "GSTIN", "VAT", "Tax ID"]),
+        "buyer_name": ("text", ["Buyer Name", "Customer Name", "Bill To", "Company Name"]),
+        "buyer_address": ("text", ["Buyer Address", "Customer Address", "Bill To Address"]),
+        "buyer_tax_id": ("code", ["Buyer Tax ID", "Customer Tax ID", "Buyer GSTIN"]),
+        "subtotal_net_amount": ("amount", ["Subtotal Net Amount", "Net Amount", "Subtotal"]),
+        "tax_rate": ("amount", ["Tax Rate", "GST Rate", "VAT Rate"]),
         "total_tax_amount": ("amount", ["Total Tax Amount", "Tax Amount", "GST Amount", "Tax"]),
         "grand_total_amount": ("amount", ["Grand Total Amount", "Invoice Amount", "Total Amount", "Gross Amount"]),
         "payment_terms": ("text", ["Payment Terms"]),
     },
     "NPO": {
-        "vendor_code": ("code", ["Vendor Code"]), **_INVOICE, **_SELLER, **_PARTIES,
+        "vendor_code": ("code", ["Vendor Code"]),
+        "invoice_number": ("code", ["Invoice Number", "Invoice No"]),
+        "invoice_date": ("date", ["Invoice Date"]),
+        "seller_name": ("text", ["Seller Name", "Vendor Name", "Vendor", "Supplier"]),
+        "seller_address": ("text", ["Seller Address", "Vendor Address", "Supplier Address"]),
+        "seller_tax_id": ("code", ["Seller Tax ID", "Vendor Tax ID", "GSTIN", "VAT", "Tax ID"]),
+        "buyer_name": ("text", ["Buyer Name", "Customer Name", "Bill To", "Company Name"]),
+        "buyer_address": ("text", ["Buyer Address", "Customer Address", "Bill To Address"]),
+        "buyer_tax_id": ("code", ["Buyer Tax ID", "Customer Tax ID", "Buyer GSTIN"]),
+        "subtotal_net_amount": ("amount", ["Subtotal Net Amount", "Net Amount", "Subtotal"]),
+        "tax_rate": ("amount", ["Tax Rate", "GST Rate", "VAT Rate"]),
         "total_tax_amount": ("amount", ["Total Tax Amount", "Tax Amount", "GST Amount"]),
         "grand_total_amount": ("amount", ["Grand Total Amount", "Invoice Amount", "Amount Due", "Total Amount"]),
     },
@@ -56,7 +60,8 @@ FIELDS = {
         "po_number": ("code", ["PO Number", "PO No"]),
         "requested_amount": ("amount", ["Requested Amount"]),
         "advance_percentage": ("text", ["Advance Percentage", "Advance %"]),
-        "purpose": ("text", ["Purpose"]), **_APPROVAL,
+        "purpose": ("text", ["Purpose"]),
+        "approval_status": ("text", ["Approval Status"]),
     },
     "IMA": {
         "employee_id": ("code", ["Employee ID", "Employee Code"]),
@@ -75,10 +80,13 @@ FIELDS = {
         "sales_invoice_number": ("code", ["Sales Invoice Number", "MSI Invoice Number", "Invoice Number", "Invoice #", "Invoice"]),
         "sales_invoice_date": ("date", ["Sales Invoice Date", "MSI Invoice Date", "Invoice Date", "Date"]),
         "seller_name": ("text", ["Seller Name", "Vendor Name", "Company Name"]),
-        **_PARTIES,
         "seller_address": ("text", ["Seller Address", "Vendor Address"]),
         "seller_tax_id": ("code", ["Seller Tax ID", "Vendor Tax ID", "GSTIN", "VAT"]),
         "buyer_name": ("text", ["Buyer Name", "Customer Name", "Customer", "Bill To"]),
+        "buyer_address": ("text", ["Buyer Address", "Customer Address", "Bill To Address"]),
+        "buyer_tax_id": ("code", ["Buyer Tax ID", "Customer Tax ID", "Buyer GSTIN"]),
+        "subtotal_net_amount": ("amount", ["Subtotal Net Amount", "Net Amount", "Subtotal"]),
+        "tax_rate": ("amount", ["Tax Rate", "GST Rate", "VAT Rate"]),
         "total_tax_amount": ("amount", ["Total Tax Amount", "Tax Amount"]),
         "grand_total_amount": ("amount", ["Grand Total Amount", "Invoice Amount", "MSI Invoice Amount", "Total"]),
         "due_date": ("date", ["Due Date"]),
@@ -104,7 +112,8 @@ FIELDS = {
         "credit_amount": ("amount", ["Credit Amount", "Credit"]),
         "cost_center": ("text", ["Cost Center", "Cost Centre"]),
         "profit_center": ("text", ["Profit Center", "Profit Centre"]),
-        "reference_number": ("code", ["Reference Number"]), **_APPROVAL,
+        "reference_number": ("code", ["Reference Number"]),
+        "approval_status": ("text", ["Approval Status"]),
     },
     "BKA": {
         "advice_number": ("code", ["Advice Number", "Advice No"]),
@@ -126,7 +135,8 @@ FIELDS = {
         "lc_amount": ("amount", ["LC Amount"]),
         "shipment_reference": ("code", ["Shipment Reference"]),
         "trade_reference_number": ("code", ["Trade Reference Number", "Trade Reference"]),
-        "country": ("text", ["Country"]), **_APPROVAL,
+        "country": ("text", ["Country"]),
+        "approval_status": ("text", ["Approval Status"]),
     },
 }
 # Labels that end a value without being a field's own label.

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.functions.text import like, once
 from ledgerspark.functions.vectors import cosine_distance
+from ledgerspark.operators.tables import in_ids
 
 RRF_K, CANDIDATES, RERANKED, FINAL = 60, 30, 25, 5
 # Words that full-text search leaves out.
@@ -27,40 +29,87 @@ def ranked(df: DataFrame, order: list[Column], k: int, name: str) -> DataFrame:
     return some.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-def parse_query(query: str) -> list[tuple[str, bool]]:
-    """R-04: (term or phrase, wanted) of a web-style query; ``or`` between terms is not kept as a choice."""
-    out = []
-    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]+)"|(\S+))', query.lower()):
-        term = phrase or re.sub(r"[^\w']", "", word)
-        if term and term != "or" and term not in STOP_WORDS:
-            out.append((term, not minus))
-    return out
+def parse_query(query: str) -> list[list[tuple[str, bool]]]:
+    """R-04: a web-style query as alternatives (``or``) of (term or phrase, wanted); stop words go."""
+    out: list[list[tuple[str, bool]]] = [[]]
+    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]+)"|([^\s"]+))', query.lower()):
+        if not phrase and not minus and word == "or":
+            out.append([])
+            continue
+        term = " ".join(re.findall(r"[\w']+", phrase or word))
+        if term and term not in STOP_WORDS:
+            out[-1].append((term, not minus))
+    return [terms for terms in out if terms]
 
 
 def stem(word: Column) -> Column:
     """A light suffix stripper, the same for queries and texts."""
-    return F.regexp_replace(word, r"(?<=\w{3})(ings?|ed|ies|es|s)$", "")
+    return F.regexp_replace(word, r"(?<=\w{3})(ings?|ed|ies|es|s|e)$", "")
+
+
+def term_places(words: Column, term: str) -> Column:
+    """Places (from 0) of a term, or of a phrase's first word, among stemmed words."""
+    parts = term.split()
+    wanted = [stem(F.lit(p)) for p in parts]
+
+    def here(i: Column) -> Column:
+        fits = F.get(words, i) == wanted[0]
+        for k, w in enumerate(wanted[1:], 1):
+            fits = fits & F.coalesce(F.get(words, i + k) == w, F.lit(False))
+        return fits
+
+    return F.filter(F.transform(words, lambda w, i: i), here)
+
+
+def cover_density(places: list[Column]) -> Column:
+    """R-04's rank: 0.1 / length for every shortest run of words that holds all terms (as many as there are, overlapping ones included)."""
+    def marked(p: Column, term: int) -> Column:
+        return F.transform(p, lambda i: F.struct(i.alias("at"), F.lit(term).alias("term")))
+
+    marks = F.array_sort(F.concat(*[marked(p, k) for k, p in enumerate(places)]))
+    start = F.struct(F.array(*[F.lit(-1) for _ in places]).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).alias("sum"))
+
+    def step(s, m):
+        last = F.transform(s["last"], lambda v, k: F.when(k == m["term"], m["at"]).otherwise(v))
+        return once(last, lambda new: once(F.array_min(new), lambda low: F.struct(
+            new.alias("last"), F.greatest(s["from"], low).alias("from"),
+            # a run counts when its earliest word has moved on: it can't be shortened from the left any more
+            (s["sum"] + F.when((low >= 0) & (low > s["from"]), 0.1 / (m["at"] - low + 1)).otherwise(0.0)).alias("sum"))))
+
+    return F.aggregate(marks, start, step, lambda s: s["sum"])
 
 
 def sparse(chunks: DataFrame, query: str, k: int = CANDIDATES, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """R-04, T-04: all wanted terms, or the raw query as substring; score = term hits per length, raw-only hits 0."""
-    terms = parse_query(query)
+    """R-04, T-04: texts with all wanted terms (and no unwanted one) of an alternative, or the raw query as substring.
+
+    The score is the best alternative's cover density; hits of the raw query alone score 0 and come last.
+    """
+    alternatives = parse_query(query)
     if not query.strip():
         return chunks.where(F.lit(False)).withColumns({"score": F.lit(0.0), "sparse_rank": F.lit(0)})
-    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}']+"), F.lit(0)), stem)
     low = F.lower(text)
-    hits = []
-    match: Column = F.lit(bool([t for t, w in terms if w]))
-    for term, wanted in terms:
-        one = F.size(F.filter("_w", lambda x, t=None: x == stem(F.lit(term)))) if " " not in term else F.when(F.contains(low, F.lit(term)), 1).otherwise(0)
-        match = match & ((one > 0) if wanted else (one == 0))
-        if wanted:
-            hits.append(one)
-    total = sum(hits, F.lit(0))
-    scored = chunks.withColumn("_w", words)
-    scored = scored.withColumn("score", F.when(match, total / (1 + F.ln(1.0 + F.size("_w")))).otherwise(0.0))
-    scored = scored.where(match | F.contains(low, F.lit(query.lower().strip()))).drop("_w")
-    return ranked(scored, [F.col("score").desc(), F.col(key)], k, "sparse_rank")
+    words = F.transform(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}']+"), F.lit(0)), stem)
+    terms = list(dict.fromkeys(t for a in alternatives for t, _ in a))
+    # only texts that hold the first letters of a term, or the raw query, are cut into words
+    hint = F.contains(low, F.lit(query.lower().strip()))
+    for t in terms:
+        hint = hint | F.contains(low, F.lit(re.split(r"\W", t)[0][:3]))
+    if any(all(not wanted for _, wanted in a) for a in alternatives):
+        hint = F.lit(True)
+    placed = chunks.where(hint).withColumn("_w", words)
+    placed = placed.withColumn("_p", F.array(*[term_places(F.col("_w"), t) for t in terms]) if terms else F.array().cast("array<array<int>>"))
+    at = lambda t: F.get("_p", F.lit(terms.index(t)))
+    match, score = F.lit(False), F.lit(0.0)
+    for a in alternatives:
+        fits = F.lit(True)
+        for t, wanted in a:
+            fits = fits & ((F.size(at(t)) > 0) if wanted else (F.size(at(t)) == 0))
+        good = [t for t, wanted in a if wanted]
+        match = match | fits
+        if good:
+            score = F.greatest(score, F.when(fits, cover_density([at(t) for t in good])).otherwise(0.0))
+    scored = placed.withColumns({"_m": match, "score": score})
+    return ranked(scored.where(F.col("_m") | F.contains(low, F.lit(query.lower().strip()))).drop("_w", "_p", "_m"), [F.col("score").desc(), F.col(key)], k, "sparse_rank")
 
 
 def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, key: str = "chunk_id", k: int = RRF_K, top: int = RERANKED) -> DataFrame:
@@ -79,7 +128,7 @@ def rerank(hits: DataFrame, score: Column, threshold: float = -3.0, k: int = FIN
 
 def overlap_score(text: Column, query: str) -> Column:
     """The offline scorer: the share of query words that the text has."""
-    words = sorted({w for w, wanted in parse_query(query) if wanted})
+    words = sorted({w for a in parse_query(query) for w, wanted in a if wanted})
     if not words:
         return F.lit(0.0)
     has = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}']+"), F.lit(0)))
@@ -104,3 +153,31 @@ def similar_queries(a: Column, b: Column) -> Column:
 def unseen(hits: DataFrame, seen: DataFrame, key: str = "chunk_id") -> DataFrame:
     """U-07, R-11."""
     return hits.join(seen.select(key), key, "left_anti")
+
+
+def scoped_chunks(chunks: DataFrame, documents: DataFrame, ids: list | None = None, section: str | None = None, document_type: str | None = None, vendor_code: str | None = None, uploaded_by: int | None = None) -> DataFrame:
+    """R-03, J-01, P-05 to P-08: chunks of live documents in scope; the scope stands before any ranking.
+
+    ``section`` may stand in a chunk's section or type, ``document_type`` in the document's; None is no filter, an empty list matches nothing.
+    """
+    d = in_ids(documents.where(~F.col("is_deleted")), "id", ids)
+    if document_type is not None:
+        d = d.where(like(F.col("document_type"), document_type))
+    if vendor_code is not None:
+        d = d.where(F.col("vendor_code") == vendor_code)
+    if uploaded_by is not None:
+        d = d.where(F.col("uploaded_by") == uploaded_by)
+    c = chunks if section is None else chunks.where(like(F.col("section"), section) | like(F.col("chunk_type"), section))
+    return c.join(d.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+
+
+def in_page_order(chunks: DataFrame, key: str = "id") -> DataFrame:
+    """T-02: by page, unknown pages first, then by id."""
+    return chunks.orderBy(F.asc_nulls_first("page_number"), key)
+
+
+def exhausted(seen: DataFrame, chunks: DataFrame, keys: str = "document_id") -> DataFrame:
+    """R-11: (document_id, exhausted): whether as many chunks have been seen as there are."""
+    total = chunks.groupBy(keys).agg(F.count("*").alias("_t"))
+    got = seen.dropDuplicates().groupBy(keys).agg(F.count("*").alias("_s"))
+    return total.join(got, keys, "left").select(keys, (F.coalesce("_s", F.lit(0)) >= F.col("_t")).alias("exhausted"))

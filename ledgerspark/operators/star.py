@@ -55,6 +55,16 @@ def line_items(results: DataFrame, items: str = "line_items") -> DataFrame:
     return r.where(some).select("document_id", (F.col("i") + 1).alias("line_number"), "x.*")
 
 
+def isolated(results: DataFrame, project) -> tuple[DataFrame, DataFrame]:
+    """X-06: (projected rows, (document_id, error)): rows whose facts can't be projected are listed, the others go on.
+
+    ``project`` maps results to rows with document_id; a document without a usable number, date or total is an error.
+    """
+    rows = project(results)
+    empty = F.col("invoice_number").isNull() & F.col("invoice_date").isNull() & F.col("grand_total_amount").isNull()
+    return rows.where(~empty), rows.where(empty).select("document_id", F.lit("no number, date or total").alias("error"))
+
+
 def obligations(invs: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """X-04: due, paid (kept), outstanding, status; UNKNOWN becomes OPEN, other states stay."""
     paid = F.lit(0).cast("decimal(15,2)")

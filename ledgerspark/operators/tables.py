@@ -73,6 +73,61 @@ def without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key), key, "left_anti")
 
 
+def cleared(df: DataFrame, key: str, value) -> tuple[DataFrame, int]:
+    """S-19: the rows left without those of a key, and how many went."""
+    return df.where(~F.col(key).eqNullSafe(F.lit(value))), df.where(F.col(key) == F.lit(value)).count()
+
+
+def soft_deleted(df: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
+    """S-17: the flag is set, the row stays."""
+    gone = keys.select(key).distinct().withColumn("_gone", F.lit(True))
+    return df.join(gone, key, "left").withColumn("is_deleted", F.col("is_deleted") | F.coalesce("_gone", F.lit(False))).select(*df.columns)
+
+
+def appended(log: DataFrame, entries: DataFrame) -> DataFrame:
+    """ST-05, S-15: entries under a log; columns that an entry lacks are null."""
+    return log.unionByName(entries, allowMissingColumns=True)
+
+
+def vendor_match(name: Column, code: Column, wanted: str, how: str = "partial") -> Column:
+    """P-11: part of the name in any case by default, the whole name if ``exact``, else the ``code``."""
+    if how not in ("partial", "exact", "code"):
+        raise ValueError(f"unknown match {how!r}")
+    return like(name, wanted) if how == "partial" else name == wanted if how == "exact" else code == wanted
+
+
+def access(documents: DataFrame, requests: DataFrame) -> DataFrame:
+    """P-15: (document_id, user_id, role, …) requests with ``access``: granted, not_found or forbidden (analysts see their own)."""
+    d = documents.where(~F.col("is_deleted")).select(F.col("id").alias("document_id"), F.col("uploaded_by").alias("_owner"), F.lit(True).alias("_there"))
+    found = requests.join(d, "document_id", "left")
+    own = (F.col("role") != "FINANCE_ANALYST") | (F.col("_owner") == F.col("user_id"))
+    return found.withColumn("access", F.when(F.col("_there").isNull(), "not_found").when(F.coalesce(own, F.lit(False)), "granted").otherwise("forbidden")).drop("_owner", "_there")
+
+
+# Roles that may use each group of actions.
+GATES = {
+    "review": ["FINANCE_MANAGER", "AUDITOR", "ADMIN"], "audit": ["AUDITOR", "ADMIN"], "administer": ["ADMIN"],
+    "work": ["FINANCE_ANALYST", "FINANCE_MANAGER", "ADMIN"], "read": ["FINANCE_ANALYST", "FINANCE_MANAGER", "AUDITOR", "ADMIN"],
+}
+
+
+def allowed(role: Column, gate: str) -> Column:
+    """P-16."""
+    return role.isin(GATES[gate])
+
+
+def with_activity(documents: DataFrame, activity: DataFrame, user_id, n: int = 5) -> DataFrame:
+    """J-02, T-08: a user's documents by last activity, deleted ones left out."""
+    mine = activity.where(F.col("user_id") == F.lit(user_id)).select(F.col("document_id").alias("id"), "last_activity_at")
+    return documents.where(~F.col("is_deleted")).join(mine, "id").orderBy(F.desc("last_activity_at"), "id").limit(n)
+
+
+def history(df: DataFrame, key: str, value, at: str, ascending: bool = True) -> DataFrame:
+    """T-12: the rows of a key by time, oldest or newest first, ties by id."""
+    order = [F.asc(at), F.asc("id")] if ascending else [F.desc(at), F.desc("id")]
+    return df.where(F.col(key) == F.lit(value)).orderBy(*order)
+
+
 def awaiting_review(status: Column) -> Column:
     """P-10."""
     return status == "PENDING_APPROVAL"

@@ -146,7 +146,8 @@ def semantic_duplicates(rows: DataFrame, key: str = "id") -> DataFrame:
 
     Rows are first reduced to one for each distinct content, so that equal rows never pair up by the
     square; each row is paired with the first row of every other content that it may repeat, and with
-    the first of its own. Two first rows make one pair, under the later one's key.
+    the first of its own. Two first rows make one pair, under the later one's key. ``duplicate_flags``
+    says for every row, the first included, whether it has a duplicate.
     """
     norm = lambda c: F.lower(F.trim(c))
     d = rows.select(key, "document_type", norm(F.col("seller")).alias("seller"), norm(F.col("number")).alias("number"), F.col("date").cast("string").alias("date"), F.col("total").cast("string").alias("total"))
@@ -174,13 +175,82 @@ def semantic_duplicates(rows: DataFrame, key: str = "id") -> DataFrame:
     return strong.unionByName(loose.select(key, F.col("y").alias("other_id"), F.lit("potential").alias("kind")))
 
 
+def duplicate_flags(rows: DataFrame, key: str = "id") -> DataFrame:
+    """V-22, V-23, seen from each row: (key, strong, potential), of rows that have either; both sides of a pair are flagged."""
+    pairs = semantic_duplicates(rows, key)
+    sides = pairs.select(F.col(key), "kind").unionByName(pairs.select(F.col("other_id").alias(key), "kind"))
+    return sides.groupBy(key).agg(F.max(F.col("kind") == "strong").alias("strong"), F.max(F.col("kind") == "potential").alias("potential"))
+
+
+def plain_number_key(value: Column) -> Column:
+    """F-24: an amount as it is compared between documents: commas go, the written form stays, so that 100.0 and 100.00 differ."""
+    bare = F.replace(F.trim(value), F.lit(","), F.lit(""))
+    return F.coalesce(F.when(bare.try_cast("decimal(38,10)").isNotNull(), bare), F.nullif(F.trim(value), F.lit("")))
+
+
+def item_amount_rules(items: Column, names: tuple[str, ...] = ("unit_price", "net_amount", "tax_rate", "tax_amount", "gross_amount")) -> Column:
+    """V-05: an issue for each amount of each line item (structs of text) that is no plain amount."""
+
+    def of_item(i: Column, at: Column) -> Column:
+        found = [F.when(~F.trim(i[n]).rlike(r"^\d+(\.\d{1,2})?$"), F.struct(
+            F.lit("amount_format").alias("rule_type"), F.lit("ERROR").alias("severity"),
+            F.concat(F.lit("line_items["), at.cast("string"), F.lit(f"].{n}")).alias("field_key"), F.lit("not an amount").alias("message"))) for n in names]
+        return F.array_compact(F.array(*found))
+
+    return F.coalesce(F.flatten(F.transform(items, of_item)), F.array().cast(ISSUE))
+
+
+# What stands for an invoice number, a date, a seller and a buyer in a text.
+TOKENS = {
+    "invoice_number": ["INVOICE NO", "INVOICE #", "INV-", "INVOICE NUMBER"], "issue_date": ["DATE", "DATE OF ISSUE", "INVOICE DATE"],
+    "seller_name": ["SELLER", "VENDOR", "SUPPLIER", "FROM:"], "buyer_name": ["CLIENT", "BUYER", "BILL TO", "CUSTOMER"],
+}
+
+
+def token_flags(text: Column) -> Column:
+    """Q-02: (invoice_number, issue_date, seller_name, buyer_name): whether the text has a word for each."""
+    up = F.upper(F.coalesce(text, F.lit("")))
+    return F.struct(*[up.rlike("|".join(words)).alias(name) for name, words in TOKENS.items()])
+
+
+def close(a: Column, b: Column) -> Column:
+    """F-30: within 1.0 or 2 percent."""
+    return (F.abs(a - b) <= 1.0) | (F.abs(a - b) <= 0.02 * F.abs(b))
+
+
+def total_flags(net_sum: Column, subtotal: Column, vat: Column, grand: Column) -> Column:
+    """Q-03: (items_ok, grand_ok): lines against the subtotal, subtotal and tax against the total; null where something is missing."""
+    return F.struct(close(net_sum, subtotal).alias("items_ok"), close(F.round(subtotal + vat, 2), grand).alias("grand_ok"))
+
+
+def flag_tally(flags: Column) -> Column:
+    """Q-04, A-18: (passed, failed, warnings, is_valid, pass_rate) of an array of (severity, ok)."""
+    count = lambda test: F.size(F.filter(flags, test))
+    passed, failed = count(lambda f: f["ok"]), count(lambda f: ~f["ok"] & (f["severity"] == "ERROR"))
+    warned = count(lambda f: ~f["ok"] & (f["severity"] == "WARNING"))
+    return F.struct(passed.alias("passed"), failed.alias("failed"), warned.alias("warnings"), (failed == 0).alias("is_valid"),
+                    F.when(F.size(flags) > 0, passed / F.size(flags)).otherwise(1.0).alias("pass_rate"))
+
+
+def structure_score(text: Column, n_headers: Column, n_items: Column) -> Column:
+    """Q-05's second part: length, parties in columns, headings and items of the table."""
+    t = F.coalesce(text, F.lit(""))
+    score = F.when(F.length(F.trim(t)) > 50, 0.30).otherwise(0.0) + F.when(F.contains(t, F.lit("Seller:")) & F.contains(t, F.lit("Client:")), 0.30).otherwise(0.0)
+    return F.least(F.lit(1.0), score + F.when(n_headers >= 4, 0.20).otherwise(0.0) + F.when(n_items > 0, 0.20).otherwise(0.0))
+
+
+def completeness_score(text: Column) -> Column:
+    """Q-05's fourth part: a quarter for each token group that occurs."""
+    flags = token_flags(text)
+    return sum((F.when(flags[name], 0.25).otherwise(0.0) for name in TOKENS), F.lit(0.0))
+
+
 def line_checks(items: DataFrame) -> DataFrame:
     """Q-01: per line, whether a description is there and the products agree within 1.0 or 2 percent."""
-    near = lambda a, b: (F.abs(a - b) <= 1.0) | (F.abs(a - b) <= 0.02 * F.abs(b))
     return items.withColumns({
         "has_description": F.coalesce(F.trim("description") != "", F.lit(False)),
-        "net_ok": near(F.col("quantity") * F.col("unit_price"), F.col("net_amount")),
-        "gross_ok": near(F.col("net_amount") * (1 + F.col("vat_rate")), F.col("gross_amount")),
+        "net_ok": close(F.col("quantity") * F.col("unit_price"), F.col("net_amount")),
+        "gross_ok": close(F.col("net_amount") * (1 + F.col("vat_rate")), F.col("gross_amount")),
     })
 
 

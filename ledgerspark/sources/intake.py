@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BYTES, MAX_FILES = 25 * 1024 * 1024, 100
+#: What a sheet holds beside its heading.
+SHEET_ROWS = 1_048_575
 # Accepted extensions and their types.
 MIME = {".pdf": "application/pdf", ".png": "image/png", ".jpg": "image/jpeg"}
 
@@ -68,6 +70,8 @@ def write_export(rows: DataFrame, path: str, kind: str = "csv") -> None:
     elif kind == "csv":
         rows.write.mode("overwrite").option("header", True).csv(path)
     elif kind == "xlsx":
-        rows.limit(100_000).toPandas().to_excel(path, index=False)  # a sheet's own limit is near this
+        if rows.limit(SHEET_ROWS + 1).count() > SHEET_ROWS:
+            raise ValueError(f"a sheet holds {SHEET_ROWS} rows; write csv or json")
+        rows.toPandas().to_excel(path, index=False)
     else:
         raise ValueError(f"unknown export format {kind!r}")
