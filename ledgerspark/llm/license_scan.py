@@ -40,10 +40,22 @@ TEMPLATES = [
     ("cc-by-4.0", "cc by 4 0", "Licensed under CC BY 4.0"),
     ("cc0", "public domain", "To the extent possible under law the author has dedicated this work to the public domain"),
     ("mpl-2.0", "mozilla public license", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("lgpl-2.1", "gnu lesser general public license", "you can redistribute it and or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl-3.0", "gnu affero general public license", "you can redistribute it and or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("isc", "permission to use copy modify and or distribute this software", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd-3-clause", "neither the name of the copyright holder", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("epl-2.0", "eclipse public license", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("unlicense", "free and unencumbered software", "This is free and unencumbered software released into the public domain"),
+    ("bsl-1.0", "boost software license", "Distributed under the Boost Software License, Version 1.0"),
+    ("zlib", "altered source versions must be plainly marked", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software"),
+    ("ofl-1.1", "sil open font license", "This Font Software is licensed under the SIL Open Font License, Version 1.1"),
+    ("artistic-2.0", "artistic license", "you can redistribute it and or modify it under the terms of the Artistic License 2.0"),
+    ("cddl-1.0", "common development and distribution license", "The contents of this file are subject to the terms of the Common Development and Distribution License"),
+    ("cc-by-nd-4.0", "cc by nd 4 0", "Licensed under CC BY-ND 4.0"),
 ]
 #: (phrase, label): the base phrases.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-MIN_INDEX_LETTERS = 4
+MIN_INDEX_LETTERS = 5
 RARE_WORDS = 6
 MIN_SHARE = 0.7
 _SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
