@@ -732,3 +732,37 @@ def discount_deadlines(spark, sf_dir):
 def last_activities(spark, sf_dir):
     """ST-07: last write wins."""
     return activity.last_activity(read(spark, sf_dir, "events"), "user_id", "event_type", "ts")
+
+
+@query("""
+SELECT o_orderkey AS document_id, k.key, CASE WHEN k.key = 'invoice_number' THEN 'agreed' WHEN k.key = 'currency' THEN 'rule' WHEN k.key = 'seller_name' THEN 'llm' WHEN k.key = 'grand_total_amount' THEN 'reconciled_llm' ELSE 'not_found' END AS provenance,
+  CASE k.key WHEN 'invoice_number' THEN 'INV-' || o_orderkey WHEN 'currency' THEN 'USD' WHEN 'seller_name' THEN 'S' WHEN 'grand_total_amount' THEN '7.00' END AS value
+FROM orders, (SELECT unnest(['document_id', 'processing_status', 'validation_status', 'company_code', 'currency', 'barcode', 'vendor_code', 'invoice_number', 'invoice_date', 'seller_name', 'seller_address', 'seller_tax_id', 'buyer_name', 'buyer_address', 'buyer_tax_id', 'subtotal_net_amount', 'tax_rate', 'total_tax_amount', 'grand_total_amount']) AS key) k
+""")
+def reconciled_documents(spark, sf_dir):
+    """J-07, E-24 to E-28, A-16: every field of the schema from two extractions; the table settles the total."""
+    from ledgerspark.operators import registry
+
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.lit("NPO").alias("document_type"))
+    number = F.concat(F.lit("INV-"), F.col("document_id").cast("string"))
+    rules = o.withColumn("fields", _map(invoice_number=(number, 0.8), currency=(F.lit("USD"), 0.7), grand_total_amount=(F.lit("9.00"), 0.8)))
+    model = o.withColumn("fields", _map(invoice_number=(F.lower(number), 0.9), seller_name=(F.lit("S"), 0.7), grand_total_amount=(F.lit("7.00"), 0.6)))
+    amounts = o.select("document_id", F.lit("grand_total_amount").alias("key"), F.lit(7.0).alias("amount"))
+    return fields.reconciled(rules, model, registry.field_schema(spark), amounts).select("document_id", "key", "field.provenance", "field.value")
+
+
+@query("SELECT vec_id FROM embeddings WHERE label IN (SELECT DISTINCT label FROM embeddings WHERE label % 2 = 1 ORDER BY 1 LIMIT 20)")
+def compound_scope(spark, sf_dir):
+    """G-05: ids from a statement's rows scope the chunks."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("document_id"))
+    return conversation.scope_of(e.where("document_id % 2 = 1"), e).select("vec_id")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, printf('%.2f', o_totalprice) AS amount, '## Header' || chr(10) || o_orderstatus || chr(10) || chr(10) || '## Totals' || chr(10) || o_custkey AS context FROM orders")
+def typed_corrections(spark, sf_dir):
+    """E-31, E-33: corrections normalised by the field's kind, and a context of titled sections."""
+    d = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_custkey").cast("string").alias("c"), F.date_format("o_orderdate", "d.M.yyyy").alias("d"), F.format_string("%,.2f", "o_totalprice").alias("t"), _map(x=(F.lit("1"),)).alias("f"))
+    f = fields.typed_correction(fields.typed_correction(F.col("f"), "invoice_date", F.col("d")), "grand_total_amount", F.col("t"))
+    amount = F.format_string("%.2f", F.col("f2")["totals.grand_total"]["value"].cast("double"))
+    out = d.withColumn("f2", f)
+    return out.select("o_orderkey", F.col("f2")["invoice_date"]["value"].alias("day"), amount.alias("amount"), fields.context_text(("Header", F.col("o_orderstatus")), ("Parties", F.lit(" ")), ("Totals", F.col("c"))).alias("context"))

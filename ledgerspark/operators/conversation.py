@@ -223,6 +223,12 @@ def rehydrated(calls: Column, rows: str = "rows", most: int = 10) -> Column:
     return F.transform(calls, lambda c: c.withField(rows, F.slice(c[rows], 1, most)))
 
 
+def scope_of(rows: DataFrame, chunks: DataFrame, most: int = 20) -> DataFrame:
+    """G-05: the chunks of the first ``most`` documents that a statement's rows name; the limit is the feature."""
+    ids = rows.where("document_id IS NOT NULL").select("document_id").distinct().orderBy("document_id").limit(most)
+    return chunks.join(F.broadcast(ids), "document_id", "left_semi")
+
+
 def evidence(hits: DataFrame, documents: DataFrame, content: str = "content") -> DataFrame:
     """R-08, J-01: hits joined with their documents: title (or a stand-in), page (or 1), type, snippet of 300 characters."""
     d = documents.select(F.col("id").alias("document_id"), "original_filename")

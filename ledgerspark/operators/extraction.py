@@ -105,13 +105,18 @@ def reconcile(df: DataFrame, rule: str = "rule", model: str = "model", kind: str
     r, m = F.col(rule), F.col(model)
     has_r, has_m = F.coalesce(r["is_found"], F.lit(False)), F.coalesce(m["is_found"], F.lit(False))
     k = F.col(kind)
-    agreed = same_value(r["value"], m["value"], k)
-    only_r_date = (k == "date") & normalize_date(r["value"]).isNotNull() & normalize_date(m["value"]).isNull()
-    only_m_date = (k == "date") & normalize_date(m["value"]).isNotNull() & normalize_date(r["value"]).isNull()
+    # what each value means is read once, as a column of its own
+    date = lambda v: F.when(k == "date", normalize_date(v))
+    number = lambda v: F.when(k == "amount", normalize_amount(v).try_cast("double"))
+    df = df.withColumn("_means", F.struct(date(r["value"]).alias("rd"), date(m["value"]).alias("md"), number(r["value"]).alias("ra"), number(m["value"]).alias("ma")))
+    rd, md, ra, ma = (F.col(f"_means.{x}") for x in ("rd", "md", "ra", "ma"))
+    agreed = (F.lower(F.trim(r["value"])) == F.lower(F.trim(m["value"]))) | F.coalesce(rd == md, F.lit(False)) | F.coalesce(F.abs(ra - ma) <= 0.01, F.lit(False))
+    only_r_date = (k == "date") & rd.isNotNull() & md.isNull()
+    only_m_date = (k == "date") & md.isNotNull() & rd.isNull()
     if table_amount:
         t = F.col(table_amount)
-        amount = lambda x: F.coalesce((k == "amount") & (F.abs(normalize_amount(x["value"]).try_cast("double") - t) <= 0.01), F.lit(False))
-        r_table, m_table = amount(r) & ~amount(m), amount(m) & ~amount(r)
+        amount = lambda x: F.coalesce(F.abs(x - t) <= 0.01, F.lit(False))
+        r_table, m_table = amount(ra) & ~amount(ma), amount(ma) & ~amount(ra)
     else:
         r_table = m_table = F.lit(False)
     model_wins = m["confidence"] >= r["confidence"]
@@ -137,7 +142,7 @@ def reconcile(df: DataFrame, rule: str = "rule", model: str = "model", kind: str
             none.alias("value"), F.lit(0.0).alias("confidence"), none.alias("matched_text"), F.lit(False).alias("is_found"),
             F.lit(False).alias("manually_entered"), F.lit("not_found").alias("provenance"), none.alias("conflict_value")))
     )
-    return df.withColumn("field", out)
+    return df.withColumn("field", out).drop("_means")
 
 
 def patched(fields: Column, key: str, value: Column) -> Column:

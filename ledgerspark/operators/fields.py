@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ledgerspark.functions.dates import normalize_date
 from ledgerspark.functions.numbers import normalize_amount, parse_numeric, tax_rate
 from ledgerspark.functions.text import normalize_currency, normalize_unit, normalize_whitespace, once
-from ledgerspark.operators.extraction import field, with_confidence
+from ledgerspark.operators.extraction import field, reconcile, with_confidence
 from ledgerspark.operators.registry import COMMON, FIELDS, PATHS
 
 #: Keys that the system fills in itself.
@@ -249,3 +249,40 @@ def refined(df: DataFrame) -> DataFrame:
     new = F.when(fill_total, F.map_concat(without("grand_total_amount"), made(net + tax, "grand_total_amount"))).when(
         fill_net, F.map_concat(without("subtotal_net_amount"), made(total - tax, "subtotal_net_amount"))).otherwise(F.col("fields"))
     return df.withColumn("fields", new)
+
+
+# ---- two extractions of a document (J-07, E-24, E-26), corrections (E-31), context (E-33) -------
+
+def reconciled(rules: DataFrame, model: DataFrame, schema: DataFrame, table_amounts: DataFrame | None = None) -> DataFrame:
+    """J-07, E-24, E-26: (document_id, document_type, fields) twice -> (document_id, key, ord, field): every field of the type's schema.
+
+    ``schema`` is the registry's table (a few hundred rows, broadcast); a document that one side lacks is
+    reconciled with nothing. ``table_amounts``: (document_id, key, amount) settles amounts in dispute.
+    """
+    a = rules.select("document_id", "document_type", F.col("fields").alias("_rules"))
+    b = model.select("document_id", F.col("document_type").alias("_type"), F.col("fields").alias("_model"))
+    both = a.join(b, "document_id", "full_outer").withColumn("document_type", F.coalesce("document_type", "_type"))
+    rows = both.join(F.broadcast(schema.select("document_type", "key", "kind", "ord")), "document_type")
+    rows = rows.select("document_id", "key", "kind", "ord", F.try_element_at("_rules", "key").alias("rule"), F.try_element_at("_model", "key").alias("model"))
+    if table_amounts is None:
+        return reconcile(rows).select("document_id", "key", "ord", "field")
+    rows = rows.join(table_amounts.select("document_id", "key", F.col("amount").alias("_table")), ["document_id", "key"], "left")
+    return reconcile(rows, table_amount="_table").select("document_id", "key", "ord", "field")
+
+
+def kind_of(key: str) -> str:
+    """E-31: what a field's name says of its kind."""
+    return "date" if key.endswith("date") else "amount" if key.endswith(("amount", "rate")) else "code" if key.endswith(("number", "code", "_id")) else "text"
+
+
+def typed_correction(fields: Column, key: str, value: Column) -> Column:
+    """E-31: a correction as F-56, the value normalised by its kind where it can be read."""
+    kind = kind_of(key)
+    read = normalize_date(value) if kind == "date" else normalize_amount(value) if kind == "amount" else F.trim(value)
+    return synced(fields, key, F.coalesce(read, F.trim(value)))
+
+
+def context_text(*parts: tuple[str, Column]) -> Column:
+    """E-33: titled sections of a context, blank ones left out."""
+    some = [F.when(F.trim(v) != "", F.concat(F.lit(f"## {title}\n"), F.trim(v))) for title, v in parts]
+    return F.array_join(F.array_compact(F.array(*some)), "\n\n")
