@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Whole texts and sets travel to Python in batches of so many rows and bytes: an executor's buffers stay small.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of bounded size for the jobs started inside; the session's own settings come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Tables written to the shared folder: each cuts the lineage and outlives any executor."""
 
@@ -30,7 +49,8 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.top}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -61,8 +81,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = scratch.keep(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    total = _shape(e)
-    while True:
+    while not _flat(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -77,19 +96,16 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             .where("u <> v").distinct()
         )
         nxt = scratch.keep(nxt)
-        shape = _shape(nxt)
         scratch.drop(e)
         e = nxt
-        if shape == total:
-            break
-        total = shape
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _shape(e: DataFrame) -> tuple:
-    r = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(r)
+def _flat(e: DataFrame) -> bool:
+    """Whether the edges are stars: every node points to one other at most, and nobody points to a node that does."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out = 1 AND into = 1)").count() == 0
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

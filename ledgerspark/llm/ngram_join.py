@@ -111,6 +111,8 @@ class Join:
         again = self.scratch.keep(sets.select("row", "cls").join(self.classes.select("cls", "first"), "cls").where("row <> first").select("row"))
         few = again.count() <= BROADCAST_ROWS
         self.one = sets.join(F.broadcast(again) if few else again, "row", "left_anti")
+        self.found: list[DataFrame] = []
+        self.waiting: list[DataFrame] = []
         self.stars: DataFrame | None = None
 
     def whole_sets(self, classes: DataFrame) -> DataFrame:
@@ -171,11 +173,19 @@ class Join:
 
         return self.scratch.keep(both.mapInArrow(exact, "src bigint, dst bigint"))
 
-    def components(self, links: DataFrame) -> DataFrame:
-        """(node, component) after some more links: only these are contracted anew, together with the stars found before."""
-        if self.stars is None or not links.isEmpty():
-            edges = links if self.stars is None else links.unionByName(self.stars.select(F.col("node").alias("src"), F.col("component").alias("dst")))
-            self.stars = self.scratch.keep(connected_components(edges, self.scratch))
+    def add(self, links: DataFrame) -> None:
+        """Links found by a step; they wait until components are asked for."""
+        self.found.append(links)
+        self.waiting.append(links)
+
+    def components(self) -> DataFrame:
+        """(node, component) over all links so far: those that waited are contracted together with the stars found before."""
+        some = [x for x in self.waiting if self.stars is None or not x.isEmpty()]
+        self.waiting = []
+        if some:
+            if self.stars is not None:
+                some.append(self.stars.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+            self.stars = self.scratch.keep(connected_components(union_all(some), self.scratch))
         return self.stars
 
     def labelled(self, members: DataFrame) -> DataFrame:
@@ -227,28 +237,27 @@ class Join:
         members = self.members()
         size = lambda k: self.classes.select(F.col("cls").alias(k), F.col("n").alias(f"{k}n"))
         pairs = members.where("cls <> lo").select(F.col("lo").alias("a"), F.col("cls").alias("b")).distinct()
-        found = [self.verified(pairs.join(size("a"), "a").join(size("b"), "b"))]
-        self.components(found[-1])
+        self.add(self.verified(pairs.join(size("a"), "a").join(size("b"), "b")))
+        self.components()
         rest = keep(self.undecided(members.select("sig", "cls")).join(self.classes.select("cls", "n"), "cls"))
         large = rest.where(F.col("size") > self.small)
         elsewhere = keep(large.groupBy("cls").agg(F.count("*").alias("elsewhere"), F.min("n").alias("n")))
         sized = rest.where(F.col("size") <= self.small).join(elsewhere.select("cls", "elsewhere"), "cls", "left")
-        found.append(self.verified(self.within_groups(sized.select("sig", "cls", "comp", "n", F.coalesce("elsewhere", F.lit(0)).alias("elsewhere")))))
-        self.components(found[-1])
+        # from here on components only spare comparisons: they are brought up to date where that pays
+        self.add(self.verified(self.within_groups(sized.select("sig", "cls", "comp", "n", F.coalesce("elsewhere", F.lit(0)).alias("elsewhere")))))
         # the smaller of a linked pair has four fifths of the larger's shingles at least
         crowd = keep(elsewhere.where(F.col("elsewhere") >= needed(F.expr("4 * n div 5"))).select("cls"))
         if crowd.isEmpty():
-            return union_all(found)
+            return union_all(self.found)
         sets = keep(self.labelled(self.whole_sets(crowd)))
         signed = keep(self.rare_signed(sets))
         groups = signed.select("cls", "comp", "n", F.lit(0).alias("elsewhere"), F.explode("sigs").alias("sig"))
-        found.append(self.verified(self.within_groups(groups)))
-        self.components(found[-1])
+        self.add(self.verified(self.within_groups(groups)))
         poor = keep(signed.where("NOT enough").select("cls"))
         if not poor.isEmpty():
-            found.append(self.blockwise(large.select("sig", "cls").join(poor, "cls"), sets))
-            self.components(found[-1])
-        return union_all(found)
+            self.components()
+            self.add(self.blockwise(large.select("sig", "cls").join(poor, "cls"), sets))
+        return union_all(self.found)
 
     def rare_signed(self, sets: DataFrame) -> DataFrame:
         """(cls, n, elements, comp) -> (cls, n, comp, sigs, enough): signatures of shingles that at most ``rare_held`` of these classes have."""
@@ -344,7 +353,7 @@ def ngram_join(docs: DataFrame, small_group: int = SMALL_GROUP, block_rows: int
     """
     join = Join(docs, small_group, block_rows)
     links = join.scratch.keep(join.links())
-    comps = join.stars.select(F.col("node").alias("cls"), "component")
+    comps = join.components().select(F.col("node").alias("cls"), "component")
     degree = union_all([links.select(F.col(k).alias("cls")) for k in ("src", "dst")]).groupBy("cls").agg(F.count("*").alias("n_links"))
     classes = join.classes.select("cls", "rep").join(comps, "cls", "left").join(degree, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
