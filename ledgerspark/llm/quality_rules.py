@@ -119,7 +119,7 @@ def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS domain, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT doc_id, source AS domain, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, domain, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
 dup AS (
@@ -145,5 +145,5 @@ s AS (SELECT mean, greatest(0.01, least(1e6, mean * (1 - mean) / greatest(var -
 r AS (SELECT domain, round((failed + mean * strength) / (n + strength), 9) AS host_rate FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND host_rate <= 0.5 AS kept, host_rate
-FROM b JOIN r USING (domain)
+FROM b JOIN r ON b.domain IS NOT DISTINCT FROM r.domain
 """
