@@ -597,7 +597,7 @@ def training_counts(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("kind")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
 
 
-@query("SELECT * FROM (VALUES ('POI', 23, 8), ('NPO', 19, 6), ('IMA', 16, 6), ('MSI', 21, 6), ('PSI', 15, 7), ('JER', 16, 6), ('BKA', 15, 6), ('DPR', 16, 8), ('LCA', 16, 7)) t(document_type, fields, mandatory)")
+@query("SELECT document_type, CAST(fields AS BIGINT) AS fields, CAST(mandatory AS BIGINT) AS mandatory FROM (VALUES ('POI', 23, 8), ('NPO', 19, 6), ('IMA', 16, 6), ('MSI', 21, 6), ('PSI', 15, 7), ('JER', 16, 6), ('BKA', 15, 6), ('DPR', 16, 8), ('LCA', 16, 7)) t(document_type, fields, mandatory)")
 def field_registry(spark, sf_dir):
     """Section 1.4, U-02: the registry as a table."""
     return registry.field_schema(spark).groupBy("document_type").agg(F.count("*").alias("fields"), F.count_if("mandatory").alias("mandatory"))
