@@ -8,8 +8,9 @@ over the domains ``clean``, ``low`` and ``toxic``. Nonnegative document rates r
 by projected gradient steps: a step needs a few numbers for each domain, summed over all documents,
 and moves every rate by its own posteriors times those numbers, cut off at 0 (and at ``max_rate``,
 where one is given). w_d = 1 / max(target_d, current_d) makes the errors relative; the
-gradient is scaled by the inverse of the (slightly enlarged) second moments of the posteriors inside
-the bounds, so that few passes do, and a step that raises the error is shortened.
+gradient is scaled by the inverse of the (slightly enlarged) second moments of the posteriors of the
+rates that can move, so that few passes do; where the bounds bend that step, a plain gradient step of
+guaranteed descent is tried beside it.
 
 Posteriors take one value for each combination of binned features (a cell), so documents of a cell
 move alike: their tokens are summed by cell in one pass over all documents, with a combined
@@ -123,10 +124,10 @@ class Mixture:
         self.totals: list[float] = []
         self.passes = 0
 
-    def cells(self, spark) -> DataFrame:
-        """(cell, p0, p1, p2, cell_rate) of every cell, a table of fixed size."""
-        rows = [(c, *map(float, self.p[c]), float(self.rate[c])) for c in range(N_CELLS)]
-        return spark.createDataFrame(rows, "cell int, p0 double, p1 double, p2 double, cell_rate double")
+    def cells(self, spark, of: np.ndarray | None = None) -> DataFrame:
+        """(cell, p0, p1, p2, cell_rate, counts) of every cell, a table of fixed size; ``counts``: whether it is among ``of``."""
+        rows = [(c, *map(float, self.p[c]), float(self.rate[c]), of is None or bool(of[c])) for c in range(N_CELLS)]
+        return spark.createDataFrame(rows, "cell int, p0 double, p1 double, p2 double, cell_rate double, counts boolean")
 
     def moved(self, step: np.ndarray) -> np.ndarray:
         """The rates after a step against ``step``, projected onto the bounds."""
@@ -153,16 +154,15 @@ def classify(labelled: DataFrame, lexicon: list[str]) -> Mixture:
     return Mixture(lexicon, np.log(size / size.sum()), [np.log(t / t.sum(1, keepdims=True)) for t in tables])
 
 
-def domain_sums(scored: DataFrame, mixture: Mixture) -> tuple[float, np.ndarray, np.ndarray]:
-    """(all tokens, expected tokens of each domain, tokens * p_d * p_e over documents inside the bounds).
+def domain_sums(scored: DataFrame, mixture: Mixture, of: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """(all tokens, expected tokens of each domain, tokens * p_d * p_e over the cells ``of``, all by default).
 
     ``scored``: (tokens, cell) of documents, or of cells with the tokens of their documents.
     """
     k = range(len(DOMAINS))
     t, rate = F.col("tokens").cast("double"), F.col("cell_rate")
-    inside = (rate > 0) & (F.lit(True) if mixture.max_rate is None else rate < mixture.max_rate)
-    free = F.when(inside, t).otherwise(0.0)
-    r = scored.join(F.broadcast(mixture.cells(scored.sparkSession)), "cell").agg(
+    free = t if of is None else F.when(F.col("counts"), t).otherwise(0.0)
+    r = scored.join(F.broadcast(mixture.cells(scored.sparkSession, of)), "cell").agg(
         F.sum(t).alias("all"), *[F.sum(t * F.col(f"p{d}") * rate).alias(f"t{d}") for d in k],
         *[F.sum(free * F.col(f"p{d}") * F.col(f"p{e}")).alias(f"m{d}{e}") for d in k for e in k],
     ).first()
@@ -202,20 +202,33 @@ def fit(docs: DataFrame, labels: DataFrame, targets=None, budget: float | None =
         root = 1 / np.sqrt(np.maximum(np.maximum(target, current), 1e-6 * whole))
         ridge = RIDGE * np.trace(root[:, None] * gram * root[None, :])
         error, size = current - target, 1.0
+        steepest = float(np.linalg.eigvalsh(root[:, None] * gram * root[None, :])[-1]) or 1.0
         loss = float(((root * error) ** 2).sum())
         for mixture.passes in range(1, PASSES + 1):
+            # cells at a bound whose gradient points outwards stay there
+            slope, before = mixture.p @ (root**2 * error), mixture.rate
+            top = np.inf if max_rate is None else max_rate
+            free = ((before > 0) | (slope < 0)) & ((before < top) | (slope > 0))
+            _, _, gram = domain_sums(by_cell, mixture, free)
             metric = root[:, None] * gram * root[None, :] + ridge * np.eye(len(DOMAINS))
-            before = mixture.rate
-            mixture.rate = mixture.moved(size * root * np.linalg.solve(metric, root * error))
-            _, reached, inside = domain_sums(by_cell, mixture)
-            after = float(((root * (reached - target)) ** 2).sum())
-            if after > loss:  # the bounds bent the step: a shorter one from the same place
+            scaled = np.where(free, mixture.moved(size * root * np.linalg.solve(metric, root * error)), before)
+            best = None
+            for rates in (scaled, mixture.moved(root**2 * error / steepest)):
+                mixture.rate = rates
+                _, reached, _ = domain_sums(by_cell, mixture)
+                after = float(((root * (reached - target)) ** 2).sum())
+                if best is None or after < best[0]:
+                    best = after, rates, reached
+                if best[0] < 0.9 * loss:
+                    break  # the plain step is for where the bounds bend the scaled one
+            after, mixture.rate, reached = best
+            if after >= loss:
                 mixture.rate, size = before, size / 4
-                if size < 1e-6:
+                if size < 1e-3:
                     break
                 continue
             settled = loss - after <= TOLERANCE * loss
-            error, gram, loss, size = reached - target, inside, after, min(1.0, 2 * size)
+            error, loss, size = reached - target, after, min(1.0, 2 * size)
             if settled or np.abs(error).max() <= TOLERANCE * whole:
                 break
     rated = scored.join(F.broadcast(mixture.cells(docs.sparkSession)), "cell")
