@@ -8,6 +8,7 @@ from ledgerspark.llm.ngram_join import op4_ngram_join
 from ledgerspark.llm.packing import op7_best_fit_packing
 from ledgerspark.llm.quality_classifier import op5_quality_classifier
 from ledgerspark.llm.quality_rules import OP2_SQL, op2_quality_rules
+from ledgerspark.llm.secret_scan import OP12_SQL, op12_secret_scan
 from ledgerspark.llm.sharding import op10_sharding
 from ledgerspark.llm.topk_search import OP9_SQL, op9_topk_search
 from ledgerspark.llm.toxicity import op6_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_topk_search": op9_topk_search,
     "op10_sharding": op10_sharding,
+    "op12_secret_scan": op12_secret_scan,
     "url_mirrors": url_mirrors,
 }
 
@@ -31,5 +33,6 @@ ORACLES = {
     "op1_url_filters": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
     "op9_topk_search": OP9_SQL,
+    "op12_secret_scan": OP12_SQL,
     "url_mirrors": MIRRORS_SQL,
 }
