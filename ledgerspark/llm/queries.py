@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from ledgerspark.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from ledgerspark.llm.license_scan import op8_license_scan
 from ledgerspark.llm.mixing import op3_mixing
 from ledgerspark.llm.ngram_join import op4_ngram_join
 from ledgerspark.llm.packing import op7_best_fit_packing
+from ledgerspark.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from ledgerspark.llm.quality_classifier import op5_quality_classifier
 from ledgerspark.llm.quality_rules import OP2_SQL, op2_quality_rules
 from ledgerspark.llm.secret_scan import OP12_SQL, op12_secret_scan
@@ -25,7 +27,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_topk_search": op9_topk_search,
     "op10_sharding": op10_sharding,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_secret_scan": op12_secret_scan,
+    "op13_hard_negatives": op13_hard_negatives,
     "url_mirrors": url_mirrors,
 }
 
@@ -33,6 +37,8 @@ ORACLES = {
     "op1_url_filters": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
     "op9_topk_search": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op12_secret_scan": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
     "url_mirrors": MIRRORS_SQL,
 }

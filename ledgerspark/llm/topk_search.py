@@ -68,7 +68,7 @@ class BallTree:
         self.runs, self.centres, self.radii = np.array(runs), np.array(centres), np.array(radii)
 
 
-def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     reach = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
     if reach < 2**24:
         return (q.astype(np.float32) @ x.astype(np.float32).T).astype(np.int64)
@@ -119,7 +119,7 @@ def search(q: np.ndarray, q_id: np.ndarray, floor: np.ndarray, shard: Shard, top
         if left >= 0:
             heap += [left, right]
             continue
-        s = _products(q[alive], x[a:b])
+        s = products(q[alive], x[a:b])
         s[x_id[a:b][None, :] == q_id[alive][:, None]] = NONE
         both = np.concatenate([best[alive], s], 1)
         ids = np.concatenate([best_id[alive], np.broadcast_to(x_id[a:b], s.shape)], 1)
