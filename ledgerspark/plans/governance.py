@@ -44,7 +44,7 @@ _BY_INVOICE = {"invoice_line_items", "payment_obligations", "invoice_payments"}
 #: Nodes that a parsed query may consist of.
 NODES = {
     "Project", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Filter", "UnresolvedHaving", "UnresolvedWith", "WithWindowDefinition",
-    "Union", "Except", "Intersect", "SubqueryAlias", "UnresolvedRelation", "Join", "UnresolvedSubqueryColumnAliases", "OneRowRelation$", "UnresolvedInlineTable",
+    "Union", "Except", "Intersect", "SubqueryAlias", "UnresolvedRelation", "Join", "UnresolvedSubqueryColumnAliases", "OneRowRelation", "UnresolvedInlineTable",
 }
 #: Functions that a query may call; none of them looks outside its arguments.
 FUNCTIONS = set("""
@@ -52,9 +52,9 @@ abs add_months any approx_count_distinct array array_agg avg bool_and bool_or br
 concat concat_ws contains corr count count_if cume_dist current_date current_timestamp date date_add date_diff date_format date_from_unix_date date_part
 date_sub date_trunc dateadd datediff datepart day dayofmonth dayofweek dayofyear dense_rank element_at endswith every exp extract first first_value floor
 format_number greatest hour if ifnull ilike initcap instr isnotnull isnull lag last last_day last_value lcase lead least left len length like ln log log10
-lower lpad ltrim make_date map_keys map_values max max_by mean median min min_by minute mod mode month months_between negative next_day now nth_value ntile
-nullif nvl nvl2 percent_rank percentile percentile_approx pmod position power quarter rank regexp_count regexp_extract regexp_like regexp_replace repeat
-replace right rlike round row_number rpad rtrim second sign size some split split_part sqrt startswith std stddev stddev_pop stddev_samp string strpos
+lower ltrim make_date map_keys map_values max max_by mean median min min_by minute mod mode month months_between negative next_day now nth_value ntile
+nullif nvl nvl2 percent_rank percentile percentile_approx pmod position power quarter rank regexp_count regexp_extract regexp_like regexp_replace
+replace right rlike round row_number rtrim second sign size some split split_part sqrt startswith std stddev stddev_pop stddev_samp string strpos
 substr substring sum to_char to_date to_number to_timestamp translate trim trunc try_add try_avg try_cast try_divide try_multiply try_subtract try_sum
 try_to_date try_to_number ucase unix_date upper var_pop var_samp variance weekday weekofyear year timestampdiff timestampadd decimal double int bigint
 """.split())
@@ -127,37 +127,40 @@ def _name(node) -> str:
 
 
 def _walk(plan):
-    """(is a relation or operator, node) of a parsed plan: common table expressions, expressions and their subqueries included."""
-    stack = [(True, plan)]
+    """(is a relation or operator, node, WITH names that hold there) of a parsed plan: common table expressions, expressions and their subqueries included.
+
+    The name of a WITH holds in the tables defined after it and in the query below, not in its own table.
+    """
+    stack = [(True, plan, frozenset())]
     while stack:
-        whole, node = stack.pop()
-        yield whole, node
+        whole, node, names = stack.pop()
+        yield whole, node, names
         if whole:
-            # a WITH keeps its tables beside its children
-            below = [*_listed(node.children()), *([pair._2() for pair in _listed(node.cteRelations())] if _name(node) == "UnresolvedWith" else [])]
-            stack += [(True, x) for x in below] + [(False, x) for x in _listed(node.expressions())]
+            inner = names
+            if _name(node) == "UnresolvedWith":  # it keeps its tables beside its children
+                for pair in _listed(node.cteRelations()):
+                    stack.append((True, pair._2(), inner))
+                    inner |= {pair._1().lower()}
+            stack += [(True, x, inner) for x in _listed(node.children())] + [(False, x, inner) for x in _listed(node.expressions())]
         else:
-            stack += [(False, x) for x in _listed(node.children())]
+            stack += [(False, x, names) for x in _listed(node.children())]
             if _name(node) in ("ScalarSubquery", "ListQuery", "Exists"):
-                stack.append((True, node.plan()))
+                stack.append((True, node.plan(), names))
             elif "Subquery" in _name(node) and _name(node) != "InSubquery":
                 raise Refused(f"{_name(node)} is not allowed")
 
 
 def check_statement(spark: SparkSession, sql: str, allowed: set[str] | None = None) -> None:
     """Z-01 to Z-04: one parseable query made of listed nodes and functions, over allowed tables and its own WITH names alone."""
-    plan = _parsed(spark, sql)
     allowed = set(COLUMNS) if allowed is None else allowed
-    walked = list(_walk(plan))
-    own = {pair._1().lower() for whole, n in walked if whole and _name(n) == "UnresolvedWith" for pair in _listed(n.cteRelations())}
-    for whole, node in walked:
+    for whole, node, names in _walk(_parsed(spark, sql)):
         kind = _name(node)
         if whole:
             if kind not in NODES:
                 raise Refused(f"only queries are run, not {kind}")
             if kind == "UnresolvedRelation":
                 name = [str(x) for x in _listed(node.multipartIdentifier())]
-                if len(name) != 1 or name[0].lower() not in allowed | own:
+                if len(name) != 1 or name[0].lower() not in allowed | names:
                     raise Refused(f"the table {'.'.join(name)} is not allowed")
         elif kind == "UnresolvedFunction":
             name = [str(x) for x in _listed(node.nameParts())]
@@ -171,10 +174,36 @@ def check_statement(spark: SparkSession, sql: str, allowed: set[str] | None = No
             raise Refused(f"{kind} is not allowed")
 
 
+#: Leaves of a resolved statement that hold no stored data.
+PLAIN_LEAVES = {"OneRowRelation", "LocalRelation", "CTERelationRef", "ResolvedInlineTable"}
+
+
+def check_resolved(plan, views: set[str]) -> None:
+    """The second wall: whatever the text looked like, each leaf of the resolved plan lies in a registered view or holds no stored data."""
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        if _name(node) == "View":
+            name = str(node.desc().identifier().table()).lower()
+            if not node.isTempView() or name not in views:
+                raise Refused(f"the view {name} is not allowed")
+            continue
+        below = _listed(node.children())
+        if not below and _name(node) not in PLAIN_LEAVES:
+            raise Refused(f"{_name(node)} is not allowed")
+        stack += below
+        inside = _listed(node.expressions())
+        while inside:
+            e = inside.pop()
+            inside += _listed(e.children())
+            if _name(e) in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):
+                stack.append(e.plan())
+
+
 def explicit_nulls(spark: SparkSession, sql: str) -> str:
     """Section 2.6: nulls sort as in the surface's dialect, last when ascending and first when descending, where the statement does not say."""
     ends = []
-    for whole, node in _walk(_parsed(spark, sql)):
+    for whole, node, _ in _walk(_parsed(spark, sql)):
         if not whole and _name(node) == "SortOrder" and node.origin().stopIndex().isDefined():
             start, stop = node.origin().startIndex().get(), node.origin().stopIndex().get() + 1
             if not re.search(r"(?i)\bnulls\s+(first|last)\s*$", sql[start:stop]):
@@ -194,7 +223,9 @@ def execute(spark: SparkSession, sql: str, tables: dict[str, DataFrame], who: Pr
     own = spark.newSession()
     for name in named:
         _register(own, name, secured(name, tables, who, analyst_policy))
-    return own.sql(explicit_nulls(spark, _clamped(sql))).limit(MAX_ROWS)
+    out = own.sql(explicit_nulls(spark, _clamped(sql)))
+    check_resolved(out._jdf.queryExecution().analyzed(), set(named))
+    return out.limit(MAX_ROWS)
 
 
 def fetch(spark: SparkSession, sql: str, tables: dict[str, DataFrame], who: Principal, analyst_policy: str = "scoped", seconds: float = 5.0) -> dict:

@@ -74,6 +74,10 @@ def outside(spark, tmp_path_factory):
     "SELECT id FROM documents WHERE EXISTS (SELECT 1 FROM parquet.`{at}/plain.parquet`)", "WITH a AS (SELECT * FROM secret_t) SELECT * FROM a",
     "SELECT current_user FROM documents", "SELECT current_user() AS u", "SELECT spark_catalog.default.f(1)", "SELECT max(reflect('java.lang.System', 'getenv')) FROM documents",
     "SELECT id FROM documents ORDER BY (SELECT max(id) FROM secret_t)", "SELECT d.id FROM documents d JOIN secret_t s ON d.id = s.id", "TABLE default.secret_t",
+    "WITH secret_t AS (SELECT * FROM secret_t) SELECT * FROM secret_t", "WITH a AS (WITH secret_t AS (SELECT * FROM secret_t) SELECT * FROM secret_t) SELECT * FROM a",
+    "WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS x) SELECT * FROM a", "WITH a AS (SELECT 1 AS x) SELECT * FROM (WITH secret_t AS (SELECT * FROM a) SELECT x FROM secret_t) t JOIN secret_t s ON s.id = t.x",
+    "WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r) SELECT n FROM r", "SELECT id FROM documents WHERE id IN (WITH secret_t AS (SELECT id FROM secret_t) SELECT id FROM secret_t)",
+    "SELECT repeat('x', 2000000000) FROM documents", "SELECT lpad('x', 2000000000, 'y') FROM documents",
     "FROM secret_t SELECT *", "SELECT assert_true(false)", "SELECT id FROM documents LATERAL VIEW explode(array(1)) t AS x", "SELECT * FROM IDENTIFIER('default.secret_t')",
 ])
 def test_nothing_outside_the_views_is_reached(spark, tables, outside, sql):
@@ -82,6 +86,26 @@ def test_nothing_outside_the_views_is_reached(spark, tables, outside, sql):
     assert spark.table("default.secret_t").count() == 1
 
 
+def test_the_resolved_plan_is_a_second_wall(spark, tables, outside):
+    from ledgerspark.plans.governance import check_resolved
+
+    resolved = lambda sql: spark.sql(sql)._jdf.queryExecution().analyzed()
+    spark.sql("SELECT 1 AS id").createOrReplaceTempView("documents")
+    try:
+        check_resolved(resolved("SELECT id FROM documents WHERE id IN (SELECT id FROM documents) UNION SELECT 2"), {"documents"})
+        for sql in ("SELECT * FROM default.secret_t", "SELECT id FROM documents WHERE EXISTS (SELECT 1 FROM default.secret_t)", "WITH a AS (SELECT * FROM default.secret_t) SELECT 1 AS x FROM documents, a",
+                    "SELECT * FROM invoice_payments", "SELECT (SELECT max(word) FROM default.secret_t) AS w", f"SELECT * FROM parquet.`{outside}/plain.parquet`"):
+            with pytest.raises(Refused):
+                check_resolved(resolved(sql), {"documents"})
+    finally:
+        spark.catalog.dropTempView("documents")
+
+
+def test_constant_selects_run(spark, tables):
+    assert execute(spark, "SELECT 1 AS x", tables, ANALYST).first()["x"] == 1
+    assert execute(spark, "WITH c AS (SELECT 2 AS x) SELECT c.x + d.n AS s FROM c CROSS JOIN (SELECT count(*) AS n FROM documents) d", tables, ANALYST).first()["s"] > 2
+
+
 def test_names_of_the_statement_itself_are_tables_too(spark, tables):
     sql = "WITH a AS (SELECT id FROM documents), b AS (SELECT id FROM a) SELECT count(*) AS n, (SELECT max(id) FROM b) AS m FROM b"
     assert execute(spark, sql, tables, ANALYST).first()["n"] > 0
