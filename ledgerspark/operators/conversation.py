@@ -169,19 +169,41 @@ def discount_answer(question: Column) -> Column:
     return F.when(c.isNotNull(), F.struct(savings.alias("savings"), (c["amount"] - savings).cast("decimal(18,2)").alias("payable"), c["days"].alias("days")))
 
 
-def turn_kind(message: Column, has_history: Column) -> Column:
-    """G-06: ``affirmative``, ``negative``, ``standalone`` or ``dependent``: what a message is to the turns before it."""
-    low = F.lower(_trimmed(message))
-    words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
-    short = F.size(words) <= 3
-    among = lambda table: low.isin(table) | (short & F.exists(words, lambda w: w.isin(table)))
+def _words_of(message: Column) -> Column:
+    return F.filter(F.split(F.lower(_trimmed(message)), r"\s+"), lambda w: w != "")
+
+
+def _among(message: Column, table: list[str]) -> Column:
+    """The whole message, or a word of a message of three words at most, is in the table."""
+    words = _words_of(message)
+    return F.lower(_trimmed(message)).isin(table) | ((F.size(words) <= 3) & F.exists(words, lambda w: w.isin(table)))
+
+
+def said_yes(message: Column) -> Column:
+    """G-06."""
+    return _among(message, YES)
+
+
+def said_no(message: Column) -> Column:
+    """G-06."""
+    return _among(message, NO)
+
+
+def stands_alone(message: Column) -> Column:
+    """G-06: understood without the turns before it."""
+    low, words = F.lower(_trimmed(message)), _words_of(message)
     tokens = F.regexp_extract_all(low, F.lit(r"\b[a-z0-9']+\b"), F.lit(0))
     refers = F.exists(tokens, lambda w: w.isin(REFERENCES)) | low.rlike("^(?:what|how) about")
     asks = (F.size(words) >= 5) & low.rlike("^(?:" + "|".join(OPENINGS) + ")")
     thin = (F.size(words) < 4) & ~low.rlike("|".join(NOUNS))
+    return ~refers & (asks | ~thin)
+
+
+def turn_kind(message: Column, has_history: Column) -> Column:
+    """G-06: ``affirmative``, ``negative``, ``standalone`` or ``dependent``: what a message is to the turns before it."""
     return (
-        F.when(~has_history, "standalone").when(among(YES), "affirmative").when(among(NO), "negative")
-        .when(~refers & (asks | ~thin), "standalone").otherwise("dependent")
+        F.when(~has_history, "standalone").when(said_yes(message), "affirmative").when(said_no(message), "negative")
+        .when(stands_alone(message), "standalone").otherwise("dependent")
     )
 
 

@@ -646,4 +646,4 @@ def snippets(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.snippet(F.col("text")).alias("snippet"))
 
 
-from ledgerspark import more_queries  # noqa: E402, F401  (registers the rest under the same tables)
+from ledgerspark import more_queries, stateful_queries  # noqa: E402, F401  (they register the rest under the same tables)
