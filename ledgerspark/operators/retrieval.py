@@ -66,8 +66,12 @@ def cover_density(places: list[Column]) -> Column:
     def marked(p: Column, term: int) -> Column:
         return F.transform(p, lambda i: F.struct(i.alias("at"), F.lit(term).alias("term")))
 
-    marks = F.array_sort(F.concat(*[marked(p, k) for k, p in enumerate(places)]))
-    start = F.struct(F.array(*[F.lit(-1) for _ in places]).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).alias("sum"))
+    return covers(F.array_sort(F.concat(*[marked(p, k) for k, p in enumerate(places)])), F.lit(len(places)))
+
+
+def covers(marks: Column, terms: Column) -> Column:
+    """The same over sorted places array<struct<at int, term int>> of ``terms`` terms, numbered from 0."""
+    start = F.struct(F.array_repeat(F.lit(-1), terms).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).alias("sum"))
 
     def step(s, m):
         last = F.transform(s["last"], lambda v, k: F.when(k == m["term"], m["at"]).otherwise(v))
@@ -96,8 +100,9 @@ def sparse(chunks: DataFrame, query: str, k: int = CANDIDATES, key: str = "chunk
         hint = hint | F.contains(low, F.lit(re.split(r"\W", t)[0][:3]))
     if any(all(not wanted for _, wanted in a) for a in alternatives):
         hint = F.lit(True)
-    placed = chunks.where(hint).withColumn("_w", words)
-    placed = placed.withColumn("_p", F.array(*[term_places(F.col("_w"), t) for t in terms]) if terms else F.array().cast("array<array<int>>"))
+    # the text is cut once, however many terms are looked for in it
+    places = once(words, lambda w: F.array(*[term_places(w, t) for t in terms])) if terms else F.array().cast("array<array<int>>")
+    placed = chunks.where(hint).withColumn("_p", places)
     at = lambda t: F.get("_p", F.lit(terms.index(t)))
     match, score = F.lit(False), F.lit(0.0)
     for a in alternatives:
@@ -109,7 +114,7 @@ def sparse(chunks: DataFrame, query: str, k: int = CANDIDATES, key: str = "chunk
         if good:
             score = F.greatest(score, F.when(fits, cover_density([at(t) for t in good])).otherwise(0.0))
     scored = placed.withColumns({"_m": match, "score": score})
-    return ranked(scored.where(F.col("_m") | F.contains(low, F.lit(query.lower().strip()))).drop("_w", "_p", "_m"), [F.col("score").desc(), F.col(key)], k, "sparse_rank")
+    return ranked(scored.where(F.col("_m") | F.contains(low, F.lit(query.lower().strip()))).drop("_p", "_m"), [F.col("score").desc(), F.col(key)], k, "sparse_rank")
 
 
 def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, key: str = "chunk_id", k: int = RRF_K, top: int = RERANKED) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import extraction, star_store
+from ledgerspark.operators import extraction, retrieval, star_store, text_index, vector_index
 from ledgerspark.queries import query, read
 from ledgerspark.sources.workspace import Workspace, shared_folder
 from ledgerspark.streaming import ingestion, sessions
@@ -170,3 +170,59 @@ SELECT conv_id AS session, turn, CASE WHEN NOT history THEN 'none' WHEN agreed I
 def session_offers(spark, sf_dir):
     """ST-08, G-06: pending offers over whole conversations, accepted, declined, replaced, cleared or too old."""
     return sessions.resolve_table(_offers(spark, sf_dir), 150)
+
+
+# ---- indexes ---------------------------------------------------------------------------------
+
+_STEM = r"regexp_replace({}, '^(.*?\w{{3}})(ings?|ed|ies|es|s|e)$', '\1')"
+
+
+@query(rf"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}'']+')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}'']+'), 1) AS loc FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, loc, {_STEM.format("word")} AS term FROM w),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}'']+') AS ws FROM benchmark),
+stop AS (SELECT unnest(['a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'he', 'in', 'is', 'it', 'its', 'of', 'on', 'or', 'that', 'the', 'to', 'was', 'were', 'will', 'with']) AS word),
+q AS (SELECT item_id * 3 AS query_id, ws[3] || ' ' || ws[8] AS raw, [ws[3], ws[8]] AS terms, 'and' AS kind FROM b
+  UNION ALL SELECT item_id * 3 + 1, '"' || ws[4] || ' ' || ws[5] || '"', [ws[4], ws[5]], 'phrase' FROM b
+  UNION ALL SELECT item_id * 3 + 2, ws[2] || ' -' || ws[6], [ws[2], ws[6]], 'not' FROM b),
+k AS (SELECT query_id, kind, unnest(terms) AS word, generate_subscripts(terms, 1) AS i FROM q),
+l AS (SELECT query_id, kind, i, {_STEM.format("word")} AS term FROM k WHERE kind = 'phrase' OR word NOT IN (SELECT word FROM stop)),
+n AS (SELECT query_id, kind, count(*) FILTER (kind <> 'not' OR i = 1) AS wanted, count(*) FILTER (kind = 'not' AND i = 2) AS unwanted FROM l GROUP BY ALL),
+o AS (SELECT query_id, kind, i, doc_id, loc FROM l JOIN t USING (term)),
+p AS (SELECT a.query_id, a.doc_id, count(*) AS n FROM o a JOIN o b ON a.kind = 'phrase' AND a.query_id = b.query_id AND a.doc_id = b.doc_id AND a.i = 1 AND b.i = 2 AND b.loc = a.loc + 1 GROUP BY ALL),
+m AS (SELECT query_id, doc_id, loc, i, lag(i) OVER x AS i0, lag(loc) OVER x AS at0 FROM o WHERE kind = 'and' WINDOW x AS (PARTITION BY query_id, doc_id ORDER BY loc, i)),
+two AS (SELECT m.query_id, doc_id, CASE WHEN any_value(wanted) = 1 THEN count(*) * 0.1::DOUBLE WHEN any_value(same) THEN count(DISTINCT loc) * 0.1::DOUBLE ELSE coalesce(sum(0.1::DOUBLE / (loc - at0 + 1)) FILTER (i <> i0), 0) END AS score, count(DISTINCT i) AS n, any_value(wanted) AS wanted
+  FROM m JOIN n USING (query_id) JOIN (SELECT query_id, count(DISTINCT term) < count(*) AS same FROM l GROUP BY 1) USING (query_id) GROUP BY ALL),
+one AS (SELECT o.query_id, o.doc_id, count(*) * 0.1::DOUBLE AS score FROM o WHERE kind = 'not' AND i = 1 AND NOT EXISTS (SELECT 1 FROM o x WHERE x.query_id = o.query_id AND x.doc_id = o.doc_id AND x.i = 2) GROUP BY ALL),
+rest AS (SELECT n.query_id, d.doc_id, 0.0::DOUBLE AS score FROM n, documents d WHERE n.kind = 'not' AND n.wanted = 0 AND n.unwanted > 0 AND d.text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM o x WHERE x.query_id = n.query_id AND x.doc_id = d.doc_id AND x.i = 2)),
+h AS (SELECT query_id, doc_id, n * 0.1::DOUBLE AS score FROM p UNION ALL SELECT query_id, doc_id, score FROM two WHERE n = wanted UNION ALL SELECT * FROM one UNION ALL SELECT * FROM rest
+  UNION ALL SELECT query_id, doc_id, 0.0::DOUBLE FROM q, documents WHERE contains(lower(text), raw)),
+g AS (SELECT query_id, doc_id, max(round(score, 9)) AS score FROM h GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM g)
+SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 30
+""")
+def indexed_search(spark, sf_dir):
+    """R-04, T-04: two words, a phrase and an exclusion of every benchmark item, all at once, against an index of all documents."""
+    d = read(spark, sf_dir, "documents")
+    index = text_index.TextIndex(spark, shared_folder(spark, "text-index"), retrieval.stem).build(d, "doc_id", "text")
+    ws = F.regexp_extract_all(F.lower("text"), F.lit(text_index.WORD), F.lit(0))
+    w = lambda i: F.get("ws", F.lit(i - 1))
+    asked = F.array(
+        F.concat_ws(" ", w(3), w(8)), F.concat(F.lit('"'), w(4), F.lit(" "), w(5), F.lit('"')), F.concat(w(2), F.lit(" -"), w(6)))
+    q = read(spark, sf_dir, "benchmark").select("item_id", ws.alias("ws")).select("item_id", F.posexplode(asked).alias("i", "query"))
+    hits = index.search(q.select((F.col("item_id") * 3 + F.col("i")).alias("query_id"), "query"), d, 30, "doc_id", "text")
+    return hits.select("query_id", F.col("chunk").alias("doc_id"), F.round("score", 9).alias("score"), "rank")
+
+
+@query("""
+WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, 1 - list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) AS distance FROM q, embeddings x),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, vec_id, abs(round(distance, 6)) AS distance, rank FROM r WHERE rank <= 30
+""")
+def clustered_neighbours(spark, sf_dir):
+    """R-02, R-03, T-03: the 30 nearest of every fiftieth vector, over an index of all."""
+    e = read(spark, sf_dir, "embeddings")
+    index = vector_index.VectorIndex(spark, shared_folder(spark, "vector-index"), cells=32).build(e, "vec_id")
+    hits, _ = index.search(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 30)
+    return hits.select("query_id", F.col("chunk").alias("vec_id"), F.abs(F.round("distance", 6)).alias("distance"), "rank")
