@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import extraction, retrieval, star_store, text_index, vector_index
+from ledgerspark.operators import extraction, line_tables, retrieval, star_store, text_index, vector_index
 from ledgerspark.queries import query, read
 from ledgerspark.sources.workspace import Workspace, shared_folder
 from ledgerspark.streaming import ingestion, sessions
@@ -226,3 +226,47 @@ def clustered_neighbours(spark, sf_dir):
     index = vector_index.VectorIndex(spark, shared_folder(spark, "vector-index"), cells=32).build(e, "vec_id")
     hits, _ = index.search(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 30)
     return hits.select("query_id", F.col("chunk").alias("vec_id"), F.abs(F.round("distance", 6)).alias("distance"), "rank")
+
+
+# ---- line items of pages ---------------------------------------------------------------------
+
+def _invoice_pages(spark, sf_dir) -> DataFrame:
+    """A page for each order: a letter head with more headings than the table, a lesser band above it, and items of one to three lines of uneven height."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    li = read(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(w))
+    lines = F.col("l_partkey") % 3
+    y = 240.0 + F.col("n") * 80
+    high = 8.0 + F.col("l_suppkey") % 5
+
+    def at(text, x, y, width, height, block, confidence=0.9):
+        box = F.struct(F.lit(x).cast("double").alias("left"), y.alias("top"), F.lit(x + width).cast("double").alias("right"), (y + height).alias("bottom"),
+                       F.lit(x + width / 2).cast("double").alias("cx"), (y + height / 2).alias("cy"), height.cast("double").alias("height"))
+        return F.struct(text.alias("text"), box.alias("box"), block.cast("bigint").alias("block"), F.lit(confidence).alias("confidence"))
+
+    k = F.col("n") * 10
+    rows = F.array(
+        at(F.col("n").cast("string"), 12, y, 10, high, k), at(F.concat(F.lit("Part "), "l_partkey"), 100, y + 3, 90, high, k + 1), at(F.col("l_quantity").cast("int").cast("string"), 505, y - 2, 20, high, k + 2, 0.7),
+        at(F.col("l_extendedprice").cast("decimal(15,2)").cast("string"), 705, y + 1, 60, high, k + 3),
+        at(F.when(lines > 0, F.concat(F.lit("from "), "l_suppkey")).otherwise(""), 102, y + 22, 60, high, k + 4), at(F.when(lines > 0, F.lit("by")).otherwise(""), 200, y + 24, 20, high, k + 5),
+        at(F.when(lines > 1, F.lower("l_linestatus")).otherwise(""), 104, y + 44, 60, high, k + 6))
+    body = li.select(F.col("l_orderkey").alias("document_id"), F.inline(rows))
+    c = lambda text, x, y, width, block: at(F.lit(text), x, F.lit(float(y)), width, F.lit(10.0), F.lit(block))
+    fixed = [("Quantity", 10, 10, 60), ("Price", 200, 10, 50), ("Vat", 400, 10, 30), ("Gross Amount", 600, 10, 90), ("Pos", 10, 120, 30), ("Qty", 500, 120, 30),
+             ("No.", 10, 200, 30), ("Item Description", 100, 205, 150), ("Qty", 500, 200, 40), ("Net Worth", 700, 196, 90)]
+    frame = [c(t, x, y, width, 1_000_000 + i) for i, (t, x, y, width) in enumerate(fixed)]
+    # every second page ends with a sum; the others with a remark below 95 % of their height
+    last = F.when(F.col("document_id") % 2 == 0, c("Total Net", 600, 1890, 60, 2_000_000)).otherwise(c("7", 505, 1950, 10, 2_000_000))
+    late = c("9 days net", 505, 1960, 60, 2_000_001)
+    page = body.select("document_id").distinct().select("document_id", F.inline(F.array(*frame, last, late)))
+    return body.unionByName(page).withColumns({"page_number": F.lit(1), "page_width": F.lit(1000.0), "page_height": F.lit(2000.0)})
+
+
+@query("""
+WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity) AS n FROM lineitem)
+SELECT l_orderkey AS document_id, n AS item, CAST(n AS VARCHAR) AS item_number, 'Part ' || l_partkey || CASE WHEN l_partkey % 3 > 0 THEN ' from ' || l_suppkey || ' by' ELSE '' END || CASE WHEN l_partkey % 3 > 1 THEN ' ' || lower(l_linestatus) ELSE '' END AS description,
+  CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS VARCHAR) AS net_amount, 0.85::DOUBLE AS confidence FROM li
+""")
+def continued_items(spark, sf_dir):
+    """L-05 to L-09, W-08, J-12, A-19: whole line items of every order's page, descriptions broken over up to three lines."""
+    found = line_tables.line_items(_invoice_pages(spark, sf_dir))
+    return found.select("document_id", "item", "item_number", "description", "quantity", "net_amount", "confidence")
