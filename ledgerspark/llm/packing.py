@@ -14,14 +14,17 @@ rows, no text or token in a shuffle. The counts (a row for each task and length)
 Spark broadcasts them while they are small, else the pieces' few numbers are shuffled.
 
 Defined cases: a null text is empty, and an empty text is its closing id alone; null doc_ids are
-packed like others; repeated rows are packed as often as they occur; other columns are ignored; no
-rows give no rows.
+packed like others; repeated rows are packed as often as they occur; a text of any length is
+tokenised whole, by the task that reads it, and cut into pieces that no capacity refuses; other columns
+are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import json
+import math
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -117,8 +120,19 @@ def _whole_encoder():
     return tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@functools.cache
+def _added_tokens() -> list[str]:
+    """Strings that the tokenizers file takes for one token wherever they stand in a text; the ranks don't know them."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f)["added_tokens"]]
+
+
 def token_ids(text: str) -> np.ndarray:
-    """The ids of a text. Where the faster encoder gives up (runs of white space beyond its pattern's stack), the tokenizers file's own takes over."""
+    """The ids of a text by the tokenizers file. Texts that hold one of its added tokens, and those on which the faster encoder gives up (runs of white space beyond its pattern's stack), go to that file's own encoder."""
+    if any(t in text for t in _added_tokens()):
+        return np.array(_whole_encoder().encode(text, add_special_tokens=False).ids, np.uint32)
     try:
         return _encoder().encode_to_numpy(text)
     except ValueError:
@@ -169,7 +183,8 @@ def pack(
     """-> (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    cut_up = scratch.keep(pieces(docs, capacity[0]))
+    # no piece is larger than any capacity
+    cut_up = scratch.keep(pieces(docs, min(capacity[0], math.isqrt(capacity[2]))))
     counts = scratch.keep(cut_up.groupBy("part", "length").agg(F.count("*").alias("n")))
     # at most capacity[0] rows reach the driver
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -206,3 +221,12 @@ def pack(
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Capacities of :func:`packing_by_cost`, all of which bind: documents, and attention of half a full sequence's.
+COST_DOCS, COST_ATTENTION = 8, SEQUENCE_TOKENS**2 // 2
+
+
+def packing_by_cost(spark, sf_dir: str) -> DataFrame:
+    """The same with few documents in a sequence and half the attention cost: pieces are cut to what the cost allows."""
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), (SEQUENCE_TOKENS, COST_DOCS, COST_ATTENTION))

@@ -146,10 +146,32 @@ def test_token_ids_of_texts_that_the_faster_encoder_refuses():
     import tokenizers
 
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for text in (" " * 1_000_000 + "x", "a\u3000\n" * 9, "x" * 3000, "it's 12345 \u4e2d\u6587 \U0001f600\t\r\n  ", ""):
+    for text in (" " * 1_000_000 + "x", "a\u3000\n" * 9, "x" * 3000, "it's 12345 \u4e2d\u6587 \U0001f600\t\r\n  ", "", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> <|endof text|>"):
         assert packing.token_ids(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_with_added_tokens_and_capacities_that_bind(spark, docs):
+    import public_tokenizers
+    import tokenizers
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "before <|endoftext|> after " * 30
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(5000, text)], "doc_id bigint, text string"))
+    rows = packing.pack(more, (256, 5, 30_000)).collect()  # 30,000: pieces of 173 at most
+    ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+    mine = sorted((r for r in rows if r["doc_id"] == 5000), key=lambda r: r["piece"])
+    assert [r["length"] for r in mine] == [n for _, n in packing.cut(len(ids), 173)] and ids.count(50256) == 30
+    for r in mine:
+        assert r["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[r["start"] : r["start"] + r["length"]]))
+    seqs = {}
+    for r in rows:
+        seqs.setdefault(r["sequence_id"], []).append(r["length"])
+    assert all(sum(s) <= 256 and len(s) <= 5 and sum(n * n for n in s) <= 30_000 for s in seqs.values())
+    assert max(map(len, seqs.values())) == 5
+    # sequences that have tokens and documents left, but no room for the cost of another of their own pieces
+    assert any(sum(s) + min(s) <= 256 and len(s) < 5 and sum(n * n for n in s) + min(s) ** 2 > 30_000 for s in seqs.values())
+
+
 def test_best_fit_respects_every_capacity():
     histogram = {100: 7, 60: 20, 30: 15, 10: 90, 1: 13}
     for score in ("norm", "dot"):
