@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import Scratch
-from ledgerspark.llm.topk_search import products
+from ledgerspark.llm.topk_search import narrowest, products
 
 SCALE, EVERY, POSITIVES, NEGATIVES, LOW, HIGH = 256, 100, 5, 10, 30, 90
 SHARD_ROWS, BLOCK_ANCHORS = 8192, 512
@@ -61,14 +61,8 @@ def labelled_vectors(vectors: DataFrame, scale: int) -> DataFrame:
     return rows.withColumn("norm", norm).where(F.col("norm") < LONGEST)
 
 
-def _narrowest(x: np.ndarray) -> np.ndarray:
-    """The same whole numbers in as few bytes as they need."""
-    most = int(np.abs(x).max(initial=0))
-    return x.astype(np.int8 if most < 2**7 else np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.int64)
-
-
 def _packed_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    x = _narrowest(np.stack(pdf["v"].to_numpy()).astype(np.int64).reshape(len(pdf), -1))
+    x = narrowest(np.stack(pdf["v"].to_numpy()).astype(np.int64).reshape(len(pdf), -1))
     return pd.DataFrame([{
         "shard": pdf["shard"].iloc[0], "d": pdf["d"].iloc[0], "kind": x.dtype.name, "x": x.tobytes(),
         "x_id": pdf["vec_id"].to_numpy(np.int64).tobytes(), "x_label": pdf["label"].to_numpy(np.int64).tobytes(),

@@ -9,7 +9,8 @@ shard of the next round, which returns only what can still count.
 
 Components become floor(scale * x), so scores are exact integers: products are taken in float32 or
 float64 where their sums stay exact, else in int64. Defined cases: vectors that are null, or hold
-null or non-finite components, and rows without an id take no part; vectors of unlike length are
+null or non-finite components, and rows without an id take no part, nor do vectors so long (2^31 in these
+units) that a score would not fit 64 bits; vectors of unlike length are
 never compared; a query's own id is no candidate; repeated ids are candidates of their own; queries
 repeated in id and vector are asked once, and of one id with several vectors each is ranked by
 itself; ties go to the smaller id; other columns are ignored; no rows give no rows.
@@ -31,6 +32,8 @@ SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
 #: Blocks that share a task.
 WAVE_BLOCKS = 4
+#: Squared length from which on a vector takes no part.
+LONGEST = float(2**62)
 LEAF = 256
 #: Below every score; its negative is a number too.
 NONE = -(2**62)
@@ -68,7 +71,14 @@ class BallTree:
         self.runs, self.centres, self.radii = np.array(runs), np.array(centres), np.array(radii)
 
 
+def narrowest(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in as few bytes as they need."""
+    most = int(np.abs(x).max(initial=0))
+    return x.astype(np.int8 if most < 2**7 else np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.int64)
+
+
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    q, x = q.astype(np.int64, copy=False), x.astype(np.int64, copy=False)
     reach = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
     if reach < 2**24:
         return (q.astype(np.float32) @ x.astype(np.float32).T).astype(np.int64)
@@ -88,15 +98,16 @@ class Shard:
         tree = BallTree(x)
         return cls(tree.runs, tree.centres, tree.radii, x[tree.order], x_id[tree.order])
 
-    def pack(self) -> dict[str, bytes]:
-        return {"runs": self.runs.astype(np.int64).tobytes(), "balls": np.column_stack([self.centres, self.radii]).tobytes(),
-                "x": self.x.astype(np.int64).tobytes(), "x_id": self.x_id.astype(np.int64).tobytes()}
+    def pack(self) -> dict[str, bytes | str]:
+        x = narrowest(self.x)
+        return {"kind": x.dtype.name, "runs": self.runs.astype(np.int64).tobytes(), "balls": np.column_stack([self.centres, self.radii]).tobytes(),
+                "x": x.tobytes(), "x_id": self.x_id.astype(np.int64).tobytes()}
 
     @classmethod
     def unpack(cls, row) -> Shard:
         ids = np.frombuffer(row["x_id"], np.int64)
         balls = np.frombuffer(row["balls"]).reshape(-1, row["d"] + 1)
-        return cls(np.frombuffer(row["runs"], np.int64).reshape(-1, 4), balls[:, :-1], balls[:, -1], np.frombuffer(row["x"], np.int64).reshape(len(ids), -1), ids)
+        return cls(np.frombuffer(row["runs"], np.int64).reshape(-1, 4), balls[:, :-1], balls[:, -1], np.frombuffer(row["x"], row["kind"]).reshape(len(ids), -1), ids)
 
 
 def search(q: np.ndarray, q_id: np.ndarray, floor: np.ndarray, shard: Shard, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,13 +152,14 @@ def integer_vectors(vectors: DataFrame, scale: int) -> DataFrame:
     x = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale))
     # an infinite or undefined component fails both comparisons; a null one makes them null
     good = F.forall("embedding", lambda c: F.coalesce((c > float("-inf")) & (c < float("inf")), F.lit(False)))
-    return vectors.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(good).select(
+    rows = vectors.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(good).select(
         F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"), F.size("embedding").alias("d"),
     )
+    return rows.where(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")) < LONGEST)
 
 
 _FOUND = "q bigint, vec_id bigint, score bigint"
-_TREES = "shard int, d int, runs binary, balls binary, x binary, x_id binary"
+_TREES = "shard int, d int, kind string, runs binary, balls binary, x binary, x_id binary"
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
