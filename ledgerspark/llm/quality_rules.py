@@ -100,17 +100,22 @@ def host_rates(measured: DataFrame) -> DataFrame:
     spread = max((m["var"] or 0.0) - mean * (1 - mean) * (m["inv"] or 0.0), 1e-9)
     strength = max(0.01, min(1e6, mean * (1 - mean) / spread - 1))
     rate = (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
-    return hosts.select("domain", "n", "failed", rate.alias("rate"))
+    return hosts.select("domain", "n", "failed", rate.alias("rate"), F.lit(mean).alias("prior_mean"))
 
 
-def quality_rules(docs: DataFrame, domain: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """-> (doc_id, measures, base_failed, kept, host_rate)."""
+def quality_rules(docs: DataFrame, domain: str = "source", max_host_rate: float = MAX_HOST_RATE, times_mean: float | None = None) -> DataFrame:
+    """-> (doc_id, measures, base_failed, kept, host_rate).
+
+    A host is bad beyond ``max_host_rate``, or, where ``times_mean`` is given, beyond so many times the prior's mean.
+    """
     scratch = Scratch(docs.sparkSession, "quality-rules")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     measured = scratch.keep(text_measures(docs, domain).withColumn("base_failed", failed))
-    hosts = host_rates(measured).select(F.col("domain").alias("host"), F.round("rate", 9).alias("host_rate"))
+    limit = F.lit(max_host_rate) if times_mean is None else F.col("prior_mean") * times_mean
+    rate = F.round("rate", 9)
+    hosts = host_rates(measured).select(F.col("domain").alias("host"), rate.alias("host_rate"), (rate <= limit).alias("good_host"))
     return measured.join(hosts, F.col("domain").eqNullSafe(F.col("host"))).select(
-        "doc_id", *_FIELDS, "base_failed", (~F.col("base_failed") & (F.col("host_rate") <= max_host_rate)).alias("kept"), "host_rate",
+        "doc_id", *_FIELDS, "base_failed", (~F.col("base_failed") & F.col("good_host")).alias("kept"), "host_rate",
     )
 
 
@@ -147,3 +152,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND host_rate <= 0.5 AS kept, host_rate
 FROM b JOIN r ON b.domain IS NOT DISTINCT FROM r.domain
 """
+
+#: A host of :func:`language_hosts` is bad beyond so many times the mean.
+TIMES_MEAN = 1.05
+
+
+def language_hosts(spark, sf_dir: str) -> DataFrame:
+    """The same with a host for each source and language, held against the prior's mean: the host verdict decides over whole hosts here."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    host = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return quality_rules(docs.withColumn("host", host), "host", times_mean=TIMES_MEAN)
+
+
+LANGUAGE_HOSTS_SQL = OP2_SQL.replace("source AS domain", "coalesce(source, '') || '/' || coalesce(lang, '') AS domain").replace("host_rate <= 0.5 AS kept", "host_rate <= (SELECT mean FROM s) * 1.05 AS kept")
