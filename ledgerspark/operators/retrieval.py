@@ -147,9 +147,13 @@ def final_size(top_k: int | None, ids: list | None, scope: str = "global") -> in
     return top_k or (FINAL if ids and len(ids) == 1 else max(FINAL, 10))
 
 
+# Words that tell nothing in a query to a document.
+QUERY_STOP_WORDS = ["the", "for", "and", "or", "in", "of", "to", "document", "details", "any", "other", "is", "a", "an"]
+
+
 def similar_queries(a: Column, b: Column) -> Column:
     """U-06: word sets (over two letters) with Jaccard 0.70 or more, or containment 0.75 with two words in common."""
-    sets = [F.filter(F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9']+"), F.lit(0))), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS)) for x in (a, b)]
+    sets = [query_words(x) for x in (a, b)]
     both, either = F.size(F.array_intersect(*sets)), F.size(F.array_union(*sets))
     least = F.least(F.size(sets[0]), F.size(sets[1]))
     return F.coalesce((both / F.when(either > 0, either) >= 0.70) | ((both >= 2) & (both / F.when(least > 0, least) >= 0.75)), F.lit(False))
@@ -186,3 +190,43 @@ def exhausted(seen: DataFrame, chunks: DataFrame, keys: str = "document_id") ->
     total = chunks.groupBy(keys).agg(F.count("*").alias("_t"))
     got = seen.dropDuplicates().groupBy(keys).agg(F.count("*").alias("_s"))
     return total.join(got, keys, "left").select(keys, (F.coalesce("_s", F.lit(0)) >= F.col("_t")).alias("exhausted"))
+
+
+def query_words(text: Column) -> Column:
+    """U-06: the distinct words of a query that tell something: over two letters, no stop words."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.filter(F.array_distinct(words), lambda w: (F.length(w) > 2) & ~w.isin(QUERY_STOP_WORDS))
+
+
+def repeated_queries(queries: DataFrame, session: str, turn: str, text: str) -> DataFrame:
+    """U-06 over whole sessions: (session, turn, similar_to): the first earlier query of the session that is equal in words or near-equal, or null.
+
+    Near-equal is ``similar_queries``. Queries with the same words are one class, so copies are never
+    compared. Classes meet by a word: two sets of which the smaller has s words and which are near-equal share
+    at least 70 % of these, so one of the smaller set's rarest s - ceil(0.7 s) + 1 words must be in the larger one;
+    words are ranked by how many classes of the session have them. What meets is compared by its counts of words.
+    Queries without such words are like those of the same text alone, blank ones like none; a repeated turn number is ordered with the others of its number.
+    """
+    plain = F.lower(F.trim(F.coalesce(F.col(text), F.lit(""))))
+    rows = queries.select(F.col(session).alias("session"), F.col(turn).alias("turn"), F.array_sort(query_words(F.col(text))).alias("words"), plain.alias("plain"))
+    alone = F.when(F.col("plain") != "", F.array(F.concat(F.lit("="), "plain"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("session", "turn", F.when(F.size("words") > 0, F.col("words")).otherwise(alone).alias("words"))
+    classes = rows.where(F.size("words") > 0).groupBy("session", "words").agg(F.min("turn").alias("first"))
+    classes = classes.withColumn("n", F.size("words"))
+    words = classes.select("session", "words", "first", "n", F.explode("words").alias("w"))
+    rarity = words.groupBy("session", "w").agg(F.count("*").alias("df"))
+    # each class's words from its rarest on
+    place = Window.partitionBy("session", "words").orderBy("df", "w")
+    rarity = rarity.select(F.col("session").alias("s2"), F.col("w").alias("w2"), "df")
+    ranked_words = words.join(rarity, [F.col("session").eqNullSafe(F.col("s2")), F.col("w") == F.col("w2")]).drop("s2", "w2").withColumn("place", F.row_number().over(place))
+    key = [F.col("session").eqNullSafe(F.col("s2")), F.col("w") == F.col("w2")]
+    small = ranked_words.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 0.7) + 1).select("session", "w", "words", "first", "n").distinct()
+    large = words.select(F.col("session").alias("s2"), F.col("w").alias("w2"), F.col("words").alias("words2"), F.col("first").alias("first2"), F.col("n").alias("n2"))
+    met = small.join(large, [key[0], key[1], F.col("n") <= F.col("n2"), F.col("words") != F.col("words2")]).select("session", "words", "first", "n", "words2", "first2", "n2").distinct()
+    both = F.size(F.array_intersect("words", "words2"))
+    near = met.where((both / (F.col("n") + F.col("n2") - both) >= 0.70) | ((both >= 2) & (both / F.col("n") >= 0.75)))
+    seen = near.select("session", "words", F.col("first2").alias("other")).unionByName(near.select("session", F.col("words2").alias("words"), F.col("first").alias("other")))
+    earliest = classes.select("session", "words", F.col("first").alias("other")).unionByName(seen).groupBy("session", "words").agg(F.min("other").alias("other"))
+    e = earliest.select(F.col("session").alias("s2"), F.col("words").alias("words2"), "other")
+    found = rows.join(e, [F.col("session").eqNullSafe(F.col("s2")), F.col("words") == F.col("words2")], "left")
+    return found.select("session", "turn", F.when(F.col("other") < F.col("turn"), F.col("other")).alias("similar_to"))

@@ -270,3 +270,19 @@ def continued_items(spark, sf_dir):
     """L-05 to L-09, W-08, J-12, A-19: whole line items of every order's page, descriptions broken over up to three lines."""
     found = line_tables.line_items(_invoice_pages(spark, sf_dir))
     return found.select("document_id", "item", "item_number", "description", "quantity", "net_amount", "confidence")
+
+
+# ---- near-equal queries of a session ---------------------------------------------------------
+
+@query(r"""
+WITH q AS (SELECT o_custkey AS session, o_orderkey AS turn, 'What was spent on ' || o_orderpriority || ' orders in ' || monthname(o_orderdate) || ' ' || year(o_orderdate) || CASE WHEN o_orderkey % 4 = 1 THEN ' and with which vendors' ELSE '' END AS text FROM orders),
+w AS (SELECT session, turn, list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda w: length(w) > 2 AND w NOT IN
+  ('the', 'for', 'and', 'or', 'in', 'of', 'to', 'document', 'details', 'any', 'other', 'is', 'a', 'an'))) AS s FROM q),
+p AS (SELECT a.session, a.turn, b.turn AS other, len(list_intersect(a.s, b.s)) AS n, len(a.s) AS x, len(b.s) AS y FROM w a JOIN w b ON a.session = b.session AND b.turn < a.turn)
+SELECT w.session, w.turn, min(other) AS similar_to FROM w LEFT JOIN p ON p.session = w.session AND p.turn = w.turn AND (n / (x + y - n) >= 0.70 OR n >= 2 AND n / least(x, y) >= 0.75) GROUP BY ALL
+""")
+def repeated_questions(spark, sf_dir):
+    """U-06: every order asks a question in its customer's session; which were asked before, in nearly the same words."""
+    o = read(spark, sf_dir, "orders")
+    text = F.concat(F.lit("What was spent on "), "o_orderpriority", F.lit(" orders in "), F.date_format("o_orderdate", "MMMM yyyy"), F.when(F.col("o_orderkey") % 4 == 1, " and with which vendors").otherwise(""))
+    return retrieval.repeated_queries(o.withColumn("text", text), "o_custkey", "o_orderkey", "text")
