@@ -267,18 +267,19 @@ def decimal_aggregates(spark, sf_dir):
     return out.withColumns({"mean": F.col("mean").cast("double"), "variance": F.col("variance").cast("double")})
 
 
-_NUMBERS = [("1 394,67", 1394.67), ("1.394,67", 1394.67), ("1,394.67", 1394.67), ("689,70", 689.70), ("$ 5 640,17", 5640.17), ("52.,083.00", 52083.0), (",70", 0.70), ("1,676,976", 1676976.0), ("1.676.976,00", 1676976.0), ("667.080.00", 667080.0), ("Rs. 15,000.00", 15000.0), ("1,394", 1.394), ("abc", None), ("", None), ("-12.5", -12.5)]
-
-
 def _values(rows) -> str:
     lit = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
     return ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
 
 
-@query(f"SELECT raw, CAST(number AS DOUBLE) AS number FROM (VALUES {_values(_NUMBERS)}) t(raw, number)")
+@query("SELECT o_orderkey, CASE o_orderkey % 8 WHEN 7 THEN NULL WHEN 6 THEN -round(o_totalprice, 2) ELSE round(o_totalprice, 2) END AS number FROM orders")
 def parse_numbers(spark, sf_dir):
-    """F-20: golden spellings."""
-    return spark.createDataFrame([(r,) for r, _ in _NUMBERS], "raw string").withColumn("number", numbers.parse_numeric(F.col("raw")))
+    """F-20: every order's total in eight spellings, a negative and an unreadable one among them."""
+    us = F.format_number(F.col("o_totalprice").cast("decimal(15,2)"), 2)
+    eu, plain = F.translate(us, ",.", ".,"), F.col("o_totalprice").cast("decimal(15,2)").cast("string")
+    forms = [us, eu, F.translate(us, ",.", " ,"), F.concat(F.lit("Rs. "), us), F.concat(F.lit("$ "), F.translate(us, ",.", " ,")), F.translate(plain, ".", ","), F.concat(F.lit("-"), plain), F.concat(F.lit("n/a "), F.regexp_replace(plain, r"[0-9.]", "x"))]
+    raw = F.get(F.array(*forms), (F.col("o_orderkey") % 8).cast("int"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.round(numbers.parse_numeric(raw), 2).alias("number"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS number FROM lineitem")
@@ -291,13 +292,14 @@ def parse_formatted_numbers(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(numbers.parse_numeric(raw), 2).alias("number"))
 
 
-_DATES = [("21st March 2012", "2012-03-21"), ("05-Jun-2026", "2026-06-05"), ("03/04/2024", "2024-04-03"), ("04/25/2024", "2024-04-25"), ("2024.1.9", "2024-01-09"), ("Due: January 5, 2024 net", "2024-01-05"), ("31/02/2024", None), ("soon", None), ("1-2-24", None)]
-
-
-@query(f"SELECT raw, day FROM (VALUES {_values(_DATES)}) t(raw, day)")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN NULL WHEN o_orderkey % 6 = 2 AND day(o_orderdate) <= 12 THEN strftime(make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)), '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
 def parse_dates(spark, sf_dir):
-    """F-40: day first, then month first; days that don't exist give null."""
-    return spark.createDataFrame([(r,) for r, _ in _DATES], "raw string").withColumn("day", dates.normalize_date(F.col("raw")))
+    """F-40: every order's date in six spellings: day first, then month first; days that don't exist give null."""
+    d = F.col("o_orderdate").cast("date")
+    forms = [F.concat(F.dayofmonth(d), F.lit("th "), F.date_format(d, "MMMM yyyy")), F.date_format(d, "dd-MMM-yyyy"), F.date_format(d, "MM/dd/yyyy"), F.date_format(d, "yyyy.M.d"),
+             F.concat(F.lit("Due: "), F.date_format(d, "MMMM d, yyyy"), F.lit(" net")), F.concat(F.lit("31/02/"), F.year(d))]
+    raw = F.get(F.array(*forms), (F.col("o_orderkey") % 6).cast("int"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", dates.normalize_date(raw).alias("day"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
@@ -309,41 +311,41 @@ def parse_formatted_dates(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", dates.normalize_date(raw).alias("day"))
 
 
-_MONEY = [("$", "USD"), ("Rs.", "INR"), ("C$", "CAD"), ("US$ 5", "USD"), ("chf", "CHF"), ("sek", "SEK"), ("hours", "INR"), ("??", None), ("", None)]
-
-
-@query(f"SELECT raw, code FROM (VALUES {_values(_MONEY)}) t(raw, code)")
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'USD' WHEN 2 THEN 'INR' WHEN 3 THEN 'QZ' || chr(65 + CAST(o_custkey % 26 AS INTEGER)) END AS code FROM orders")
 def norm_currency(spark, sf_dir):
-    """F-06, its substring hits included."""
-    return spark.createDataFrame([(r,) for r, _ in _MONEY], "raw string").withColumn("code", text.normalize_currency(F.col("raw")))
-
+    """F-06: symbols alone, inside an amount, codes of any three letters, and texts without a currency, one for each order."""
+    forms = [F.lit("$"), F.concat(F.lit("US$ "), F.col("o_totalprice").cast("decimal(15,2)").cast("string")), F.concat(F.lit("Rs."), F.col("o_custkey").cast("string")),
+             F.concat(F.lit("qz"), F.char(97 + F.col("o_custkey") % 26)), F.concat(F.lit("?? "), F.col("o_custkey").cast("string"))]
+    raw = F.get(F.array(*forms), (F.col("o_orderkey") % 5).cast("int"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", text.normalize_currency(raw).alias("code"))
 
-_UNITS = [("PCS", "pcs"), (" Stk. ", "pcs"), ("hrs", "hours"), ("Barrel", "barrel"), ("", None)]
 
-
-@query(f"SELECT raw, unit FROM (VALUES {_values(_UNITS)}) t(raw, unit)")
+@query("SELECT l_orderkey, l_linenumber, CASE l_partkey % 5 WHEN 0 THEN 'pcs' WHEN 1 THEN 'pcs' WHEN 2 THEN 'hours' WHEN 3 THEN 'unit ' || l_suppkey END AS unit FROM lineitem")
 def norm_unit(spark, sf_dir):
-    """F-05, F-01."""
-    return spark.createDataFrame([(r,) for r, _ in _UNITS], "raw string").withColumn("unit", text.normalize_unit(F.col("raw")))
-
+    """F-05, F-01: known units in several spellings, unknown and blank ones, one for each line item."""
+    forms = [F.lit("PCS"), F.lit(" Stk. "), F.lit("hrs"), F.concat(F.lit("Unit   "), "l_suppkey", F.lit(" ")), F.lit("\u00a0 ")]
+    raw = F.get(F.array(*forms), (F.col("l_partkey") % 5).cast("int"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.normalize_unit(raw).alias("unit"))
 
-_RATES = [("10%", None, None, 0.10), ("18", None, None, 0.18), ("0.2", None, None, 0.2), ("1090", 100.0, 110.0, 0.10), ("1090", 100.0, 150.0, None), ("7,7%", None, None, 0.077)]
 
-
-@query(f"SELECT raw, CAST(net AS DOUBLE) AS net, CAST(gross AS DOUBLE) AS gross, CAST(rate AS DOUBLE) AS rate FROM (VALUES {_values(_RATES)}) t(raw, net, gross, rate)")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 2 THEN 0.1::DOUBLE ELSE round((2 + l_suppkey % 9) / 100.0::DOUBLE, 4) END AS rate FROM lineitem")
 def tax_rates(spark, sf_dir):
-    """F-25: percentages, standard rates, and damaged ones that net and gross explain."""
-    d = spark.createDataFrame([r[:3] for r in _RATES], "raw string, net double, gross double")
-    return d.withColumn("rate", numbers.tax_rate(F.col("raw"), F.col("net"), F.col("gross")))
-
+    """F-25: percentages with point and comma, and damaged ones that net and gross explain, one for each line item."""
+    percent, net = 2 + F.col("l_suppkey") % 9, F.col("l_extendedprice").cast("double")
+    damaged = F.col("l_orderkey") % 3 == 2
+    raw = F.when(damaged, "1090").when(F.col("l_orderkey") % 3 == 1, F.concat(percent.cast("string"), F.lit(",0%"))).otherwise(F.concat(percent.cast("string"), F.lit("%")))
+    gross = F.when(damaged, net * 1.1)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(numbers.tax_rate(raw, F.when(damaged, net), gross), 4).alias("rate"))
 
-_AMOUNTS = [("Rs. 15,000.00", "15000.00"), ("1 394,67", "1394.67"), ("689,70", "689.70"), ("1200", "1200"), ("12.5", "12.50"), ("x", None)]
 
-
-@query(f"SELECT raw, amount FROM (VALUES {_values(_AMOUNTS)}) t(raw, amount)")
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) WHEN 3 THEN NULL ELSE printf('%.2f', round(o_totalprice, 2)) END AS amount FROM orders")
 def norm_amount(spark, sf_dir):
-    """F-21."""
-    return spark.createDataFrame([(r,) for r, _ in _AMOUNTS], "raw string").withColumn("amount", numbers.normalize_amount(F.col("raw")))
+    """F-21: every order's total as a plain number: with places where they were written."""
+    p = F.col("o_totalprice").cast("decimal(15,2)")
+    us = F.format_number(p, 2)
+    forms = [F.concat(F.lit("Rs. "), us), F.floor("o_totalprice").cast("string"), F.translate(us, ",.", " ,"), F.concat(F.lit("x"), F.translate(us, "0123456789,.", "xxxxxxxxxxxx"))]
+    raw = F.get(F.array(*forms), (F.col("o_orderkey") % 4).cast("int"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", numbers.normalize_amount(raw).alias("amount"))
 
 
 # ---- retrieval -------------------------------------------------------------------------------
@@ -450,11 +452,12 @@ _SAMPLES = [
 ]
 
 
-@query(f"SELECT CAST(id AS BIGINT) AS id, predicted_type FROM (VALUES {_values([(i, t) for i, _, t in _SAMPLES])}) t(id, predicted_type)")
+@query(f"SELECT o_orderkey AS id, predicted_type FROM orders JOIN (VALUES {_values([(i - 1, t) for i, _, t in _SAMPLES])}) t(k, predicted_type) ON k = o_orderkey % 11")
 def classify_samples(spark, sf_dir):
-    """K-01 to K-05 on a sample of each type."""
-    d = spark.createDataFrame([(i, t) for i, t, _ in _SAMPLES], "id bigint, text string")
-    return classification.classify(d).select("id", "predicted_type")
+    """K-01 to K-05: a text of each type for every order, with the order's own number and status."""
+    texts = F.array(*[F.lit(t) for _, t, _ in _SAMPLES])
+    body = F.concat(F.get(texts, (F.col("o_orderkey") % 11).cast("int")), F.lit("\nq"), F.lower("o_orderstatus"), F.lit(" "), F.col("o_orderkey").cast("string"))
+    return classification.classify(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), body.alias("text"))).select("id", "predicted_type")
 
 
 @query("SELECT o_orderkey, 'INV-' || o_orderkey AS invoice_number, strftime(o_orderdate, '%Y-%m-%d') AS invoice_date, 'Customer ' || o_custkey AS buyer_name, printf('%.2f', o_totalprice) AS grand_total, CAST(5 AS INTEGER) AS found FROM orders")
@@ -597,10 +600,16 @@ def training_counts(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("kind")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
 
 
-@query("SELECT document_type, CAST(fields AS BIGINT) AS fields, CAST(mandatory AS BIGINT) AS mandatory FROM (VALUES ('POI', 23, 8), ('NPO', 19, 6), ('IMA', 16, 6), ('MSI', 21, 6), ('PSI', 15, 7), ('JER', 16, 6), ('BKA', 15, 6), ('DPR', 16, 8), ('LCA', 16, 7)) t(document_type, fields, mandatory)")
+@query("""
+SELECT o_orderkey, document_type, CAST(fields AS BIGINT) AS fields, CAST(mandatory AS BIGINT) AS mandatory FROM orders
+JOIN (VALUES (0, 'POI', 23, 8), (1, 'NPO', 19, 6), (2, 'IMA', 16, 6), (3, 'MSI', 21, 6), (4, 'PSI', 15, 7), (5, 'JER', 16, 6), (6, 'BKA', 15, 6), (7, 'DPR', 16, 8), (8, 'LCA', 16, 7)) t(k, document_type, fields, mandatory) ON k = o_orderkey % 9
+""")
 def field_registry(spark, sf_dir):
-    """Section 1.4, U-02: the registry as a table."""
-    return registry.field_schema(spark).groupBy("document_type").agg(F.count("*").alias("fields"), F.count_if("mandatory").alias("mandatory"))
+    """Section 1.4, U-02: what the registry asks of each order's document, by its type."""
+    asked = registry.field_schema(spark).groupBy("document_type").agg(F.count("*").alias("fields"), F.count_if("mandatory").alias("mandatory"))
+    types = F.array(*[F.lit(t) for t in registry.TYPES])
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.get(types, (F.col("o_orderkey") % 9).cast("int")).alias("document_type"))
+    return o.join(F.broadcast(asked), "document_type").select("o_orderkey", "document_type", "fields", "mandatory")
 
 
 # ---- beyond parity: windows, sets, cubes, as-of ----------------------------------------------
