@@ -766,3 +766,26 @@ def typed_corrections(spark, sf_dir):
     amount = F.format_string("%.2f", F.col("f2")["totals.grand_total"]["value"].cast("double"))
     out = d.withColumn("f2", f)
     return out.select("o_orderkey", F.col("f2")["invoice_date"]["value"].alias("day"), amount.alias("amount"), fields.context_text(("Header", F.col("o_orderstatus")), ("Parties", F.lit(" ")), ("Totals", F.col("c"))).alias("context"))
+
+
+# ---- limits that are the feature -------------------------------------------------------------
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS created FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC LIMIT 50")
+def newest_documents(spark, sf_dir):
+    """T-09: the fifty newest of all orders."""
+    o = read(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "id")
+    return tables.newest(o, "o_orderdate").select("id", F.date_format("o_orderdate", "yyyy-MM-dd").alias("created"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey % 5 = 3 AND o_orderkey % 97 <> 0 ORDER BY o_orderkey DESC LIMIT 100")
+def governed_limit(spark, sf_dir):
+    """T-07, Z-08, Z-09: a statement without a limit, and one of its own beyond it, end at a hundred rows."""
+    return governance.execute(spark, "WITH mine AS (SELECT id FROM documents ORDER BY id DESC LIMIT 5000) SELECT id FROM mine ORDER BY id DESC", _portfolio(spark, sf_dir), ANALYST)
+
+
+@query("SELECT event_id AS id, user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE user_id = (SELECT min(user_id) FROM events)")
+def user_history(spark, sf_dir):
+    """T-12: all events of the first user, oldest first."""
+    e = read(spark, sf_dir, "events").withColumnRenamed("event_id", "id")
+    first = e.agg(F.min("user_id")).first()[0]
+    return tables.history(e, "user_id", first, "ts").select("id", "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))

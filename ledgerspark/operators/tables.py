@@ -116,6 +116,11 @@ def allowed(role: Column, gate: str) -> Column:
     return role.isin(GATES[gate])
 
 
+def newest(df: DataFrame, at: str, n: int = 50, key: str = "id") -> DataFrame:
+    """T-09: the newest rows, ties by the greater key; the limit is the feature (duplicates are compared with all rows elsewhere)."""
+    return df.orderBy(F.desc_nulls_last(at), F.desc(key)).limit(n)
+
+
 def with_activity(documents: DataFrame, activity: DataFrame, user_id, n: int = 5) -> DataFrame:
     """J-02, T-08: a user's documents by last activity, deleted ones left out."""
     mine = activity.where(F.col("user_id") == F.lit(user_id)).select(F.col("document_id").alias("id"), "last_activity_at")
