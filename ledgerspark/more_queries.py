@@ -635,8 +635,9 @@ def distinct_calls(spark, sf_dir):
 
 @query("SELECT user_id, len(f) AS facts, f[len(f)] AS last FROM (SELECT user_id, CASE WHEN len(a) > 10 THEN a[len(a) - 9 : len(a)] ELSE a END AS f FROM (SELECT user_id, list(event_id ORDER BY event_id) AS a FROM events GROUP BY 1))")
 def fact_rings(spark, sf_dir):
-    """W-07: the last ten facts of each session."""
-    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("a"))
+    """W-07: the last ten facts of each session; only these are gathered, however many it has."""
+    last = tables.last_turns(read(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id", 10)
+    e = last.groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("a"))
     return e.select("user_id", conversation.last_facts(F.col("a")).alias("f")).select("user_id", F.size("f").cast("long").alias("facts"), F.element_at("f", -1).alias("last"))
 
 
