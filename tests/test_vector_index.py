@@ -12,7 +12,7 @@ def data(n=900, d=12, groups=15, seed=2):
     return centres[rng.integers(0, groups, n)] + rng.normal(size=(n, d)) * 0.5
 
 
-@pytest.mark.parametrize("ring_rows, k", [(2048, 10), (40, 10), (7, 3)])
+@pytest.mark.parametrize("ring_rows, k", [(2048, 10), (30, 10)])
 def test_exact_with_few_cells(spark, tmp_path, ring_rows, k):
     x = data()
     x[10:30] = x[5]  # ties go to the smaller key
