@@ -57,13 +57,15 @@ def block_features(data: np.ndarray, embed: np.ndarray) -> np.ndarray:
     n = len(data) // STRIDE
     out = np.empty((n, WIDTH), np.float32)
     out[:, : STRIDE * DIM] = embed[data].reshape(n, STRIDE * DIM)
-    out[:, STRIDE * DIM :] = lag_features(data)
+    out[:, STRIDE * DIM :] = lag_counts(data)
+    out[:, STRIDE * DIM :] *= 1 / STRIDE
     return out
 
 
-def lag_features(data: np.ndarray) -> np.ndarray:
+def lag_counts(data: np.ndarray) -> np.ndarray:
+    """(blocks, lags): how many of a block's bytes equal the byte so many places before, one byte a count."""
     n = len(data) // STRIDE
-    out = np.zeros((n, len(LAGS)), np.float32)
+    out = np.zeros((n, len(LAGS)), np.uint8)
     live = data != 0
     same = np.zeros(len(data), bool)
     for k, lag in enumerate(LAGS):
@@ -72,7 +74,6 @@ def lag_features(data: np.ndarray) -> np.ndarray:
         same &= live
         # eight bytes of 0/1 summed as one 64-bit word: the top byte of the product
         out[:, k] = (same.view(np.uint64) * np.uint64(0x0101010101010101)) >> np.uint64(56)
-    out *= 1 / STRIDE
     return out
 
 
@@ -134,7 +135,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> Network | None:
     p = net.p
     mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     laid = [layout([t])[0] for t in texts]
-    lags = [lag_features(d) for d in laid]
+    lags = [lag_counts(d) for d in laid]
     weight = np.where(labels == 1, 0.5 / max(1e-9, labels.mean()), 0.5 / max(1e-9, 1 - labels.mean())) ** 0.5
     first, step, cut = LEAD // STRIDE - 1, 0, STRIDE * DIM
     for epoch in range(EPOCHS):
@@ -143,7 +144,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> Network | None:
             g = {k: np.zeros_like(v) for k, v in p.items()}
             for i in batch:
                 b = laid[i].reshape(-1, STRIDE)
-                x = np.concatenate([p["embed"][b].reshape(len(b), cut), lags[i]], axis=1)
+                x = np.concatenate([p["embed"][b].reshape(len(b), cut), lags[i] * np.float32(1 / STRIDE)], axis=1)
                 y = (x[:-1] @ p["left"] + x[1:] @ p["right"])[first:]
                 top = y.argmax(0)
                 z = np.tanh(y[top, np.arange(FILTERS)] + p["bias"])
@@ -182,8 +183,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, row
         F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("t")).select("doc_id", "t.text", "t.y")
     before = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over ``rows`` rows at most
     got = got.withColumn("sum", F.sum(F.octet_length("text").cast("long")).over(before)).where(F.col("sum") <= TRAIN_BYTES)
-    got = got.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").collect()
-    return [(r["text"] or "").encode() for r in got], np.array([r["y"] for r in got], np.float32)
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id").select(F.col("text").cast("binary").alias("text"), "y").toArrow()
+    return got["text"].to_pylist(), np.array(got["y"].to_pylist(), np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network | None:

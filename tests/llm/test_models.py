@@ -143,3 +143,78 @@ def test_columns_with_clashing_names(spark, labels):
     fitted, _ = mixing.fit(docs, labels)
     got = fitted.rated(docs, docs.columns, "my_rate").first()
     assert (got["tokens"], got["cell"], got["rate"]) == (3, "c", 7.5) and got["my_rate"] >= 0
+
+
+def planted_votes(rng, n, voters):
+    """Texts with a class, and for each (hit, false) rate the texts in which the voter votes."""
+    y = rng.random(n) < 0.25
+    return y, [np.where(y, rng.random(n) < hit, rng.random(n) < false) for hit, false in voters]
+
+
+def as_votes(columns):
+    dense = np.column_stack(columns)
+    return dense.astype(float), toxicity.Votes([np.flatnonzero(row) for row in dense], dense.shape[1])
+
+
+def test_the_label_model_recovers_planted_voters():
+    # silence is no evidence in the model, which therefore counts on false votes being rare
+    rates = [(0.7, 0.003), (0.5, 0.002), (0.6, 0.005), (0.4, 0.001), (0.8, 0.004), (0.5, 0.003)]
+    y, columns = planted_votes(np.random.default_rng(5), 6000, rates)
+    dense, votes = as_votes([*columns, columns[1]])  # the last voter is a copy of the second
+    model = toxicity.LabelModel(votes, np.zeros(len(y)), 0.25, np.minimum(1, dense.sum(1) / 2))
+    assert model.hit[:6] == pytest.approx([h for h, _ in rates], abs=0.08)
+    assert model.false[:6] == pytest.approx([f for _, f in rates], abs=0.01)
+    assert np.mean((model.posterior(votes, np.zeros(len(y))) > 0.5) == y) > 0.93
+    pairs = {(a, b): c for a, b, c in zip(*model.correlated)}
+    assert pairs[1, 6] == pairs[6, 1] == pytest.approx(1) and max(c for p, c in pairs.items() if set(p) != {1, 6}) < 0.5
+    assert model.share[1] == model.share[6] == pytest.approx(0.5) and model.share[[0, 2, 3, 4, 5]] == pytest.approx(1)
+
+
+def test_sparse_sums_equal_dense_ones():
+    rng = np.random.default_rng(6)
+    y, columns = planted_votes(rng, 800, [(0.5, 0.1)] * 12)
+    dense, votes = as_votes([*columns, columns[0], columns[0] & (rng.random(800) < 0.8), np.zeros(800, bool)])
+    weight = rng.random(800)
+    assert votes.by_voter(weight) == pytest.approx(dense.T @ weight) and votes.by_row(weight[:15]) == pytest.approx(dense @ weight[:15])
+    i, j, both = votes.together()
+    want = dense.T @ dense
+    often = (want >= 2) & (want >= 0.25 * np.sqrt(np.outer(np.diag(want), np.diag(want)))) & ~np.eye(15, dtype=bool)
+    assert sorted(zip(i, j)) == [tuple(p) for p in np.argwhere(often)] and both == pytest.approx(want[i, j])
+    model = toxicity.LabelModel(votes, np.zeros(800), 0.25, np.minimum(1, dense.sum(1) / 2), rounds=1)
+    post = np.minimum(1, dense.sum(1) / 2)
+    rest = dense - (np.outer(post, model.hit) + np.outer(1 - post, model.false))
+    cov = rest.T @ rest
+    assert model.correlated[2] == pytest.approx((np.abs(cov) / np.sqrt(np.outer(np.diag(cov), np.diag(cov))))[i, j])
+
+
+def test_conjugate_steps_solve_the_dense_system():
+    rng = np.random.default_rng(7)
+    y, columns = planted_votes(rng, 500, [(0.4, 0.1)] * 20)
+    dense, votes = as_votes(columns)
+    rest, soft = rng.random((500, 3)), np.clip(y + rng.normal(0, 0.1, 500), 0, 1)
+    got = toxicity.Classifier(toxicity.Voters([f"w{k}" for k in range(20)], []), votes, rest, soft)
+    x = np.column_stack([dense, rest])
+    p = 1 / (1 + np.exp(-(x @ got.w + got.c)))
+    assert x.T @ (soft - p) == pytest.approx(0.1 * got.w, abs=1e-4) and (soft - p).sum() == pytest.approx(0, abs=1e-4)
+
+
+def test_the_network_equals_a_plain_loop_over_chunks():
+    q = quality_classifier
+    rng = np.random.default_rng(8)
+    net = q.Network(rng)
+    texts = [b"", b"x", b"the the the cat sat", rng.integers(1, 255, 100, dtype=np.uint8).tobytes(), b"abcabcabc " * 30]
+    for text, got in zip(texts, net.pooled(texts)):
+        blocks = -(-len(text) // q.STRIDE) + 1
+        padded = bytes(q.LEAD) + text + bytes(q.STRIDE * (blocks + 1))
+        best = np.full(q.FILTERS, -np.inf)
+        for k in range(-1, blocks - 1):
+            answer = np.zeros(q.FILTERS)
+            for side, at in (("left", k), ("right", k + 1)):
+                begin = q.LEAD + q.STRIDE * at
+                row = [v for b in padded[begin : begin + q.STRIDE] for v in net.p["embed"][b]]
+                for lag in q.LAGS:
+                    same = [padded[m] != 0 and m >= lag and padded[m] == padded[m - lag] for m in range(begin, begin + q.STRIDE)]
+                    row.append(sum(same) / q.STRIDE)
+                answer += np.array(row) @ net.p[side]
+            best = np.maximum(best, answer)
+        assert got == pytest.approx(best + net.p["bias"], abs=1e-4)
