@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerspark.functions.text import like, once
 from ledgerspark.functions.vectors import cosine_distance
 from ledgerspark.operators.tables import in_ids
+from ledgerspark.sources.workspace import Workspace
 
 RRF_K, CANDIDATES, RERANKED, FINAL = 60, 30, 25, 5
 # Words that full-text search leaves out.
@@ -198,6 +199,29 @@ def query_words(text: Column) -> Column:
     return F.filter(F.array_distinct(words), lambda w: (F.length(w) > 2) & ~w.isin(QUERY_STOP_WORDS))
 
 
+#: Classes of a session that are compared with each other within one row.
+SESSION_CLASSES = 64
+
+
+def _near(both: Column, n: Column, n2: Column) -> Column:
+    """Near-equality of sets of ``n`` and ``n2`` words, the first not the larger one, with ``both`` in common."""
+    return (both / (n + n2 - both) >= 0.70) | ((both >= 2) & (both / n >= 0.75))
+
+
+def _earliest_within(classes: DataFrame) -> DataFrame:
+    """(session, words, first, n) of small sessions -> (session, words, other): the first turn of each class and those near it."""
+    sessions = classes.groupBy("session").agg(F.collect_list(F.struct("words", "first", "n")).alias("cs"))
+
+    def close(c: Column, d: Column) -> Column:
+        both = F.size(F.array_intersect(c["words"], d["words"]))
+        return (c["words"] == d["words"]) | once(both, lambda b: _near(b, F.least(c["n"], d["n"]), F.greatest(c["n"], d["n"])))
+
+    def seen(c: Column) -> Column:
+        return F.array_min(F.transform(F.filter("cs", lambda d: close(c, d)), lambda d: d["first"]))
+
+    return sessions.select("session", F.inline(F.transform("cs", lambda c: F.struct(c["words"].alias("words"), seen(c).alias("other")))))
+
+
 def repeated_queries(queries: DataFrame, session: str, turn: str, text: str) -> DataFrame:
     """U-06 over whole sessions: (session, turn, similar_to): the first earlier query of the session that is equal in words or near-equal, or null.
 
@@ -206,27 +230,34 @@ def repeated_queries(queries: DataFrame, session: str, turn: str, text: str) ->
     at least 70 % of these, so one of the smaller set's rarest s - ceil(0.7 s) + 1 words must be in the larger one;
     words are ranked by how many classes of the session have them. What meets is compared by its counts of words.
     Queries without such words are like those of the same text alone, blank ones like none; a repeated turn number is ordered with the others of its number.
+
+    Sessions of up to SESSION_CLASSES classes are compared each within a row, larger ones by joins. All sides of these grow
+    with the queries, far beyond the size of the columns that they are read from, by which a planner
+    would choose one to be broadcast: the joins are shuffled.
     """
     plain = F.lower(F.trim(F.coalesce(F.col(text), F.lit(""))))
     rows = queries.select(F.col(session).alias("session"), F.col(turn).alias("turn"), F.array_sort(query_words(F.col(text))).alias("words"), plain.alias("plain"))
     alone = F.when(F.col("plain") != "", F.array(F.concat(F.lit("="), "plain"))).otherwise(F.array().cast("array<string>"))
     rows = rows.select("session", "turn", F.when(F.size("words") > 0, F.col("words")).otherwise(alone).alias("words"))
     classes = rows.where(F.size("words") > 0).groupBy("session", "words").agg(F.min("turn").alias("first"))
-    classes = classes.withColumn("n", F.size("words"))
+    classes = classes.select("*", F.size("words").alias("n"), F.count("*").over(Window.partitionBy("session")).alias("of"))
+    classes = Workspace(queries.sparkSession, "repeated-queries").keep(classes)
+    few, classes = classes.where(F.col("of") <= SESSION_CLASSES), classes.where(F.col("of") > SESSION_CLASSES)
     words = classes.select("session", "words", "first", "n", F.explode("words").alias("w"))
     rarity = words.groupBy("session", "w").agg(F.count("*").alias("df"))
     # each class's words from its rarest on
     place = Window.partitionBy("session", "words").orderBy("df", "w")
-    rarity = rarity.select(F.col("session").alias("s2"), F.col("w").alias("w2"), "df")
+    rarity = rarity.select(F.col("session").alias("s2"), F.col("w").alias("w2"), "df").hint("merge")
     ranked_words = words.join(rarity, [F.col("session").eqNullSafe(F.col("s2")), F.col("w") == F.col("w2")]).drop("s2", "w2").withColumn("place", F.row_number().over(place))
     key = [F.col("session").eqNullSafe(F.col("s2")), F.col("w") == F.col("w2")]
     small = ranked_words.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 0.7) + 1).select("session", "w", "words", "first", "n").distinct()
-    large = words.select(F.col("session").alias("s2"), F.col("w").alias("w2"), F.col("words").alias("words2"), F.col("first").alias("first2"), F.col("n").alias("n2"))
+    large = words.select(F.col("session").alias("s2"), F.col("w").alias("w2"), F.col("words").alias("words2"), F.col("first").alias("first2"), F.col("n").alias("n2")).hint("merge")
     met = small.join(large, [key[0], key[1], F.col("n") <= F.col("n2"), F.col("words") != F.col("words2")]).select("session", "words", "first", "n", "words2", "first2", "n2").distinct()
     both = F.size(F.array_intersect("words", "words2"))
-    near = met.where((both / (F.col("n") + F.col("n2") - both) >= 0.70) | ((both >= 2) & (both / F.col("n") >= 0.75)))
+    near = met.where(_near(both, F.col("n"), F.col("n2")))
     seen = near.select("session", "words", F.col("first2").alias("other")).unionByName(near.select("session", F.col("words2").alias("words"), F.col("first").alias("other")))
     earliest = classes.select("session", "words", F.col("first").alias("other")).unionByName(seen).groupBy("session", "words").agg(F.min("other").alias("other"))
-    e = earliest.select(F.col("session").alias("s2"), F.col("words").alias("words2"), "other")
+    earliest = earliest.unionByName(_earliest_within(few))
+    e = earliest.select(F.col("session").alias("s2"), F.col("words").alias("words2"), "other").hint("merge")
     found = rows.join(e, [F.col("session").eqNullSafe(F.col("s2")), F.col("words") == F.col("words2")], "left")
     return found.select("session", "turn", F.when(F.col("other") < F.col("turn"), F.col("other")).alias("similar_to"))

@@ -31,3 +31,12 @@ def test_each_query_finds_the_first_that_is_near_equal(spark):
     key = lambda r: tuple((x is None, x or 0) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert sum(r[2] is not None for r in want) > 50
+
+
+def test_no_side_of_the_joins_is_broadcast(spark, tmp_path):
+    """Words of small columns are many times their size, so a planner that goes by the file would broadcast them."""
+    q = spark.range(20_000).selectExpr("id % 1000 AS s", "id AS t", "concat_ws(' ', transform(sequence(1, 12), i -> concat('question', pmod(xxhash64(id % 20, i), 40)))) AS q")
+    q.coalesce(1).write.parquet(str(tmp_path / "q"))
+    found = retrieval.repeated_queries(spark.read.parquet(str(tmp_path / "q")), "s", "t", "q")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
