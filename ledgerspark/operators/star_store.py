@@ -67,7 +67,7 @@ def resolve_vendors(found: DataFrame, existing: DataFrame, work: Workspace) -> R
     rows = rows.withColumn("key", first).join(tied.withColumnRenamed("node", "key"), "key").drop("key")
     groups = rows.groupBy("component").agg(F.min("direct").alias("known"), F.min("document_id").alias("first"))
     top = existing.agg(F.max("vendor_id")).first()[0] or 0
-    groups = work.keep(_numbered(groups, top))
+    groups = work.keep(_numbered(groups, top, work))
     rows = work.keep(rows.join(groups.select("component", "own"), "component").withColumn("vendor_id", F.coalesce("direct", "own")))
 
     least = lambda c: F.min_by(c, F.when(F.trim(c) != "", F.col("document_id")))
@@ -80,12 +80,13 @@ def resolve_vendors(found: DataFrame, existing: DataFrame, work: Workspace) -> R
     return Resolved(rows.select("document_id", "vendor_id"), vendors)
 
 
-def _numbered(groups: DataFrame, top: int) -> DataFrame:
+def _numbered(groups: DataFrame, top: int, work: Workspace) -> DataFrame:
     """Adds ``own``: the known vendor, or for new ones the numbers after ``top`` in the order of their first documents."""
     new = groups.where("known IS NULL")
     parts = max(1, -(-new.count() // 100_000))
-    # ranks over sorted ranges: each range counts on from the rows of those before it
-    ranged = new.repartitionByRange(parts, "first").withColumn("part", F.spark_partition_id())
+    # ranks over sorted ranges: each range counts on from the rows of those before it; the bounds are sampled anew by every
+    # reading, so the ranges are written before they are counted and ranked
+    ranged = work.keep(new.repartitionByRange(parts, "first").withColumn("part", F.spark_partition_id()))
     sizes = ranged.groupBy("part").count()
     ahead = sizes.withColumn("ahead", F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("count")).drop("count")  # a row for each range
     rank = F.row_number().over(Window.partitionBy("part").orderBy("first"))

@@ -142,3 +142,14 @@ def test_star_is_replaced_by_document_and_payments_stay(spark, tmp_path):
     inv = {r["document_id"]: r for r in store.invoices.read().collect()}
     assert inv[1]["source_extraction_result_id"] == 9 and inv[1]["invoice_number"] == "I-1b" and inv[1]["vendor_id"] == inv[2]["vendor_id"] == 1
     assert [r["document_id"] for r in store.lines.read().collect()] == [1]  # three lines became one, the other's went
+
+
+def test_vendors_of_many_ranges_are_numbered_without_gaps(spark):
+    """More new vendors than one range holds: bounds that are sampled twice would number some twice."""
+    n = 250_000
+    found = spark.range(n).select(
+        (F.col("id") * 7919 % n).alias("document_id"), F.concat(F.lit("C"), F.col("id") * 7919 % n).alias("vendor_code"),
+        *[F.lit(None).cast("string").alias(c) for c in ("seller_tax_id", "seller_name", "address")]).repartition(7)
+    existing = spark.createDataFrame([], star_store.VENDORS)
+    got = star_store.resolve_vendors(found, existing, Workspace(spark, "ranges")).documents
+    assert got.count() == n and got.where("vendor_id <> document_id + 1").count() == 0
