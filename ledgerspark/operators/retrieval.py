@@ -81,7 +81,8 @@ def covers(marks: Column, terms: Column) -> Column:
             # a run counts when its earliest word has moved on: it can't be shortened from the left any more
             (s["sum"] + F.when((low >= 0) & (low > s["from"]), 0.1 / (m["at"] - low + 1)).otherwise(0.0)).alias("sum"))))
 
-    return F.aggregate(marks, start, step, lambda s: s["sum"])
+    # sums of the same runs in another order are ties, not better or worse by a last bit
+    return F.aggregate(marks, start, step, lambda s: F.round(s["sum"], 9))
 
 
 def sparse(chunks: DataFrame, query: str, k: int = CANDIDATES, key: str = "chunk_id", text: str = "content") -> DataFrame:
