@@ -40,11 +40,13 @@ from ledgerspark.llm.topk_search import narrowest, products
 SCALE, EVERY, POSITIVES, NEGATIVES, LOW, HIGH = 256, 100, 5, 10, 30, 90
 SHARD_ROWS, BLOCK_ANCHORS = 8192, 512
 BUCKETS = 256
+#: Shares of the shards to which each block of anchors is sent.
+LANES = 96
 #: Squared length from which on a vector takes no part.
 LONGEST = float(2**56)
 
 _SHARD = "shard int, d int, kind string, x binary, x_id binary, x_label binary"
-_ASKED = "block int, d int, q binary, of binary, anchor binary, label binary, windows binary"
+_ASKED = "block int, d int, q_kind string, q binary, of binary, anchor binary, label binary, windows binary"
 #: Of each window: its number, the range of scores and ids in play, rows wanted from it, and the whole window's upper end and rows.
 _STATE = ["w", "lo", "hi", "want", "id_lo", "id_hi", "top", "k"]
 
@@ -73,9 +75,10 @@ def _packed_block(pdf: pd.DataFrame) -> pd.DataFrame:
     """Windows of a block and the vectors of its anchors, each once."""
     first, of = np.unique(pdf["a"].to_numpy(np.int64), return_index=True, return_inverse=True)[1:]
     some = pdf.iloc[first]
+    q = narrowest(np.stack(some["v"].to_numpy()).astype(np.int64).reshape(len(some), -1))
     return pd.DataFrame([{
         "block": pdf["block"].iloc[0], "d": pdf["d"].iloc[0],
-        "q": np.stack(some["v"].to_numpy()).astype(np.int64).tobytes(), "of": of.astype(np.int64).tobytes(),
+        "q_kind": q.dtype.name, "q": q.tobytes(), "of": of.astype(np.int64).tobytes(),
         "anchor": some["vec_id"].to_numpy(np.int64).tobytes(), "label": some["label"].to_numpy(np.int64).tobytes(),
         "windows": pdf[_STATE].to_numpy(np.int64).tobytes(),
     }])
@@ -87,7 +90,7 @@ def _eligible(row, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     x = np.frombuffer(row["x"], row["kind"]).reshape(len(x_id), -1)
     anchor, label, of = (np.frombuffer(row[c], np.int64) for c in ("anchor", "label", "of"))
     windows = np.frombuffer(row["windows"], np.int64).reshape(len(of), len(_STATE))
-    scores = products(np.frombuffer(row["q"], np.int64).reshape(len(anchor), -1), x)
+    scores = products(np.frombuffer(row["q"], row["q_kind"]).reshape(len(anchor), -1).astype(np.int64), x)
     order = np.argsort(of, kind="stable")
     for i, mine in enumerate(np.split(order, np.searchsorted(of[order], np.arange(1, len(anchor))))):
         fits = ((x_label == label[i]) == same) & (x_id != anchor[i])
@@ -171,10 +174,16 @@ class Selector:
         self.anchors = a.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
 
     def _against_shards(self, windows: DataFrame) -> DataFrame:
-        """Each block of windows beside each shard: the stated anchors against all rows, in blocks."""
-        asked = windows.join(self.anchors.select("a", "block", "d", "vec_id", "label", "v"), "a").groupBy("block", "d").applyInPandas(_packed_block, _ASKED)
-        asked = self.scratch.keep(asked).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1))))
-        return self.packed.join(asked, ["shard", "d"]).drop("shard", "block", "d")
+        """Each block of windows beside each shard: the stated anchors against all rows, in blocks.
+
+        Blocks go to each lane of shards, not to each shard, and are shuffled there: by the size of their files, which tells
+        nothing of their copies, they would be broadcast.
+        """
+        asked = windows.join(self.anchors.select("a", "block", "d", "vec_id", "label", "v").hint("merge"), "a").groupBy("block", "d").applyInPandas(_packed_block, _ASKED)
+        lanes = min(self.shards, LANES)
+        asked = self.scratch.keep(asked).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+        packed = self.packed.withColumn("lane", F.col("shard") % lanes)
+        return packed.join(asked.hint("merge"), ["lane", "d"]).drop("lane", "shard", "block", "d")
 
     def select(self, windows: DataFrame, same: bool) -> DataFrame:
         """windows(w, a, lo, hi, k) -> (w, rank, vec_id, score): the k first rows of each, of the anchor's label or of the others."""

@@ -71,3 +71,12 @@ def test_exact_products_in_every_range():
     for reach in (50, 2**20, 2**28):
         q, x = rng.integers(-reach, reach, (4, 6)), rng.integers(-reach, reach, (5, 6))
         assert (topk_search.products(q, x) == np.array([[sum(int(a) * int(b) for a, b in zip(r, s)) for s in x] for r in q])).all()
+
+
+def test_blocks_beside_shards_are_not_broadcast(spark):
+    """A block's copies are many times the size of its file; 40 shards get it in lanes, each pair once."""
+    rows = spark.range(400).selectExpr("id AS vec_id", "transform(sequence(1, 16), i -> CAST(pmod(xxhash64(id, i), 97) AS FLOAT)) AS embedding", "CAST(id % 3 AS INT) AS label")
+    s = hard_negatives.Selector(rows, rows.where("vec_id % 20 = 0"), 1, 10, 8, 8, 16)
+    pairs = s._against_shards(s.anchors.selectExpr("a AS w", "a", *[f"0L AS {c}" for c in hard_negatives._STATE[1:]]))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == s.shards * s.anchors.select("block").distinct().count()
