@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,6 +85,16 @@ def _quoted(term: str) -> str:
     return "".join(c if c.isalnum() or c == " " else "\\" + c for c in term)
 
 
+def some_word(words: Iterable[str]) -> str:
+    """A pattern that finds whether a text holds any of the words, anywhere: those that hold another are left out, the others share their first letters."""
+    kept: list[str] = []
+    for w in sorted(set(words), key=len):
+        if not any(k in w for k in kept):
+            kept.append(w)
+    letters = sorted({w[0] for w in kept})
+    return "|".join(_quoted(c) + "(?:" + "|".join(_quoted(w[1:]) for w in sorted(kept) if w[0] == c) + ")" for c in letters)
+
+
 def word_set(text: Column) -> Column:
     """F-13: distinct lower-case words of letters, digits and apostrophes."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0)))

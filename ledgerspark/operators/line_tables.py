@@ -1,20 +1,20 @@
 """Line items of a page's blocks: heading band, columns, table end, row lines, continued items (L-05 to L-09, W-08, J-12, A-19).
 
 Blocks (document_id, page_number, page_width, page_height, block, text, confidence, box) as
-``layout.flat_blocks`` gives them. Bands, gutters and items are windows over a page; only the running line
-of L-08, whose mean and extent depend on the line so far, is folded over the body of one page,
-which bounds it. Pages without two known headings in one band have no table.
+``layout.flat_blocks`` gives them. They are gathered once into a row for each page, which bounds it; bands, gutters,
+lines and items are expressions over that row's arrays, so nothing is joined or dealt out again. Pages without two
+known headings in one band have no table.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.text import once
-from ledgerspark.sources.workspace import Workspace
+from ledgerspark.functions.text import once, some_word
+from ledgerspark.operators import running
 
 # Headings of each column, and words that begin what follows a table.
 HEADINGS = {
@@ -38,30 +38,29 @@ PAGE = ["document_id", "page_number"]
 
 
 def column_of(up: Column) -> Column:
-    """The column that a heading in capitals names: the longest known heading that it is, begins or ends with, or holds as words; null without one.
-
-    Give it a column of its own: the text is mentioned some hundred times.
-    """
+    """The column that a heading in capitals names: the longest known heading that it is, begins or ends with, or holds as words; null without one."""
     by_size = sorted(((h, c) for c, names in HEADINGS.items() for h in names), key=lambda x: -len(x[0]))
-    out = F.lit(None).cast("string")
-    for h, c in reversed(by_size):
+    exact: dict[str, str] = {}
+    for h, c in by_size:
+        exact.setdefault(h, c)
+    whole = F.create_map(*[F.lit(x) for pair in exact.items() for x in pair])
+    table = F.array(*[F.struct(F.lit(h).alias("name"), F.lit(f" {h} ").alias("words"), F.lit(len(h) >= 3).alias("long"), F.lit(c).alias("column")) for h, c in by_size])
+
+    def part(t: Column) -> Column:
         # short headings stand alone, longer ones may be a part of a longer word at either end
-        ends = up.startswith(h) | up.endswith(h) if len(h) >= 3 else (up == h) | up.startswith(f"{h} ") | up.endswith(f" {h}")
-        out = F.when(ends | up.contains(f" {h} "), c).otherwise(out)
-    return out
+        inside = lambda x: F.contains(t["words"], x["words"]) | (x["long"] & (F.startswith(t["up"], x["name"]) | F.endswith(t["up"], x["name"])))
+        return F.coalesce(F.try_element_at(whole, t["up"]), F.get(F.filter(table, inside), 0)["column"])
+
+    return once(F.struct(up.alias("up"), F.concat(F.lit(" "), up, F.lit(" ")).alias("words")), part)
 
 
-def named(blocks: DataFrame) -> DataFrame:
-    """Adds ``name`` and leaves out blocks without one; a pattern of all headings keeps most texts from being looked at closely."""
-    some = "|".join(re.escape(h) for names in HEADINGS.values() for h in names)
-    some_heading = blocks.where(F.upper("text").rlike(some))
-    # a row each: what follows reads the capitals, it does not make them again
-    capitals = some_heading.select("*", F.explode(F.array(F.upper(F.trim("text")))).alias("_up"))
-    return capitals.withColumn("name", column_of(F.col("_up"))).drop("_up").where("name IS NOT NULL")
+def heading_name(up: Column) -> Column:
+    """The column that a block's capitals name, or null; a pattern of all headings keeps most texts from being looked at closely."""
+    return F.when(up.rlike(some_word(h for names in HEADINGS.values() for h in names)), column_of(up))
 
 
-def begins_summary(text: Column) -> Column:
-    return F.upper(F.trim(text)).rlike("^(?:" + "|".join(re.escape(w) for w in SUMMARY) + ")")
+def begins_summary(up: Column) -> Column:
+    return up.rlike("^(?:" + "|".join(re.escape(w) for w in SUMMARY) + ")")
 
 
 def _sized(blocks: DataFrame) -> DataFrame:
@@ -70,67 +69,97 @@ def _sized(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"page_width": size("page_width", WIDTH), "page_height": size("page_height", HEIGHT), "text": F.coalesce(F.trim("text"), F.lit(""))})
 
 
+def _heading(up: Column, *more: str) -> Column:
+    """A struct for a block that is a heading, else null (``_sized`` blocks)."""
+    name = F.when(F.col("box.top") > F.col("page_height") * FLOOR, heading_name(up))
+    return once(name, lambda n: F.when(n.isNotNull(), F.struct(
+        F.col("box.cy").alias("cy"), "block", n.alias("name"), "page_width", "page_height", F.col("box.left").alias("left"), F.col("box.right").alias("right"),
+        F.col("box.top").alias("top"), F.col("box.bottom").alias("bottom"), *more)))
+
+
+def band(headings: Column) -> Column:
+    """L-05 on a page's headings: of all bands of 40 above and below a heading the first with the most columns, if it has two; else empty."""
+    near = lambda x: F.filter(headings, lambda y: y["cy"].between(x["cy"] - BAND, x["cy"] + BAND))
+    counts = F.transform(headings, lambda x: F.struct(F.size(F.array_distinct(F.transform(near(x), lambda y: y["name"]))).alias("n"), (-x["cy"]).alias("up")))
+    # the greatest count, the highest of equals; headings.cy - seed is cy + up
+    best = lambda t: F.filter(headings, lambda x: (t["n"] >= 2) & (F.abs(x["cy"] + t["up"]) <= BAND))
+    return once(F.array_max(counts), lambda t: F.coalesce(best(t), F.filter(headings, lambda x: F.lit(False))))
+
+
+def ranges(headings: Column) -> Column:
+    """L-06 on a page's heading band: columns from left to right; they share the page at their gutters, or between their centres where they touch."""
+    size = lambda x: F.struct(x["page_width"].alias("w"), x["page_height"].alias("h"), x["name"].alias("name"))
+    one = lambda f, part, c: f(F.transform(part, lambda x: x[c]))
+
+    def column(key: Column) -> Column:
+        return once(F.filter(headings, lambda x: size(x) == key), lambda part: F.struct(
+            ((one(F.array_min, part, "left") + one(F.array_max, part, "right")) / 2).alias("cx"), F.array_min(F.transform(part, lambda x: F.struct(x["cy"].alias("cy"), x["block"].alias("block")))).alias("first"),
+            key["name"].alias("name"), key["w"].alias("w"), key["h"].alias("h"), one(F.array_min, part, "left").alias("x0"), one(F.array_max, part, "right").alias("x1"),
+            one(F.array_min, part, "top").alias("top"), one(F.array_max, part, "bottom").alias("bottom")))
+
+    border = lambda a, b: F.when(a["x1"] < b["x0"], (a["x1"] + b["x0"]) / 2).otherwise((a["cx"] + b["cx"]) / 2)
+
+    def placed(cs: Column) -> Column:
+        def with_edges(c: Column, i: Column) -> Column:
+            prev, after = F.get(cs, i - 1), F.get(cs, i + 1)
+            left = F.when(i == 0, 0.0).otherwise(border(prev, c))
+            right = F.when(after.isNull(), c["w"]).otherwise(border(c, after))
+            right = F.when((c["name"] == "description") & after.isNotNull(), F.least(right, after["x0"] - 2)).otherwise(right)
+            return F.struct(
+                c["h"].alias("page_height"), c["name"].alias("name"), (i + 1).alias("place"), F.bround(left, 1).alias("x_min"), F.bround(right, 1).alias("x_max"),
+                one(F.array_min, cs, "top").alias("heading_top"), (one(F.array_max, cs, "bottom") + BELOW_HEADING).alias("heading_bottom"))
+
+        return F.transform(cs, with_edges)
+
+    return once(F.array_sort(F.transform(F.array_distinct(F.transform(headings, size)), column)), placed)
+
+
+def table_end(tops: Column, heading_bottom: Column, page_height: Column) -> Column:
+    """L-07: down to the first summary word below the headings, or to 95 % of the page."""
+    default = page_height * DEFAULT_END
+    return F.coalesce(F.least(F.array_min(F.filter(tops, lambda y: y >= heading_bottom)), default), default)
+
+
 def heading_bands(blocks: DataFrame) -> DataFrame:
-    """L-05: the headings of each page's table: of all bands of 40 above and below a heading the first with the most columns, if it has two."""
-    b = named(_sized(blocks).where(F.col("box.top") > F.col("page_height") * FLOOR))
-    b = b.select(*PAGE, "page_width", "page_height", "block", "name", F.col("box.cy").alias("cy"), "box")
-    near = Window.partitionBy(*PAGE).orderBy("cy").rangeBetween(-BAND, BAND)
-    b = b.withColumn("n", F.size(F.collect_set("name").over(near)))
-    page = Window.partitionBy(*PAGE)
-    b = b.withColumn("most", F.max("n").over(page)).where("most >= 2")
-    b = b.withColumn("seed", F.min(F.when(F.col("n") == F.col("most"), F.col("cy"))).over(page))
-    return b.where(F.abs(F.col("cy") - F.col("seed")) <= BAND).drop("n", "most", "seed")
+    """L-05: (…, page_width, page_height, block, name, cy, box): the headings of each page's table."""
+    b = _sized(blocks)
+    page = b.select(*PAGE, once(F.upper(F.trim("text")), lambda up: _heading(up, "box")).alias("_h")).groupBy(*PAGE).agg(F.collect_list("_h").alias("_h"))
+    return page.select(*PAGE, F.inline(band(F.col("_h")))).select(*PAGE, "page_width", "page_height", "block", "name", "cy", "box")
 
 
 def column_ranges(bands: DataFrame) -> DataFrame:
-    """L-06: (…, name, place, x_min, x_max, heading_top, heading_bottom): columns share the page at their gutters, or between their centres where they touch."""
-    c = bands.groupBy(*PAGE, "page_width", "page_height", "name").agg(
-        F.min("box.left").alias("x0"), F.max("box.right").alias("x1"), F.min("box.top").alias("top"), F.max("box.bottom").alias("bottom"), F.min(F.struct("cy", "block")).alias("first"))
-    c = c.withColumn("cx", (F.col("x0") + F.col("x1")) / 2)
-    order, page = Window.partitionBy(*PAGE).orderBy("cx", "first"), Window.partitionBy(*PAGE)
-    c = c.select(
-        "*", F.row_number().over(order).alias("place"), F.lag(F.struct("x0", "x1", "cx")).over(order).alias("prev"), F.lead(F.struct("x0", "x1", "cx")).over(order).alias("next"),
-        F.min("top").over(page).alias("heading_top"), (F.max("bottom").over(page) + BELOW_HEADING).alias("heading_bottom"))
-    border = lambda a, b: F.when(a["x1"] < b["x0"], (a["x1"] + b["x0"]) / 2).otherwise((a["cx"] + b["cx"]) / 2)
-    me, prev, after = F.struct("x0", "x1", "cx"), F.col("prev"), F.col("next")
-    left = F.when(prev.isNull(), 0.0).otherwise(border(prev, me))
-    right = F.when(after.isNull(), F.col("page_width")).otherwise(border(me, after))
-    right = F.when((F.col("name") == "description") & after.isNotNull(), F.least(right, after["x0"] - 2)).otherwise(right)
-    return c.select(*PAGE, "page_height", "name", "place", F.bround(left, 1).alias("x_min"), F.bround(right, 1).alias("x_max"), "heading_top", "heading_bottom")
+    """L-06: (…, page_height, name, place, x_min, x_max, heading_top, heading_bottom) of each page's heading band."""
+    h = F.struct("cy", "block", "name", "page_width", "page_height", F.col("box.left").alias("left"), F.col("box.right").alias("right"), F.col("box.top").alias("top"), F.col("box.bottom").alias("bottom"))
+    return bands.groupBy(*PAGE).agg(F.collect_list(h).alias("_h")).select(*PAGE, F.inline(ranges(F.col("_h"))))
 
 
 def table_regions(blocks: DataFrame, columns: DataFrame) -> DataFrame:
-    """L-07: (…, heading_top, heading_bottom, table_end): down to the first summary word below the headings, or to 95 % of the page."""
+    """L-07: (…, heading_top, heading_bottom, table_end) of each page with columns."""
     head = columns.groupBy(*PAGE).agg(F.first("page_height").alias("page_height"), F.first("heading_top").alias("heading_top"), F.first("heading_bottom").alias("heading_bottom"))
-    ends = blocks.where(begins_summary(F.col("text"))).select(*PAGE, F.col("box.top").alias("y0")).join(head.select(*PAGE, "heading_bottom"), PAGE)
-    ends = ends.where("y0 >= heading_bottom").groupBy(*PAGE).agg(F.min("y0").alias("y0"))
-    default = F.col("page_height") * DEFAULT_END
-    return head.join(ends, PAGE, "left").select(*PAGE, "heading_top", "heading_bottom", F.coalesce(F.least("y0", default), default).alias("table_end"))
+    tops = blocks.where(begins_summary(F.upper(F.trim("text")))).groupBy(*PAGE).agg(F.collect_list("box.top").alias("_y"))
+    return head.join(tops, PAGE, "left").select(*PAGE, "heading_top", "heading_bottom", table_end(F.col("_y"), F.col("heading_bottom"), F.col("page_height")).alias("table_end"))
 
 
-def row_lines(body: DataFrame) -> DataFrame:
-    """L-08, W-08: adds ``line``: a block joins the running line if it overlaps it by over 30 % of its height, or its centre is near the line's mean centre."""
-    geometry = F.struct(F.col("box.cy").alias("cy"), F.col("box.left").alias("left"), "block", F.col("box.top").alias("top"), F.col("box.bottom").alias("bottom"), "text", "confidence", "box")
-    start = F.struct(F.lit(0).alias("line"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom"), F.array().cast("array<int>").alias("lines"))
+def _geometry() -> Column:
+    return F.struct(F.col("box.cy").alias("cy"), F.col("box.left").alias("left"), "block", F.col("box.top").alias("top"), F.col("box.bottom").alias("bottom"), "text", "confidence", "box")
 
-    def step(s: Column, b: Column) -> Column:
-        high = F.greatest(s["bottom"] - s["top"], b["bottom"] - b["top"], F.lit(10.0))
-        overlap = F.least(s["bottom"], b["bottom"]) - F.greatest(s["top"], b["top"])
-        near = F.abs(b["cy"] - s["sum"] / F.greatest(s["n"], F.lit(1))) <= F.greatest(F.lit(14.0), high * 0.65)
-        joins = (s["n"] > 0) & ((overlap > 0.3 * high) | near)
 
-        def moved(j: Column) -> Column:
-            line = F.when(j | (s["n"] == 0), s["line"]).otherwise(s["line"] + 1)
-            return F.struct(
-                line.alias("line"), (F.when(j, s["sum"]).otherwise(0.0) + b["cy"]).alias("sum"), (F.when(j, s["n"]).otherwise(0) + 1).alias("n"),
-                F.when(j, F.least(s["top"], b["top"])).otherwise(b["top"]).alias("top"), F.when(j, F.greatest(s["bottom"], b["bottom"])).otherwise(b["bottom"]).alias("bottom"),
-                F.concat(s["lines"], F.array(line)).alias("lines"))
+def _line_starts(body: Column) -> Column:
+    """L-08, W-08 on a page's sorted blocks: where lines begin."""
+    return running.extent_lines(body["cy"], body["top"], body["bottom"])
 
-        return once(joins, moved)
 
-    page = body.groupBy(*PAGE).agg(F.array_sort(F.collect_list(geometry)).alias("_b"))
-    lines = page.select(*PAGE, "_b", F.aggregate("_b", start, step)["lines"].alias("_l"))
-    return lines.select(*PAGE, F.inline(F.transform("_b", lambda b, i: F.struct(*[b[c].alias(c) for c in ("block", "text", "confidence", "box")], F.get("_l", i).alias("line")))))
+def row_lines(body: DataFrame) -> DataFrame:
+    """L-08, W-08: adds ``line``: a block joins the running line if it overlaps it by over 30 % of its height, or its centre is near the line's mean centre."""
+    page = body.groupBy(*PAGE).agg(F.array_sort(F.collect_list(_geometry())).alias("_b")).withColumn("_s", _line_starts(F.col("_b")))
+    tagged = F.transform(running.segments(F.col("_b"), F.col("_s")), lambda part, i: F.transform(part, lambda b: F.struct(*[b[c].alias(c) for c in ("block", "text", "confidence", "box")], i.alias("line"))))
+    return page.select(*PAGE, F.inline(F.flatten(tagged)))
+
+
+def _cell(parts: Column, name: str | None) -> Column:
+    """The texts of a line's cell from left to right (of the whole line: no name)."""
+    some = parts if name is None else F.filter(parts, lambda p: p["name"] == name)
+    return F.array_join(F.transform(some, lambda p: p["text"]), " ")
 
 
 def line_items(blocks: DataFrame) -> DataFrame:
@@ -140,33 +169,46 @@ def line_items(blocks: DataFrame) -> DataFrame:
     description of the item above (by their description cell, else by all their text); those above the first
     item are left out. Texts of a cell stand from left to right; confidence is the mean over the first line's cells.
     """
-    b = _sized(blocks)
-    columns = Workspace(blocks.sparkSession, "line-tables").keep(column_ranges(heading_bands(blocks)))  # a few rows for each page
-    body = b.join(table_regions(b, columns), PAGE).where("text <> '' AND box.top >= heading_bottom").where(F.col("box.bottom") <= F.col("table_end") + BELOW_END)
-    body = row_lines(body)
-    ranges = columns.groupBy(*PAGE).agg(F.collect_list(F.struct("place", "name", "x_min", "x_max")).alias("columns"))
-
-    def shared(c: Column) -> Column:
-        inside = F.when(F.col("box.cx").between(c["x_min"], c["x_max"]), 10.0).otherwise(0.0)
-        return F.greatest(F.lit(0.0), F.least(c["x_max"], F.col("box.right")) - F.greatest(c["x_min"], F.col("box.left"))) + inside
-
-    # the column that is overlapped most, the left one of equals
-    best = F.array_max(F.transform("columns", lambda c: F.struct(shared(c).alias("by"), (-c["place"]).alias("place"), c["name"].alias("name"))))
-    placed = body.join(ranges, PAGE).withColumn("best", best).select(
-        *PAGE, "line", "block", "text", "confidence", F.col("box.left").alias("left"), F.when(F.col("best.by") > 0, F.col("best.name")).alias("name"))
-    joined = lambda parts: F.array_join(F.transform(F.array_sort(parts), lambda x: x["text"]), " ")
-    part = F.struct("left", "block", "text")
-    cell = lambda name: joined(F.collect_list(F.when(F.col("name") == name, part)))
-    lines = placed.groupBy(*PAGE, "line").agg(
-        *[cell(name).alias(name) for name in HEADINGS], joined(F.collect_list(part)).alias("whole"), F.avg(F.when(F.col("name").isNotNull(), F.col("confidence"))).alias("confidence"))
-    starts = F.col("item_number").rlike(r"\d")
-    for name in NUMERIC:
-        starts = starts | (F.col(name) != "")
-    order = Window.partitionBy(*PAGE).orderBy("line")
-    lines = lines.withColumns({"begins": starts, "item": F.sum(starts.cast("int")).over(order)}).where("item > 0")
-    says = F.when(F.col("begins") | (F.col("description") != ""), F.col("description")).otherwise(F.col("whole"))
-    head = lambda c: F.min_by(c, "line")
-    pieces = F.filter(F.array_sort(F.collect_list(F.struct("line", says.alias("text")))), lambda x: x["text"] != "")
-    return lines.groupBy(*PAGE, "item").agg(
-        *[F.nullif(head(n), F.lit("")).alias(n) for n in HEADINGS if n != "description"],
-        F.array_join(F.transform(pieces, lambda x: x["text"]), " ").alias("description"), F.round(F.coalesce(head("confidence"), F.lit(1.0)), 4).alias("confidence"))
+    geometry = F.struct(F.col("box.cy").alias("cy"), F.col("box.left").alias("left"), "block", F.col("box.top").alias("top"), F.col("box.bottom").alias("bottom"), "text", "confidence", F.col("box.right").alias("right"), F.col("box.cx").alias("cx"))
+    marks = once(F.upper(F.trim("text")), lambda up: F.struct(_heading(up).alias("h"), F.when(begins_summary(up), F.col("box.top")).alias("y")))
+    b = _sized(blocks).select(*PAGE, marks.alias("_m"), F.when(F.col("text") != "", geometry).alias("_b"))
+    page = b.groupBy(*PAGE).agg(F.collect_list("_m.h").alias("_h"), F.collect_list("_m.y").alias("_y"), F.collect_list("_b").alias("_b"))  # the blocks of one page
+
+    def end(c: Column) -> Column:
+        return F.struct(c.alias("columns"), c[0]["heading_bottom"].alias("top"), table_end(F.col("_y"), c[0]["heading_bottom"], c[0]["page_height"]).alias("end"))
+
+    def inside(t: Column) -> Column:
+        body = F.filter("_b", lambda x: (x["top"] >= t["top"]) & (x["bottom"] <= t["end"] + BELOW_END))
+        return F.struct(t["columns"].alias("c"), F.array_sort(body).alias("b"))
+
+    table = once(once(band(F.col("_h")), ranges), lambda c: F.when(F.size(c) > 0, once(end(c), inside)))
+    page = page.select(*PAGE, table.alias("_t")).select(*PAGE, F.col("_t.c").alias("_c"), F.col("_t.b").alias("_b"))  # null: a page without a table
+
+    def part(x: Column) -> Column:
+        def shared(c: Column) -> Column:
+            inside = F.when(x["cx"].between(c["x_min"], c["x_max"]), 10.0).otherwise(0.0)
+            return F.greatest(F.lit(0.0), F.least(c["x_max"], x["right"]) - F.greatest(c["x_min"], x["left"])) + inside
+
+        # the column that is overlapped most, the left one of equals
+        best = F.array_max(F.transform("_c", lambda c: F.struct(shared(c).alias("by"), (-c["place"]).alias("place"), c["name"].alias("name"))))
+        return once(best, lambda t: F.struct(
+            x["left"].alias("left"), x["block"].alias("block"), x["text"].alias("text"), F.when(t["by"] > 0, t["name"]).alias("name"), x["confidence"].alias("confidence")))
+
+    page = page.withColumn("_s", _line_starts(F.col("_b")))
+    lines = F.transform(running.segments(F.col("_b"), F.col("_s")), lambda xs: F.array_sort(F.transform(xs, part)))
+    page = page.select(*PAGE, lines.alias("_l"))
+    begins = lambda parts: F.exists(parts, lambda p: F.coalesce(p["name"].isin(NUMERIC) | ((p["name"] == "item_number") & p["text"].rlike(r"\d")), F.lit(False)))
+    at = F.filter(F.transform("_l", lambda parts, i: F.when(begins(parts), i)), lambda i: i.isNotNull())
+
+    def says(parts: Column, i: Column) -> Column:
+        return once(_cell(parts, "description"), lambda d: F.when((i == 0) | (d != ""), d).otherwise(_cell(parts, None)))
+
+    def item(lines: Column, i: Column) -> Column:
+        head = lines[0]
+        sure = F.transform(F.filter(head, lambda p: p["name"].isNotNull() & p["confidence"].isNotNull()), lambda p: p["confidence"])
+        mean = once(sure, lambda c: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)))
+        return F.struct(
+            (i + 1).cast("bigint").alias("item"), *[F.nullif(_cell(head, n), F.lit("")).alias(n) for n in HEADINGS if n != "description"],
+            F.array_join(F.filter(F.transform(lines, says), lambda t: t != ""), " ").alias("description"), F.round(F.coalesce(mean, F.lit(1.0)), 4).alias("confidence"))
+
+    return page.select(*PAGE, F.inline(once(at, lambda starts: F.transform(running.segments(F.col("_l"), starts), item))))

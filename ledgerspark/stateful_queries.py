@@ -235,13 +235,11 @@ def _invoice_pages(spark, sf_dir) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     li = read(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(w))
     lines = F.col("l_partkey") % 3
-    y = 240.0 + F.col("n") * 80
-    high = 8.0 + F.col("l_suppkey") % 5
+    li = li.withColumns({"y": 240.0 + F.col("n") * 80, "high": 8.0 + F.col("l_suppkey") % 5})
+    y, high = F.col("y"), F.col("high")
 
     def at(text, x, y, width, height, block, confidence=0.9):
-        box = F.struct(F.lit(x).cast("double").alias("left"), y.alias("top"), F.lit(x + width).cast("double").alias("right"), (y + height).alias("bottom"),
-                       F.lit(x + width / 2).cast("double").alias("cx"), (y + height / 2).alias("cy"), height.cast("double").alias("height"))
-        return F.struct(text.alias("text"), box.alias("box"), block.cast("bigint").alias("block"), F.lit(confidence).alias("confidence"))
+        return F.struct(text.alias("text"), F.lit(float(x)).alias("x"), y.alias("y"), F.lit(float(width)).alias("width"), height.cast("double").alias("high"), block.cast("bigint").alias("block"), F.lit(confidence).alias("confidence"))
 
     k = F.col("n") * 10
     rows = F.array(
@@ -249,16 +247,22 @@ def _invoice_pages(spark, sf_dir) -> DataFrame:
         at(F.col("l_extendedprice").cast("decimal(15,2)").cast("string"), 705, y + 1, 60, high, k + 3),
         at(F.when(lines > 0, F.concat(F.lit("from "), "l_suppkey")).otherwise(""), 102, y + 22, 60, high, k + 4), at(F.when(lines > 0, F.lit("by")).otherwise(""), 200, y + 24, 20, high, k + 5),
         at(F.when(lines > 1, F.lower("l_linestatus")).otherwise(""), 104, y + 44, 60, high, k + 6))
-    body = li.select(F.col("l_orderkey").alias("document_id"), F.inline(rows))
     c = lambda text, x, y, width, block: at(F.lit(text), x, F.lit(float(y)), width, F.lit(10.0), F.lit(block))
     fixed = [("Quantity", 10, 10, 60), ("Price", 200, 10, 50), ("Vat", 400, 10, 30), ("Gross Amount", 600, 10, 90), ("Pos", 10, 120, 30), ("Qty", 500, 120, 30),
              ("No.", 10, 200, 30), ("Item Description", 100, 205, 150), ("Qty", 500, 200, 40), ("Net Worth", 700, 196, 90)]
     frame = [c(t, x, y, width, 1_000_000 + i) for i, (t, x, y, width) in enumerate(fixed)]
     # every second page ends with a sum; the others with a remark below 95 % of their height
-    last = F.when(F.col("document_id") % 2 == 0, c("Total Net", 600, 1890, 60, 2_000_000)).otherwise(c("7", 505, 1950, 10, 2_000_000))
+    last = F.when(F.col("l_orderkey") % 2 == 0, c("Total Net", 600, 1890, 60, 2_000_000)).otherwise(c("7", 505, 1950, 10, 2_000_000))
     late = c("9 days net", 505, 1960, 60, 2_000_001)
-    page = body.select("document_id").distinct().select("document_id", F.inline(F.array(*frame, last, late)))
-    return body.unionByName(page).withColumns({"page_number": F.lit(1), "page_width": F.lit(1000.0), "page_height": F.lit(2000.0)})
+    # the order's first line brings the page's own blocks: all blocks come from one pass over the lines
+    own = F.when(F.col("n") == 1, F.concat(F.array(*frame), F.array(last, late))).otherwise(F.array().cast("array<struct<text:string,x:double,y:double,width:double,high:double,block:bigint,confidence:double>>"))
+    every = F.concat(rows, own)
+    page = li.select(F.col("l_orderkey").alias("document_id"), F.inline(every))
+    # boxes are made after the blocks stand in rows of their own: code for one box, not for a page of them
+    box = F.struct(F.col("x").alias("left"), F.col("y").alias("top"), (F.col("x") + F.col("width")).alias("right"), (F.col("y") + F.col("high")).alias("bottom"),
+                   (F.col("x") + F.col("width") / 2).alias("cx"), (F.col("y") + F.col("high") / 2).alias("cy"), F.col("high").alias("height"))
+    page = page.select("document_id", "text", box.alias("box"), "block", "confidence")
+    return page.withColumns({"page_number": F.lit(1), "page_width": F.lit(1000.0), "page_height": F.lit(2000.0)})
 
 
 @query("""
