@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.text import lookup, once
+from ledgerspark.functions.text import lookup, once, some_word
 from ledgerspark.operators.chunking import INTACT, STEP, TERM_TRIGGERS, WINDOW
 
 CHUNK = "struct<chunk_type:string,section:string,content:string>"
@@ -23,7 +23,8 @@ def _chunk(kind: str, section: str, content: Column) -> Column:
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """White space of a pattern's kind off both ends."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def _no_chunks() -> Column:
@@ -41,36 +42,40 @@ def _filled(lines: Column) -> Column:
 def table_chunks(body: Column) -> Column:
     """C-04 on text: one chunk up to ``INTACT`` rows, else windows, each under the table's heading."""
 
+    whole = lambda content: F.array(_chunk("LINE_ITEMS", "LINE_ITEMS", content))
+
     def cut(lines: Column) -> Column:
         rows, rest = F.filter(lines, lambda s: _strip(s).startswith("|")), F.filter(lines, lambda s: ~_strip(s).startswith("|"))
+        return once(F.struct(rows.alias("rows"), rest.alias("rest")), sized)
 
-        def by_rows(t: Column) -> Column:
-            ruled = F.coalesce(F.get(t["rows"], 1).rlike("---|==="), F.lit(False))
-            n_head = F.when(ruled, 2).otherwise(1)
-            head = F.slice(t["rows"], F.lit(1), n_head)
-            data = F.slice(t["rows"], n_head + 1, F.size(t["rows"]))
-            n = F.size(data)
-            whole = F.concat(F.when(F.size(t["rest"]) > 0, F.concat(_joined(t["rest"]), F.lit("\n\n"))).otherwise(""), _joined(t["rows"]))
-            starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(STEP)), lambda s: (s == 0) | (s - STEP + WINDOW < n))
-            windows = F.transform(starts, lambda s: _chunk("LINE_ITEMS", "LINE_ITEMS", _joined(F.concat(head, F.slice(data, s + 1, F.lit(WINDOW))))))
-            return F.when(F.size(t["rows"]) == 0, F.array(_chunk("LINE_ITEMS", "LINE_ITEMS", _strip(body)))).when(
-                n <= INTACT, F.array(_chunk("LINE_ITEMS", "LINE_ITEMS", whole))).otherwise(windows)
+    def sized(t: Column) -> Column:
+        second = F.get(t["rows"], 1)
+        n_head = F.when(F.contains(second, F.lit("---")) | F.contains(second, F.lit("===")), 2).otherwise(1)
+        return once(n_head, lambda h: once(F.struct(t["rows"].alias("rows"), t["rest"].alias("rest"), h.alias("head"), F.greatest(F.size(t["rows"]) - h, F.lit(0)).alias("n")), by_rows))
 
-        return once(F.struct(rows.alias("rows"), rest.alias("rest")), by_rows)
+    def by_rows(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(t["n"] - 1, F.lit(0)), F.lit(STEP)), lambda s: (s == 0) | (s - STEP + WINDOW < t["n"]))
+        windows = once(F.slice(t["rows"], F.lit(1), t["head"]), lambda head: F.transform(
+            starts, lambda s: _chunk("LINE_ITEMS", "LINE_ITEMS", _joined(F.concat(head, F.slice(t["rows"], t["head"] + s + 1, F.lit(WINDOW)))))))
+        intact = F.concat(F.when(F.size(t["rest"]) > 0, F.concat(_joined(t["rest"]), F.lit("\n\n"))).otherwise(""), _joined(t["rows"]))
+        return F.when(F.size(t["rows"]) == 0, whole(_strip(body))).when(t["n"] <= INTACT, whole(intact)).otherwise(windows)
 
     return once(_filled(F.split(body, "\n")), cut)
 
 
 def summary_chunks(body: Column) -> Column:
     """C-05 on text: SUMMARY up to the first line with a trigger, TERMS from there on."""
-    trigger = "|".join(TERM_TRIGGERS)
+    # as in the lower case of the text, where the Kelvin sign is a k
+    trigger = "(?i)" + some_word(TERM_TRIGGERS).replace("k", "[k\u212a]")
 
     def cut(lines: Column) -> Column:
-        at = F.array_position(F.transform(lines, lambda s: F.lower(s).rlike(trigger)), True)
-        before = F.when(at > 0, F.slice(lines, F.lit(1), at.cast("int") - 1)).otherwise(lines)
-        after = F.when(at > 0, F.slice(lines, at.cast("int"), F.size(lines)))
+        return once(F.array_position(F.transform(lines, lambda s: s.rlike(trigger)), True).cast("int"), lambda at: parts(lines, at))
+
+    def parts(lines: Column, at: Column) -> Column:
+        before = F.when(at > 0, F.slice(lines, F.lit(1), at - 1)).otherwise(lines)
+        after = F.when(at > 0, F.slice(lines, at, F.size(lines)))
         return F.array_compact(F.array(
-            F.when(F.size(before) > 0, _chunk("SUMMARY", "TOTALS", _joined(before))), F.when(at > 0, _chunk("TERMS", "PAYMENT", _joined(after)))))
+            once(before, lambda b: F.when(F.size(b) > 0, _chunk("SUMMARY", "TOTALS", _joined(b)))), F.when(at > 0, _chunk("TERMS", "PAYMENT", _joined(after)))))
 
     return once(F.transform(_filled(F.split(body, "\n")), _strip), cut)
 
@@ -96,24 +101,23 @@ def plain_chunks(page: Column) -> Column:
     """C-03: a page without marks: HEADER, the first pipe table, then summary and terms; without a table, summary and terms alone."""
 
     def cut(lines: Column) -> Column:
-        piped = F.transform(lines, lambda s: s.rlike(r"^\|.*(---|\|)"))
-        bars = F.transform(lines, lambda s: s.startswith("|"))
-        first = F.array_position(piped, True).cast("int")  # 1-based
-        start = F.when((first > 1) & F.get(bars, first - 2), first - 1).otherwise(first)
-        run = F.array_position(F.slice(bars, F.greatest(first, F.lit(1)), F.size(lines)), False).cast("int")  # the first line below that has no bar
-        stop = F.when(run > 0, first + run - 2).otherwise(F.size(lines))
-
-        def placed(t: Column) -> Column:
-            inside = F.slice(piped, t["first"], F.greatest(t["stop"] - t["first"] + 1, F.lit(1)))
-            last = t["stop"] - F.array_position(F.reverse(inside), True).cast("int") + 1
-            above = _filled(F.slice(lines, F.lit(1), F.greatest(t["start"] - 1, F.lit(0))))
-            table = F.slice(lines, t["start"], last - t["start"] + 1)
-            below = F.slice(lines, last + 1, F.size(lines))
-            return F.concat(
-                F.when(F.size(above) > 0, F.array(_chunk("HEADER", "HEADER", _joined(above)))).otherwise(_no_chunks()),
-                table_chunks(_joined(table)), summary_chunks(_joined(below)))
-
-        return F.when(first > 0, once(F.struct(first.alias("first"), start.alias("start"), stop.alias("stop")), placed)).otherwise(summary_chunks(page))
+        piped = F.transform(lines, lambda s: s.startswith("|") & s.rlike(r"^\|.*(---|\|)"))
+        # the first such line, 1-based; what depends on it names it once
+        return once(piped, lambda p: once(F.array_position(p, True).cast("int"), lambda first: F.when(first > 0, with_table(lines, p, first)).otherwise(summary_chunks(page))))
+
+    def with_table(lines: Column, piped: Column, first: Column) -> Column:
+        start = F.when((first > 1) & F.get(lines, first - 2).startswith("|"), first - 1).otherwise(first)
+        below = F.transform(F.slice(lines, first, F.size(lines)), lambda s: s.startswith("|"))
+        run = F.array_position(below, False).cast("int")  # the first line below that has no bar
+        stop = once(run, lambda r: F.when(r > 0, first + r - 2).otherwise(F.size(lines)))
+        last = once(stop, lambda e: e - F.array_position(F.reverse(F.slice(piped, first, F.greatest(e - first + 1, F.lit(1)))), True).cast("int") + 1)
+        return once(F.struct(start.alias("start"), last.alias("last")), lambda t: placed(lines, t))
+
+    def placed(lines: Column, t: Column) -> Column:
+        above = _filled(F.slice(lines, F.lit(1), F.greatest(t["start"] - 1, F.lit(0))))
+        head = once(above, lambda a: F.when(F.size(a) > 0, F.array(_chunk("HEADER", "HEADER", _joined(a)))).otherwise(_no_chunks()))
+        table, below = F.slice(lines, t["start"], t["last"] - t["start"] + 1), F.slice(lines, t["last"] + 1, F.size(lines))
+        return F.concat(head, table_chunks(_joined(table)), summary_chunks(_joined(below)))
 
     return once(F.transform(F.split(page, "\n"), _strip), cut)
 
