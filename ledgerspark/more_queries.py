@@ -175,22 +175,20 @@ def bbox_references(spark, sf_dir):
 
 def _blocks(spark, sf_dir):
     """A page of blocks for every order: two parties, a table of its lines, a total."""
-    li = _numbered(spark, sf_dir)
-    one = lambda x, y, w, t, n: F.struct(F.lit(n).alias("block"), t.alias("text"), F.array(*[F.array(F.lit(a), b) for a, b in ((x, y), (x + w, y), (x + w, y + 10.0), (x, y + 10.0))]).alias("polygon"))
-    y = 200.0 + 20.0 * F.col("n")
-    cells = F.array(
-        F.struct((F.col("n") * 10).alias("block"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("text"), F.array(F.array(F.lit(10.0), y), F.array(F.lit(100.0), y + 10)).alias("polygon")),
-        F.struct((F.col("n") * 10 + 1).alias("block"), F.col("l_quantity").cast("int").cast("string").alias("text"), F.array(F.array(F.lit(210.0), y), F.array(F.lit(240.0), y + 10)).alias("polygon")))
-    rows = li.select(F.col("l_orderkey").alias("document_id"), F.explode(cells).alias("b"))
-    fixed = F.array(
-        one(10.0, F.lit(20.0), 200.0, F.concat(F.lit("Invoice "), F.col("l_orderkey").cast("string")), 0), one(10.0, F.lit(100.0), 100.0, F.lit("Seller:"), 1),
-        one(10.0, F.lit(120.0), 100.0, F.concat(F.lit("S "), F.col("l_orderkey").cast("string")), 2), one(580.0, F.lit(100.0), 100.0, F.lit("Client: C"), 3),
-        one(10.0, F.lit(200.0), 90.0, F.lit("Description"), 4), one(210.0, F.lit(200.0), 60.0, F.lit("Qty"), 5), one(10.0, F.lit(700.0), 90.0, F.lit("Total 5"), 9999))
-    page = li.select("l_orderkey").distinct().select(F.col("l_orderkey").alias("document_id"), F.explode(fixed).alias("b"))
-    every = rows.unionByName(page)
-    return every.select(
-        "document_id", F.lit(1).alias("page_number"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), "b.block", "b.text",
-        F.lit(0.9).alias("confidence"), layout.bounds(F.col("b.polygon")).alias("box"))
+    li = _numbered(spark, sf_dir).withColumn("y", 200.0 + 20.0 * F.col("n"))
+    k, y = F.col("l_orderkey").cast("string"), F.col("y")
+    at = lambda n, t, x, y, w: F.struct(n.cast("int").alias("block"), t.alias("text"), F.lit(float(x)).alias("x"), y.alias("y"), F.lit(float(w)).alias("w"))
+    cells = F.array(at(F.col("n") * 10, F.concat(F.lit("Part "), F.col("l_partkey").cast("string")), 10, y, 90), at(F.col("n") * 10 + 1, F.col("l_quantity").cast("int").cast("string"), 210, y, 30))
+    c = lambda n, t, x, y, w: at(F.lit(n), F.lit(t), x, F.lit(float(y)), w)
+    fixed = F.array(c(1, "Seller:", 10, 100, 100), c(3, "Client: C", 580, 100, 100), c(4, "Description", 10, 200, 90), c(5, "Qty", 210, 200, 60), c(9999, "Total 5", 10, 700, 90))
+    named = F.array(at(F.lit(0), F.concat(F.lit("Invoice "), k), 10, F.lit(20.0), 200), at(F.lit(2), F.concat(F.lit("S "), k), 10, F.lit(120.0), 100))
+    # the order's first line brings the page's own blocks: all blocks come from one pass over the lines
+    own = F.when(F.col("n") == 1, F.concat(fixed, named)).otherwise(F.array().cast("array<struct<block:int,text:string,x:double,y:double,w:double>>"))
+    rows = li.select(F.col("l_orderkey").alias("document_id"), F.inline(F.concat(cells, own)))
+    polygon = F.array(*[F.array(x, y) for x, y in ((F.col("x"), F.col("y")), (F.col("x") + F.col("w"), F.col("y")), (F.col("x") + F.col("w"), F.col("y") + 10), (F.col("x"), F.col("y") + 10))])
+    return rows.select(
+        "document_id", F.lit(1).alias("page_number"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), "block", "text",
+        F.lit(0.9).alias("confidence"), layout.bounds(polygon).alias("box"))
 
 
 @query("""
@@ -217,8 +215,7 @@ SELECT l_orderkey AS document_id, n.name, CASE n.name WHEN 'description' THEN 'P
 """)
 def table_cells(spark, sf_dir):
     """L-05 to L-09, J-12, A-19, W-08: rows clustered, headings found, blocks put into columns."""
-    rows = layout.cluster_rows(_blocks(spark, sf_dir))
-    cells = layout.table_cells(rows, layout.table_columns(rows))
+    cells = layout.table_cells(_blocks(spark, sf_dir))
     return cells.select("document_id", "name", "text", F.round("confidence", 6).alias("confidence"))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.functions.text import once
+from ledgerspark.operators import running
 from ledgerspark.operators.chunking import heading
 
 ROW_BAND, META_SHARE = 12.0, 0.12
@@ -18,11 +20,16 @@ SUMMARY_WORDS = ["summary", "subtotal", "sub total", "grand total", "total", "am
 
 def bounds(polygon: Column) -> Column:
     """L-01: (left, top, right, bottom, cx, cy, height) of a polygon [[x, y], ...]."""
-    xs, ys = F.transform(polygon, lambda p: p[0]), F.transform(polygon, lambda p: p[1])
-    left, right, top, bottom = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
-    return F.struct(
-        left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"),
-        ((left + right) / 2).alias("cx"), ((top + bottom) / 2).alias("cy"), (bottom - top).alias("height"))
+    def box(p: Column) -> Column:
+        return F.struct(
+            p["left"].alias("left"), p["top"].alias("top"), p["right"].alias("right"), p["bottom"].alias("bottom"),
+            ((p["left"] + p["right"]) / 2).alias("cx"), ((p["top"] + p["bottom"]) / 2).alias("cy"), (p["bottom"] - p["top"]).alias("height"))
+
+    def extent(xs: Column, ys: Column) -> Column:
+        return F.struct(F.array_min(xs).alias("left"), F.array_max(xs).alias("right"), F.array_min(ys).alias("top"), F.array_max(ys).alias("bottom"))
+
+    sides = F.struct(F.transform(polygon, lambda p: p[0]).alias("x"), F.transform(polygon, lambda p: p[1]).alias("y"))
+    return once(sides, lambda s: once(extent(s["x"], s["y"]), box))
 
 
 def flat_blocks(results: DataFrame, pages: str = "raw_blocks") -> DataFrame:
@@ -64,68 +71,92 @@ def full_text(ordered: DataFrame) -> DataFrame:
 def cluster_rows(blocks: DataFrame) -> DataFrame:
     """L-08, W-08: adds ``row``: a block joins the row above while it is near the running mean of that row's centres."""
     sorted_blocks = F.array_sort(F.collect_list(F.struct(F.col("box.cy").alias("cy"), F.col("box.left").alias("left"), "block", "text", "box", "confidence")))
-    start = F.struct(F.lit(0).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("rows"))
+    page = blocks.groupBy("document_id", "page_number").agg(sorted_blocks.alias("_b"))  # the blocks of one page
+    page = page.withColumn("_s", running.mean_lines(F.col("_b.cy"), F.col("_b.box.height")))
+    fields = ("cy", "left", "block", "text", "box", "confidence")
+    tagged = F.transform(running.segments(F.col("_b"), F.col("_s")), lambda part, i: F.transform(part, lambda b: F.struct(i.alias("row"), *[b[c].alias(c) for c in fields])))
+    return page.select("document_id", "page_number", F.inline(F.flatten(tagged)))
 
-    def step(s, b):
-        mean = F.when(s["n"] > 0, s["sum"] / s["n"])
-        near = F.coalesce(F.abs(b["cy"] - mean) <= F.greatest(F.lit(8.0), b["box"]["height"] * 0.6), F.lit(False))
-        row = F.when(near | (s["n"] == 0), s["row"]).otherwise(s["row"] + 1)
-        return F.struct(
-            row.alias("row"), (F.when(near, s["sum"]).otherwise(0.0) + b["cy"]).alias("sum"), (F.when(near, s["n"]).otherwise(0) + 1).alias("n"),
-            F.concat(s["rows"], F.array(row)).alias("rows"))
 
-    page = blocks.groupBy("document_id", "page_number").agg(sorted_blocks.alias("_b"))  # the blocks of one page
-    page = page.withColumn("_r", F.aggregate("_b", start, step)["rows"])
-    return page.select("document_id", "page_number", F.inline(F.arrays_zip(F.col("_b").alias("b"), F.col("_r").alias("row")))).select("document_id", "page_number", "row", "b.*")
+def table_cells(blocks: DataFrame) -> DataFrame:
+    """L-05 to L-09, J-12, A-19: (document_id, page_number, row, name, text, confidence): blocks between the headings and the summary, each in the column it overlaps most.
+
+    The heading row has the most distinct headings (two at least), the first of equals. A page is gathered once; the steps are expressions over its rows.
+    """
+    words = "|".join(SUMMARY_WORDS)
+    b = blocks.select("document_id", "page_number", F.struct(
+        F.col("box.cy").alias("cy"), F.col("box.left").alias("left"), "block", "text", "box", "confidence", heading(F.col("text")).alias("name"),
+        F.coalesce(F.col("text").rlike(rf"(?i)^\s*({words})\b"), F.lit(False)).alias("sums")).alias("_b"))
+    page = b.groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list("_b")).alias("_b"))  # the blocks of one page
+    page = page.withColumn("_s", running.mean_lines(F.col("_b.cy"), F.col("_b.box.height")))
+    names = lambda part: F.array_distinct(F.filter(F.transform(part, lambda x: x["name"]), lambda n: n.isNotNull()))
 
+    def columns(part: Column) -> Column:
+        def one(n: Column) -> Column:
+            return once(F.filter(part, lambda x: x["name"] == n), lambda xs: F.struct(
+                F.array_min(F.transform(xs, lambda x: x["box"]["left"])).alias("left"), n.alias("name"), F.array_max(F.transform(xs, lambda x: x["box"]["right"])).alias("right")))
 
-def table_columns(rows: DataFrame) -> DataFrame:
-    """L-05, L-06: (document_id, page_number, header_row, name, from_x, to_x): the row with the most distinct headings (two at least)."""
-    named = rows.withColumn("name", heading(F.col("text"))).where("name IS NOT NULL")
-    best = named.groupBy("document_id", "page_number", "row").agg(F.count_distinct("name").alias("n")).where("n >= 2")
-    head = best.groupBy("document_id", "page_number").agg(F.max_by("row", F.struct("n", -F.col("row"))).alias("header_row"))
-    h = named.join(head, ["document_id", "page_number"]).where("row = header_row")
-    h = h.groupBy("document_id", "page_number", "header_row", "name").agg(F.min("box.left").alias("left"), F.max("box.right").alias("right"))
-    w = Window.partitionBy("document_id", "page_number").orderBy("left")
-    gap_left = (F.lag("right").over(w) + F.col("left")) / 2
-    gap_right = (F.col("right") + F.lead("left").over(w)) / 2
-    return h.select("document_id", "page_number", "header_row", "name", F.coalesce(gap_left, F.lit(0.0)).alias("from_x"), F.coalesce(gap_right, F.lit(1e9)).alias("to_x"))
+        return once(F.array_sort(F.transform(names(part), one)), lambda cs: F.transform(cs, lambda c, i: F.struct(
+            c["name"].alias("name"), F.when(i == 0, 0.0).otherwise((F.get(cs, i - 1)["right"] + c["left"]) / 2).alias("from_x"),
+            F.coalesce((c["right"] + F.get(cs, i + 1)["left"]) / 2, F.lit(1e9)).alias("to_x"))))
 
+    def placed(part: Column, cs: Column) -> Column:
+        def best(x: Column) -> Column:
+            by = lambda c: F.least(x["box"]["right"], c["to_x"]) - F.greatest(x["box"]["left"], c["from_x"]) + F.when(x["box"]["cx"].between(c["from_x"], c["to_x"]), 10.0).otherwise(0.0)
+            top = F.array_max(F.transform(cs, lambda c: F.struct(by(c).alias("by"), c["name"].alias("name"))))
+            return F.struct(x["left"].alias("left"), x["text"].alias("text"), x["confidence"].alias("confidence"), top["name"].alias("name"))
 
-def table_cells(rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """L-07, L-09, J-12, A-19: (…, row, name, text, confidence): blocks under the heading, each in the column it overlaps most."""
-    words = "|".join(SUMMARY_WORDS)
-    below = rows.join(columns, ["document_id", "page_number"]).where("row > header_row")
-    end = rows.where(F.col("text").rlike(rf"(?i)^\s*({words})\b")).select("document_id", "page_number", F.col("row").alias("end_row"))
-    head = columns.select("document_id", "page_number", "header_row").distinct()
-    end = end.join(head, ["document_id", "page_number"]).where("end_row > header_row").groupBy("document_id", "page_number").agg(F.min("end_row").alias("end_row"))
-    below = below.join(end, ["document_id", "page_number"], "left").where("end_row IS NULL OR row < end_row")
-    overlap = F.least("box.right", "to_x") - F.greatest("box.left", "from_x") + F.when(F.col("box.cx").between(F.col("from_x"), F.col("to_x")), 10.0).otherwise(0.0)
-    best = below.withColumn("overlap", overlap).groupBy("document_id", "page_number", "row", "block").agg(
-        F.max_by(F.struct("name", "text", "confidence", F.col("box.left").alias("left")), F.struct("overlap", "name")).alias("c"))
-    return best.groupBy("document_id", "page_number", "row", "c.name").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c.left", "c.text"))), lambda x: x["text"]), " ").alias("text"), F.avg("c.confidence").alias("confidence"))
+        return F.array_sort(F.transform(part, best))
+
+    def cells(parts: Column, row: Column) -> Column:
+        def cell(n: Column) -> Column:
+            def made(xs: Column) -> Column:
+                sure = F.filter(F.transform(xs, lambda x: x["confidence"]), lambda c: c.isNotNull())
+                mean = once(sure, lambda c: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)))
+                return F.struct(row.alias("row"), n.alias("name"), F.array_join(F.transform(xs, lambda x: x["text"]), " ").alias("text"), mean.alias("confidence"))
+
+            return once(F.filter(parts, lambda x: x["name"] == n), made)
+
+        return F.transform(names(parts), cell)
+
+    def table(lines: Column) -> Column:
+        best = F.array_max(F.transform(lines, lambda part, i: F.struct(F.size(names(part)).alias("n"), (-i).alias("up"))))
+        ends = F.filter(F.transform(lines, lambda part, i: F.when(F.exists(part, lambda x: x["sums"]), i)), lambda i: i.isNotNull())
+        def below(h: Column) -> Column:
+            end = F.coalesce(F.array_min(F.filter(ends, lambda i: i > h)), F.size(lines))
+            body = lambda t: F.transform(F.slice(lines, h + 2, t["end"] - h - 1), lambda part, i: once(placed(part, t["columns"]), lambda parts: cells(parts, h + 1 + i)))
+            return F.flatten(once(F.struct(columns(F.get(lines, h)).alias("columns"), end.alias("end")), body))
+
+        return once(best, lambda t: F.when(t["n"] >= 2, once(-t["up"], below)))
+
+    return page.select("document_id", "page_number", F.inline(once(running.segments(F.col("_b"), F.col("_s")), table)))
 
 
 def spatial_values(blocks: DataFrame, labels: list[str]) -> DataFrame:
     """E-17, J-11: (document_id, label, value, confidence): in the label's own block, else right of it, else below it.
 
-    Blocks meet only those of their page: an equi-join with band conditions.
+    Blocks meet the labels of their page only.
     """
     b = blocks.select("document_id", "page_number", "block", "text", "box")
+    text = F.lower(F.trim("text"))
     found = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("label")) for i, x in enumerate(labels)])
-    hits = b.withColumn("l", F.explode(found)).where(F.startswith(F.lower(F.trim("text")), F.lower(F.col("l.label"))))
+    hit = F.filter(found, lambda x: F.startswith(text, F.lower(x["label"])))
+    # the few label blocks of a page come to each of its blocks by a window: a page's rows are dealt out once
+    page = b.withColumn("_hit", F.when(F.size(hit) > 0, F.struct("block", "text", "box", hit.alias("l"))))
+    page = page.withColumn("_hits", F.collect_list("_hit").over(Window.partitionBy("document_id", "page_number")))
+    page = page.select("document_id", F.col("block").alias("ob"), F.col("text").alias("value"), F.col("box").alias("o"), F.explode("_hits").alias("h"))
+    page = page.select("document_id", "ob", "value", "o", F.col("h.block").alias("block"), F.col("h.text").alias("text"), F.col("h.box").alias("box"), F.explode("h.l").alias("l"))
     own = F.trim(F.regexp_replace(F.substr(F.trim("text"), F.length("l.label") + 1), r"^[\s:\-=]+", ""))
-    inside = hits.where(own != "").select("document_id", F.col("l.label").alias("label"), F.col("l.i").alias("i"), own.alias("value"), F.lit(0).alias("way"), F.lit(0.0).alias("gap"))
-    o = b.select("document_id", "page_number", F.col("block").alias("ob"), F.col("text").alias("value"), F.col("box").alias("o"))
-    near = hits.where(own == "").join(o, ["document_id", "page_number"]).where("ob <> block")
     right = F.col("o.left") - F.col("box.right")
     below = F.col("o.top") - F.col("box.bottom")
     is_right = right.between(0, RIGHT_GAP) & (F.abs(F.col("o.cy") - F.col("box.cy")) <= F.greatest(F.lit(18.0), 0.65 * F.col("box.height")))
     is_below = below.between(0, BELOW_GAP) & ((F.abs(F.col("o.left") - F.col("box.left")) <= 60) | (F.abs(F.col("o.cx") - F.col("box.cx")) <= 100))
-    near = near.where(is_right | is_below).select(
-        "document_id", F.col("l.label").alias("label"), F.col("l.i").alias("i"), "value", F.when(is_right, 1).otherwise(2).alias("way"), F.when(is_right, right).otherwise(below).alias("gap"))
-    every = inside.unionByName(near)
+    page = page.withColumn("_own", own)
+    self, beside = (F.col("_own") != "") & F.col("ob").eqNullSafe(F.col("block")), (F.col("_own") == "") & (F.col("ob") != F.col("block")) & (is_right | is_below)
+    way = F.when(self, 0).when(is_right, 1).otherwise(2)
+    every = page.where(self | beside).select(
+        "document_id", F.col("l.label").alias("label"), F.col("l.i").alias("i"), F.when(self, F.col("_own")).otherwise(F.col("value")).alias("value"), way.alias("way"),
+        F.when(self, 0.0).when(is_right, right).otherwise(below).alias("gap"))
     best = every.groupBy("document_id").agg(F.min_by(F.struct("label", "value", "way", "i"), F.struct("i", "way", "gap", "value")).alias("b"))
     confidence = F.element_at(F.array(F.lit(0.90), F.lit(0.86), F.lit(0.80)), F.col("b.way") + 1) - 0.05 * F.col("b.i")
     return best.select("document_id", "b.label", "b.value", F.round(confidence, 2).alias("confidence"))

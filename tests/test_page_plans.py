@@ -19,6 +19,11 @@ def test_continued_items_shuffles_the_lines_once(spark):
     assert exchanges(__spark_entry__.queries()["continued_items"](spark, SF)) == 1
 
 
+def test_table_cells_and_labels_shuffle_the_lines_once(spark):
+    for name in ("table_cells", "spatial_labels"):
+        assert exchanges(__spark_entry__.queries()[name](spark, SF)) == 1, name
+
+
 def test_some_word_finds_what_all_words_find():
     words = [h for names in line_tables.HEADINGS.values() for h in names]
     every, short = re.compile("|".join(map(re.escape, words))), re.compile(some_word(words))
