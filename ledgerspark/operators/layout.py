@@ -142,16 +142,17 @@ def spatial_values(blocks: DataFrame, labels: list[str]) -> DataFrame:
     found = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("label")) for i, x in enumerate(labels)])
     hit = F.filter(found, lambda x: F.startswith(text, F.lower(x["label"])))
     # the few label blocks of a page come to each of its blocks by a window: a page's rows are dealt out once
-    page = b.withColumn("_hit", F.when(F.size(hit) > 0, F.struct("block", "text", "box", hit.alias("l"))))
+    own = lambda label: F.trim(F.regexp_replace(F.substr(F.trim("text"), F.length(label) + 1), r"^[\s:\-=]+", ""))
+    told = F.transform(hit, lambda x: F.struct(x["i"].alias("i"), x["label"].alias("label"), own(x["label"]).alias("own")))
+    page = b.withColumn("_hit", once(told, lambda l: F.when(F.size(l) > 0, F.struct("block", "box", l.alias("l")))))
     page = page.withColumn("_hits", F.collect_list("_hit").over(Window.partitionBy("document_id", "page_number")))
     page = page.select("document_id", F.col("block").alias("ob"), F.col("text").alias("value"), F.col("box").alias("o"), F.explode("_hits").alias("h"))
-    page = page.select("document_id", "ob", "value", "o", F.col("h.block").alias("block"), F.col("h.text").alias("text"), F.col("h.box").alias("box"), F.explode("h.l").alias("l"))
-    own = F.trim(F.regexp_replace(F.substr(F.trim("text"), F.length("l.label") + 1), r"^[\s:\-=]+", ""))
+    page = page.select("document_id", "ob", "value", "o", F.col("h.block").alias("block"), F.col("h.box").alias("box"), F.explode("h.l").alias("l"))
     right = F.col("o.left") - F.col("box.right")
     below = F.col("o.top") - F.col("box.bottom")
     is_right = right.between(0, RIGHT_GAP) & (F.abs(F.col("o.cy") - F.col("box.cy")) <= F.greatest(F.lit(18.0), 0.65 * F.col("box.height")))
     is_below = below.between(0, BELOW_GAP) & ((F.abs(F.col("o.left") - F.col("box.left")) <= 60) | (F.abs(F.col("o.cx") - F.col("box.cx")) <= 100))
-    page = page.withColumn("_own", own)
+    page = page.withColumn("_own", F.col("l.own"))
     self, beside = (F.col("_own") != "") & F.col("ob").eqNullSafe(F.col("block")), (F.col("_own") == "") & (F.col("ob") != F.col("block")) & (is_right | is_below)
     way = F.when(self, 0).when(is_right, 1).otherwise(2)
     every = page.where(self | beside).select(
