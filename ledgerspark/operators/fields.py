@@ -262,11 +262,15 @@ def reconciled(rules: DataFrame, model: DataFrame, schema: DataFrame, table_amou
     a = rules.select("document_id", "document_type", F.col("fields").alias("_rules"))
     b = model.select("document_id", F.col("document_type").alias("_type"), F.col("fields").alias("_model"))
     both = a.join(b, "document_id", "full_outer").withColumn("document_type", F.coalesce("document_type", "_type"))
+    if table_amounts is not None:  # joined by document, before a document becomes a row for each field
+        by_document = table_amounts.groupBy("document_id").agg(F.collect_list(F.struct("key", "amount")).alias("_amounts"))
+        both = both.join(by_document, "document_id", "left")
     rows = both.join(F.broadcast(schema.select("document_type", "key", "kind", "ord")), "document_type")
-    rows = rows.select("document_id", "key", "kind", "ord", F.try_element_at("_rules", "key").alias("rule"), F.try_element_at("_model", "key").alias("model"))
+    kept = ["document_id", "key", "kind", "ord", F.try_element_at("_rules", "key").alias("rule"), F.try_element_at("_model", "key").alias("model")]
     if table_amounts is None:
-        return reconcile(rows).select("document_id", "key", "ord", "field")
-    rows = rows.join(table_amounts.select("document_id", "key", F.col("amount").alias("_table")), ["document_id", "key"], "left")
+        return reconcile(rows.select(*kept)).select("document_id", "key", "ord", "field")
+    own = F.transform(F.filter("_amounts", lambda x: x["key"] == F.col("key")), lambda x: x["amount"])
+    rows = rows.select(*kept, F.explode_outer(own).alias("_table"))  # a field without an amount stays
     return reconcile(rows, table_amount="_table").select("document_id", "key", "ord", "field")
 
 

@@ -43,3 +43,9 @@ def test_plain_pages_with_odd_lines(spark):
     got = sections.chunks(spark.createDataFrame(list(enumerate(pages)), "id int, page_text string")).orderBy("id", "chunk").collect()
     kinds = [(r["id"], r["chunk_type"], r["content"].count("\n") + 1) for r in got]
     assert kinds == [(0, "HEADER", 1), (0, "LINE_ITEMS", 12), (0, "LINE_ITEMS", 12), (0, "LINE_ITEMS", 6), (0, "SUMMARY", 1), (0, "TERMS", 1), (1, "LINE_ITEMS", 1), (2, "SUMMARY", 2), (3, "TERMS", 1)]
+
+
+def test_reconciled_documents_shuffle_no_rows_of_single_fields(spark):
+    plan = __spark_entry__.queries()["reconciled_documents"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(document_id#\w+, key#", plan)
+    assert not any("Join [document_id" in x and "key#" in x for x in plan.splitlines())
