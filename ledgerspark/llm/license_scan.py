@@ -6,7 +6,9 @@ them stand in a file at the distances that the template gives them, the file and
 relative position, and there all indexed words are compared: the words of the template's key phrase
 must all be in place, and the share of matched words, weighted by their frequencies, must be high
 enough. As the words looked up first are among those that must be in place, no match is missed,
-however many notices a file holds.
+however many notices a file holds. A file's indexed words stay together: around each occurrence of a
+template's rarest word, as many of them as the longest template reaches are compared where they are
+read, and only what matched is dealt out by file.
 
 Document frequencies are counted over all documents; only a number for each word of the templates
 comes to the driver. Defined cases: null texts count as empty and have no words, places or labels;
@@ -58,6 +60,8 @@ PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 MIN_INDEX_LETTERS = 5
 RARE_WORDS = 6
 MIN_SHARE = 0.7
+#: Indexed words of a file that are compared at a time.
+BLOCK_HITS = 256
 _SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -121,31 +125,38 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, rare_words: int = RARE_WO
     seen = scanned.select(F.explode(F.array_distinct(F.transform("hits", lambda x: x["w"]))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     df = {r["w"]: r["n"] for r in seen.collect()}  # at most a number for each word of the vocabulary
     idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 1e-6 for w in vocabulary}
-    weight: dict[int, float] = {}
-    must: dict[int, int] = {}
-    for w, t, _, _, m in index:
-        weight[t] = weight.get(t, 0.0) + idf[w]
-        must[t] = must.get(t, 0) + m
-    # fixed by the templates, whatever the corpus: broadcast
+    held: dict[int, list[tuple[str, str, int, bool]]] = {}
+    for w, t, label, i, m in index:
+        held.setdefault(t, []).append((w, label, i, m))
+    # fixed by the templates, whatever the corpus: one row for each, broadcast
+    rows, reach = [], 0
+    for t, words in held.items():
+        weight = sum(idf[w] for w, *_ in words)
+        # the rarest places that the template needs anyway: a file without them all cannot match it
+        first = sorted((-idf[w], w, i) for w, _, i, m in words if m)[:max(rare_words, 1)]
+        if not first:
+            continue
+        _, word, at = first[0]
+        reach = max(reach, *(abs(i - at) for _, _, i, _ in words))
+        rows.append((word, t, words[0][1], at, [(w, i) for _, w, i in first], [(w, i, m, idf[w] / weight) for w, _, i, m in words]))
     postings = F.broadcast(spark.createDataFrame(
-        [(w, t, label, i, m, idf[w] / weight[t], must[t]) for w, t, label, i, m in index],
-        "w string, template int, label string, place int, must boolean, part double, n_must int",
-    ))
-    # the rarest places that each template needs anyway: a file without them all cannot match it
-    needed: dict[int, list[tuple[float, str, int]]] = {}
-    for w, t, _, i, m in index:
-        if m:
-            needed.setdefault(t, []).append((-idf[w], w, i))
-    first = {t: sorted(places)[:max(rare_words, 1)] for t, places in needed.items()}
-    rare = F.broadcast(spark.createDataFrame([(w, t, i, len(places)) for t, places in first.items() for _, w, i in places], "w string, template int, place int, n_rare int"))
-    hits = scanned.where(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.w", F.col("x.at").alias("at"))
-    met = hits.join(rare, "w").groupBy("row", "template", (F.col("at") - F.col("place")).alias("shift")).agg(
-        F.count("*").alias("n"), F.first("n_rare").alias("n_rare")).where("n = n_rare").select("row", "template", "shift")
-    full = hits.join(postings, "w").withColumn("shift", F.col("at") - F.col("place"))
-    judged = full.join(met, ["row", "template", "shift"], "left_semi").groupBy("row", "template", "shift").agg(
-        F.first("label").alias("label"), F.sum("part").alias("share"),
-        (F.sum(F.col("must").cast("int")) == F.first("n_must")).alias("whole"),
-    ).where(F.col("whole") & (F.col("share") >= min_share))
+        rows, "w string, template int, label string, place int, rare array<struct<w:string,place:int>>, places array<struct<w:string,place:int,must:boolean,part:double>>"))
+    starts = sorted({w for w, *_ in rows})
+    # places grow by one at least from hit to hit, so all within reach of a hit are among so many neighbours; a long
+    # file's hits are cut into blocks with that much on both sides, so that no row holds the neighbours of all
+    size = F.greatest(F.size("hits") - 1, F.lit(0))
+    cut = lambda i, n: F.slice("hits", F.greatest(i + 1 - reach, F.lit(1)), F.least(i, F.lit(reach)) + n + reach)
+    blocks = scanned.where(F.size("hits") > 0).select("row", F.explode(F.transform(
+        F.sequence(F.lit(0), size, F.lit(BLOCK_HITS)), lambda b: F.struct(cut(b, BLOCK_HITS).alias("hits"), F.least(b, F.lit(reach)).alias("lead")))).alias("x")).select("row", "x.*")
+    start = lambda x, i: x["w"].isin(starts) & (i >= F.col("lead")) & (i < F.col("lead") + BLOCK_HITS)
+    around = F.transform("hits", lambda x, i: F.when(start(x, i), F.struct(x["w"].alias("w"), x["at"].alias("at"), cut(i, 1).alias("near"))))
+    met = blocks.select("row", F.explode(F.filter(around, lambda x: x.isNotNull())).alias("x")).select("row", "x.*")
+    stands = lambda p: F.array_contains("near", F.struct(p["w"].alias("w"), (F.col("shift") + p["place"]).alias("at")))
+    found = met.join(postings, "w").withColumn("shift", F.col("at") - F.col("place")).where(F.forall("rare", stands))
+    found = found.select("row", "label", "places", F.filter("places", stands).alias("found"))
+    musts = lambda c: F.size(F.filter(c, lambda p: p["must"]))
+    share = F.aggregate("found", F.lit(0.0), lambda total, p: total + p["part"])
+    judged = found.where(musts("found") == musts("places")).select("row", "label", share.alias("share")).where(F.col("share") >= min_share)
     by_row = judged.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     base = F.array_sort(F.array_distinct(F.transform("base", lambda x: x["label"])))
     ends = F.transform("base", lambda x: x["at"])

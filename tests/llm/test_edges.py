@@ -309,6 +309,29 @@ def test_license_scan_finds_every_notice_of_a_file(spark):
     assert {"mit", "cc-by-4.0"} <= set(got[24].split(","))
 
 
+def test_license_scan_cuts_long_files_anywhere(spark, monkeypatch):
+    rng = random.Random(6)
+    notices = [t for _, _, t in license_scan.TEMPLATES]
+    texts = [" license ".join(rng.choice(["cc", "by", "0", "license"]) + " " + n for n in rng.sample(notices, 8)) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(license_scan, "BLOCK_HITS", 7)
+    got = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_labels(texts)
+
+
+def test_license_scan_deals_out_matches_alone(spark):
+    # frequent words of the notices in no order: nothing matches, whatever their number
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat('software under license the of 4 by 0 cc public ', 500) AS text")
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    before = {stages().apply(i).stageId() for i in range(stages().size())}
+    assert {r["labels"] for r in license_scan.license_scan(docs).collect()} == {""}
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = stages()
+    new = [s for s in (found.apply(i) for i in range(found.size())) if s.stageId() not in before]
+    assert new and sum(s.shuffleWriteRecords() for s in new) < 2_000
+
+
 def test_classifiers_learn_and_score_everything(docs, labels):
     for op, bad in ((quality_classifier.quality_scores, "###"), (toxicity.toxicity_scores, "idiot")):
         rows = op(docs, labels, ["doc_id", "text", "label"]).collect()
