@@ -15,6 +15,7 @@ are carried along, and the result's column takes the name ``name``, replacing on
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerspark.llm.common import crc_bucket
+from ledgerspark.llm.common import crc_bucket, small_batches
 from ledgerspark.llm.textscan import blocks
 
 TRAIN_ROWS = 3000
@@ -170,8 +171,8 @@ def train(texts: list[bytes], labels: np.ndarray) -> Network | None:
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, rows: int) -> tuple[list[bytes], np.ndarray]:
-    """Texts and 0/1 labels of at most ``rows`` labelled documents, those whose ids hash lowest, and of ``TRAIN_BYTES`` bytes together.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, rows: int) -> DataFrame:
+    """(text binary, y): texts and 0/1 labels of at most ``rows`` labelled documents, those whose ids hash lowest, and of ``TRAIN_BYTES`` bytes together.
 
     Of several texts of one id the one with the smallest hash is taken.
     """
@@ -183,13 +184,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, row
         F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("t")).select("doc_id", "t.text", "t.y")
     before = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over ``rows`` rows at most
     got = got.withColumn("sum", F.sum(F.octet_length("text").cast("long")).over(before)).where(F.col("sum") <= TRAIN_BYTES)
-    got = got.orderBy(F.xxhash64("doc_id"), "doc_id").select(F.col("text").cast("binary").alias("text"), "y").toArrow()
-    return got["text"].to_pylist(), np.array(got["y"].to_pylist(), np.float32)
+    return got.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select(F.col("text").cast("binary").alias("text"), "y")
+
+
+def fitted(sample: DataFrame, train):
+    """The model that ``train`` learns from a bounded sample, in one task: the driver gets the model, never a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            y += batch.column(1).to_pylist()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(y, np.float32)))], pa.binary())], names=["model"])
+
+    with small_batches(sample.sparkSession):
+        found = sample.mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network | None:
     """Learn ``labels.quality`` from the rows outside the held-out fold."""
-    return train(*labelled_sample(docs, labels, "quality", crc_bucket("doc_id", FOLDS) != HELD_OUT, rows))
+    return fitted(labelled_sample(docs, labels, "quality", crc_bucket("doc_id", FOLDS) != HELD_OUT, rows), train)
 
 
 def score(docs: DataFrame, net: Network | None, columns: list[str], name: str = "score") -> DataFrame:

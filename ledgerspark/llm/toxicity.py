@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerspark.llm.common import crc_bucket
-from ledgerspark.llm.quality_classifier import labelled_sample
+from ledgerspark.llm.quality_classifier import fitted, labelled_sample
 
 TRAIN_ROWS = 8000
 MIN_SUPPORT = 3
@@ -278,8 +278,7 @@ def train(texts: list[bytes], y: np.ndarray) -> Classifier | None:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier | None:
     """Learn ``labels.toxic`` from the rows outside the held-out fold."""
-    texts, y = labelled_sample(docs, labels, "toxic", crc_bucket("doc_id", FOLDS) != HELD_OUT, rows)
-    return train(texts, y) if len(texts) else None
+    return fitted(labelled_sample(docs, labels, "toxic", crc_bucket("doc_id", FOLDS) != HELD_OUT, rows), train)
 
 
 def score(docs: DataFrame, model: Classifier | None, columns: list[str], name: str = "score") -> DataFrame:

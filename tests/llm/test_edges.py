@@ -1,12 +1,14 @@
 """Every operator over nulls, empty and very long texts, ties, repeated rows, clashing columns, and empty tables."""
 
 import math
+import os
 import random
 import re
 import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerspark.llm import license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, toxicity
 from ledgerspark.llm.textscan import Block, shingle_sets
@@ -343,6 +345,15 @@ def test_classifiers_learn_and_score_everything(docs, labels):
         assert min(marked) >= 0.3 and max(clean) < 0.3 or sum(s >= 0.3 for s in marked) / len(marked) > 0.9
 
 
+def test_classifiers_learn_off_the_driver(docs, labels):
+    every = quality_classifier.labelled_sample(docs, labels, "toxic", F.lit(True), 50)
+    texts, y = zip(*[(bytes(r["text"]), r["y"]) for r in every.collect()])
+    learn = lambda texts, y: (os.getpid(), texts, y.tolist())
+    place, got, marks = quality_classifier.fitted(every, learn)
+    assert place != os.getpid() and len(got) == 50 and (got, marks) == (list(texts), list(y))
+    assert quality_classifier.fitted(every.where("false"), learn) is None
+
+
 def test_mixing_reaches_its_targets(docs, labels):
     mixture, state = mixing.fit(docs, labels, {"clean": 0.5, "low": 0.3, "toxic": 0.2})
     rows = state.collect()
