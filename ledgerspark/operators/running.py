@@ -50,9 +50,8 @@ def _starts(first: pa.Array, columns: list[np.ndarray], joins: Callable, merged:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array((np.flatnonzero(begins) - base[page]).astype(np.int32)))
 
 
-@arrow_udf(PLACES)
-def extent_lines(cy: pa.Array, top: pa.Array, bottom: pa.Array) -> pa.Array:
-    """A block joins the running line if it overlaps it by over 30 % of its height, or its centre is near the line's mean centre."""
+def extent_starts(pages: pa.Array, cy: np.ndarray, top: np.ndarray, bottom: np.ndarray) -> pa.Array:
+    """A block joins the running line if it overlaps it by over 30 % of its height, or its centre is near the line's mean centre; ``pages`` are lists as long as the pages."""
 
     def joins(s, b):
         high = np.maximum(np.maximum(s[3] - s[2], b[2] - b[1]), 10.0)
@@ -64,7 +63,12 @@ def extent_lines(cy: pa.Array, top: pa.Array, bottom: pa.Array) -> pa.Array:
             return [b[0].copy(), np.ones(len(j)), b[1], b[2]]
         return [np.where(j, s[0], 0.0) + b[0], np.where(j, s[1], 0.0) + 1, np.where(j, np.minimum(s[2], b[1]), b[1]), np.where(j, np.maximum(s[3], b[2]), b[2])]
 
-    return _starts(cy, [_numbers(c) for c in (cy, top, bottom)], joins, merged)
+    return _starts(pages, [cy, top, bottom], joins, merged)
+
+
+@arrow_udf(PLACES)
+def extent_lines(cy: pa.Array, top: pa.Array, bottom: pa.Array) -> pa.Array:
+    return extent_starts(cy, *map(_numbers, (cy, top, bottom)))
 
 
 @arrow_udf(PLACES)

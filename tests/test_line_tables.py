@@ -1,5 +1,11 @@
 """Pages with two heading bands, uneven lines, continued items, and ends with and without a summary."""
 
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+
 from ledgerspark.operators import line_tables
 
 BOX = "struct<left:double,top:double,right:double,bottom:double,cx:double,cy:double,height:double>"
@@ -78,3 +84,42 @@ def test_lines_follow_overlap_and_mean(spark):
             mean, n, top, bottom = cy, 1, y0, y1
         want[i] = line
     assert lines == want and len(set(want.values())) > 1
+
+
+def test_bands_and_columns_of_many_pages_equal_the_expressions(spark):
+    rng = random.Random(8)
+    names = ["No.", "Item Description", "Qty", "Net Worth", "VAT", "Unit Price", "Total", "Rate"]
+    rows = [block(doc, i, rng.choice(names), x := rng.randint(0, 900), y := rng.randint(5, 30) * 10, x + rng.randint(5, 120), y + 10, page=(rng.choice([1000.0, 1000.0, 800.0]), 1000.0)) for doc in range(60) for i in range(rng.randint(0, 14))]
+    bands = line_tables.heading_bands(spark.createDataFrame(rows, SCHEMA)).cache()
+    want = sorted((r["document_id"], r["place"], r["name"], r["x_min"], r["x_max"], r["heading_bottom"] - 15) for r in line_tables.column_ranges(bands).collect())
+    known = {line_tables._NAMES[i]: i for i in range(len(line_tables._NAMES))}
+    column = {r["t"]: r["n"] for r in spark.createDataFrame([(n.upper(),) for n in names], "t string").select("t", line_tables.heading_name(line_tables.F.col("t")).alias("n")).collect()}
+    heads = [r for r in rows if r[7][1] > 50]
+    b = {c: np.array([r[7][i] for r in heads]) for i, c in enumerate(["left", "top", "right", "bottom", "cx", "cy"])}
+    b |= {"page": np.array([r[0] for r in heads]), "block": np.array([r[4] for r in heads]), "name": np.array([known[column[r[5].upper()]] for r in heads]), "width": np.array([r[2] for r in heads]), "height": np.array([r[3] for r in heads])}
+    banded = line_tables._band(b["page"], b["cy"], b["name"], 60)
+    assert {(r[0], r[4]) for r, x in zip(heads, banded) if x} == {(r["document_id"], r["block"]) for r in bands.collect()}
+    c = line_tables._ranges(b, np.flatnonzero(banded))
+    page, at = c["page"].tolist(), {}
+    got = [(p, at.setdefault(p, []).append(i) or len(at[p]), line_tables._NAMES[c["name"][i]], c["x_min"][i], c["x_max"][i], max(c["bottom"][c["page"] == p])) for i, p in enumerate(page)]
+    assert sorted(got) == want and len(want) > 100
+
+
+def test_pages_are_not_cut(monkeypatch):
+    sizes = [3, 1, 9, 2, 2, 20, 1]
+    rows = [(p, i + 1) for p, n in enumerate(sizes) for i in range(n)]
+    batches = [pa.RecordBatch.from_pydict({"p": [r[0] for r in rows[a : a + 4]], "_i": [r[1] for r in rows[a : a + 4]]}) for a in range(0, len(rows), 4)]
+    for limit in (1, 5, 12, 1000):
+        monkeypatch.setattr(line_tables, "BLOCKS_AT_ONCE", limit)
+        tables = [list(zip(t["p"].to_pylist(), t["_i"].to_pylist())) for t in line_tables._whole_pages(batches)]
+        assert sum(tables, []) == rows and all(t[0][1] == 1 for t in tables)
+
+
+def test_line_items_gather_no_lists(spark):
+    # every block was a structure in three lists of its page, and every step a function called for each of them
+    plan = line_tables.line_items(spark.createDataFrame(page(), SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
+
+
+def test_headings_and_ends_are_more_than_numbers():
+    assert all(re.search("[^0-9.,]", w) for w in [*line_tables.SUMMARY, *(h for names in line_tables.HEADINGS.values() for h in names)])
